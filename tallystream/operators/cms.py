@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystream.functions.formulas import check_cms, cms_error
-from tallystream.functions.hashing import check_mode, cms_col
+from tallystream.functions.hashing import check_mode, cms_col, cms_row_hash, cms_slot
 from tallystream.operators.keys import key_counts, keyed
 
 # Largest table that may ride along as one array value (8 MB).
@@ -42,8 +42,11 @@ class CountMin:
 def cms_cells(counts: DataFrame, key: str, width: int, depth: int, keep: Sequence[str] = (),
               hash_mode: str = "md5") -> DataFrame:
     """(keep..., key, row_id, col_id): the cells each key touches."""
-    columns = F.array(*[cms_col(F.col(key), r, width, hash_mode) for r in range(depth)])
-    return counts.select(*keep, key, F.posexplode(columns).alias("row_id", "col_id"))
+    hashes = F.array(*[cms_row_hash(F.col(key), r, hash_mode) for r in range(depth)])
+    exploded = counts.select(*keep, key, F.posexplode(hashes).alias("row_id", "_hash"))
+    return exploded.select(
+        *keep, key, "row_id", cms_slot(F.col("_hash"), width, hash_mode).alias("col_id")
+    )
 
 
 def cms_build(

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tallystream.functions.formulas import (
     cms_error, hll_alpha, hll_estimate_of, hll_relative_error, mg_error,
 )
-from tallystream.functions.hashing import hash64, hll_idx, hll_rho
 from tallystream.functions.numbers import interval_seconds, time_bucket
 from tallystream.operators.heavy_hitters import mg_truncate
+from tallystream.operators.hll import with_registers
 from tallystream.operators.keys import keyed
 from tallystream.templates import DEFAULT_TEMPLATE, TEMPLATES, template_value
 
@@ -91,10 +91,9 @@ def _alpha(name: Column) -> Column:
 
 def own_registers(df: DataFrame, by: list[str], hash_mode: str = "md5") -> DataFrame:
     """Registers per (by..., template) of rows (by..., template, key), each at its template's p."""
-    p = template_value(F.col("template"), "hll_p")
+    own_p = template_value(F.col("template"), "hll_p")
     return (
-        df.withColumn("_h", hash64(F.col("key"), hash_mode))
-        .select(*by, "template", hll_idx(F.col("_h"), p).alias("idx"), hll_rho(F.col("_h"), p).alias("rho"))
+        with_registers(df.select(*by, "template", "key"), "key", own_p, hash_mode)
         .groupBy(*by, "template", "idx")
         .agg(F.max("rho").alias("rho"))
     )

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from tallystream.functions.formulas import (
     check_hll, hll_alpha, hll_estimate_of, hll_memory_bytes, hll_relative_error,
 )
-from tallystream.functions.hashing import hash64, hll_idx, hll_rho
+from tallystream.functions.hashing import (
+    hash_bits, hash_number, hll_idx, hll_rest, hll_rho, key_hash, spread_down,
+)
 from tallystream.operators.keys import keyed
 
 
@@ -30,14 +32,22 @@ class HyperLogLog:
         check_hll(self.p)
 
 
-def with_registers(df: DataFrame, key: str, p: int, hash_mode: str = "md5") -> DataFrame:
-    """Adds idx and rho of each key."""
-    h = hash64(F.col(key), hash_mode)
+def with_registers(df: DataFrame, key: str, p: int | Column, hash_mode: str = "md5") -> DataFrame:
+    """Adds idx and rho of each key; p may depend on the row.
+
+    Step by step, so that each step is a column that the next one reads.
+    """
+    kept = df.columns
+    own_p = p if isinstance(p, Column) else F.lit(p)
     return (
-        df.withColumn("_h", h)
-        .withColumn("idx", hll_idx(F.col("_h"), p))
-        .withColumn("rho", hll_rho(F.col("_h"), p))
-        .drop("_h")
+        df.select(*kept, key_hash(F.col(key), hash_mode).alias("_hash"), own_p.alias("_p"))
+        .select(*kept, "_p", hash_number(F.col("_hash"), hash_mode).alias("_n"))
+        .select(*kept, "_p", hash_bits(F.col("_n"), hash_mode).alias("_h"))
+        .select(*kept, "_p", hll_idx(F.col("_h"), F.col("_p")).alias("idx"),
+                hll_rest(F.col("_h"), F.col("_p")).alias("_rest"))
+        .select(*kept, "_p", "idx", spread_down(F.col("_rest"), 1, 2, 4).alias("_some"))
+        .select(*kept, "_p", "idx", spread_down(F.col("_some"), 8, 16, 32).alias("_all"))
+        .select(*kept, "idx", hll_rho(F.col("_all"), F.col("_p")).alias("rho"))
     )
 
 

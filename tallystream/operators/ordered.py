@@ -60,12 +60,13 @@ def top_k_per_group(
 
 # ---- rank selection -------------------------------------------------------------------------
 
-LOG_STEPS = 10_000   # histogram cells per unit of log1p|v| in the first round
-FANOUT = 65_536      # cells per selected cell in the second round
+LOG_STEPS = 1_000    # first-round cells per unit of log1p|v|
+FANOUT = 65_536      # second-round cells per selected cell
 
 
-def _log_cell(v: Column) -> Column:
+def log_cell(v: Column) -> Column:
     """Order-preserving cell with a bounded number of values over all doubles."""
+    v = v.cast("double")
     return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * LOG_STEPS)).cast("bigint")
 
 
@@ -78,75 +79,83 @@ def _pick(hist: DataFrame, groups: Sequence[str], cell: str) -> DataFrame:
         hist.withColumn("_upto", upto)
         .where((F.col("k") < F.col("_upto")) & (F.col("k") >= F.col("_upto") - F.col("cnt")))
         .withColumn("k", F.col("k") - (F.col("_upto") - F.col("cnt")))
-        .drop("_upto", "cnt")
+        .drop("_upto")
     )
 
 
+def _beside(rows: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows in the selected cells. Ungrouped targets are a handful of rows; how to join grouped ones is
+    left to Spark's size statistics."""
+    return rows.join(targets if by else F.broadcast(targets), [*by, "_cell"])
+
+
 def select_ranks(
-    df: DataFrame, value: str, ranks: dict[str, Column], by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    ranks: dict[str, Column],
+    by: Sequence[str] = (),
+    cell: Column | None = None,
+    refine: bool = True,
 ) -> DataFrame:
-    """(by..., target, value, n): the exact value at a 0-based rank of each group.
+    """(by..., target, value, n, skipped, ties): the exact value at a 0-based rank of each group.
 
-    `ranks` maps a target name to an expression over `n`, the group's row count. Three scans, each
-    map-side combined: a histogram with logarithmic cells, a finer one inside the selected
-    cells, then the distinct values of one fine cell. No task ever sees a group's raw rows.
+    `ranks` maps a target name to an expression over `n`, the group's row count. Of the `ties` rows
+    with the found value, `skipped` lie below the rank. A histogram over cells (by default
+    logarithmic ones) finds the cell that holds the rank, a second one (`refine`) a narrow range in
+    that cell, and a last one over distinct values the value. All are combined map-side; no task
+    sees a group's raw rows.
     """
-    rows = df.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    rows = rows.withColumn("_cell", _log_cell(F.col("_v").cast("double")))
+    rows = df.select(*by, F.col(value).alias("_v"), (log_cell(F.col(value)) if cell is None else cell).alias("_cell"))
+    rows = rows.where(F.col("_v").isNotNull())
+    cnt = F.count(F.lit(1)).alias("cnt")
 
-    coarse = rows.groupBy(*by, "_cell").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
-    )
-    group = Window.partitionBy(*by)
+    coarse = rows.groupBy(*by, "_cell").agg(cnt, F.min("_v").alias("_from"), F.max("_v").alias("_to"))
     wanted = F.explode(
         F.array(*[F.struct(F.lit(name).alias("target"), k.cast("bigint").alias("k"))
                   for name, k in ranks.items()])
     )
     coarse = (
-        coarse.withColumn("n", F.sum("cnt").over(group))
+        coarse.withColumn("n", F.sum("cnt").over(Window.partitionBy(*by)))
         .withColumn("_want", wanted)
         .select("*", "_want.target", "_want.k")
         .drop("_want")
     )
-    targets = _pick(coarse, [*by, "target"], "_cell")
-
-    # ungrouped targets are a handful of rows; grouped ones are left to Spark's size statistics
-    side = targets if by else F.broadcast(targets)
-    inside = rows.join(side, [*by, "_cell"])
-    span = F.col("_hi").cast("double") - F.col("_lo").cast("double")
-    offset = (F.col("_v").cast("double") - F.col("_lo").cast("double")) / span
-    fine_cell = F.when(span > 0, F.least(F.floor(offset * FANOUT), F.lit(FANOUT - 1))).otherwise(0)
-    fine = (
-        inside.withColumn("_fine", fine_cell.cast("bigint"))
-        .groupBy(*by, "target", "k", "n", "_cell", "_fine")
-        .agg(
-            F.count(F.lit(1)).alias("cnt"),
-            F.min("_v").alias("_from"),
-            F.max("_v").alias("_to"),
+    targets = _pick(coarse, [*by, "target"], "_cell").drop("cnt")
+
+    if refine:
+        low, high = F.col("_from").cast("double"), F.col("_to").cast("double")
+        offset = F.floor((F.col("_v").cast("double") - low) / (high - low) * FANOUT)
+        slot = F.when(high > low, F.least(offset, F.lit(FANOUT - 1))).otherwise(F.lit(0))
+        fine = (
+            _beside(rows, targets, by)
+            .withColumn("_slot", slot.cast("bigint"))
+            .groupBy(*by, "target", "k", "n", "_cell", "_slot")
+            .agg(cnt, F.min("_v").alias("_from"), F.max("_v").alias("_to"))
         )
-    )
-    narrowed = _pick(fine, [*by, "target"], "_fine").drop("_fine")
+        targets = _pick(fine, [*by, "target"], "_slot").drop("cnt", "_slot")
 
-    side = narrowed if by else F.broadcast(narrowed)
     last = (
-        rows.join(side, [*by, "_cell"])
+        _beside(rows, targets, by)
         .where(F.col("_v").between(F.col("_from"), F.col("_to")))
         .groupBy(*by, "target", "k", "n", "_v")
-        .agg(F.count(F.lit(1)).alias("cnt"))
+        .agg(cnt)
     )
     found = _pick(last, [*by, "target"], "_v")
-    return found.select(*by, "target", F.col("_v").alias("value"), "n")
+    return found.select(
+        *by, "target", F.col("_v").alias("value"), "n",
+        F.col("k").alias("skipped"), F.col("cnt").alias("ties"),
+    )
 
 
 # ---- last n rows ----------------------------------------------------------------------------
 
+CUTOFF_CELL_MICROS = 60_000_000
+
+
 def last_n(df: DataFrame, ts: str, tie: str, n: int) -> DataFrame:
     """The n latest rows by (ts, tie)."""
-    latest = [F.col(ts).desc(), F.col(tie).desc()]
     if n <= TAKE_ORDERED_MAX:
-        return top_k(df, latest, n)
+        return top_k(df, [F.col(ts).desc(), F.col(tie).desc()], n)
     return _from_cutoff(df, (), ts, tie, n)
 
 
@@ -160,30 +169,26 @@ def last_n_per_group(df: DataFrame, by: Sequence[str], ts: str, tie: str, n: int
 
 
 def _from_cutoff(df: DataFrame, by: Sequence[str], ts: str, tie: str, n: int) -> DataFrame:
-    """Rows from the exact cut-off on: first on time, then on `tie` among equal times."""
-    rank = F.greatest(F.col("n") - F.lit(n), F.lit(0))
+    """Rows from the exact cut-off time on; among rows at that very time `tie` decides.
+
+    The cut-off comes from counts per minute and then per distinct time of one minute.
+    """
     timed = df.withColumn("_us", epoch_micros(F.col(ts)))
-    cut = select_ranks(timed, "_us", {"cut": rank}, by).select(*by, F.col("value").alias("_cut"))
-    if by:
-        kept = timed.join(cut, [*by]).where(F.col("_us") >= F.col("_cut"))
-    else:
-        kept = timed.withColumn("_cut", cut.select("_cut").scalar()).where(
-            F.col("_us") >= F.col("_cut")
-        )
-    # rows at the cut-off time itself fill up what the later rows leave free
-    later = F.count(F.when(F.col("_us") > F.col("_cut"), 1))
-    edge = kept.where(F.col("_us") == F.col("_cut"))
+    minute = F.floor(F.col("_us") / CUTOFF_CELL_MICROS)
+    rank = {"cut": F.greatest(F.col("n") - F.lit(n), F.lit(0))}
+    cut = select_ranks(timed, "_us", rank, by, cell=minute, refine=False).select(
+        *by, F.col("value").alias("_cut"), (F.col("ties") - F.col("skipped")).alias("_room")
+    )
     if by:
-        room = kept.groupBy(*by).agg((F.lit(n) - later).alias("_room"))
-        edge = edge.join(room, [*by])
-        order = Window.partitionBy(*by).orderBy(F.col(tie).desc())
+        kept = timed.join(cut, [*by])
     else:
-        edge = edge.withColumn("_room", kept.agg(F.lit(n) - later).scalar())
-        order = Window.orderBy(F.col(tie).desc())
-    edge = edge.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= F.col("_room"))
-    newer = kept.where(F.col("_us") > F.col("_cut"))
-    columns = df.columns
-    return newer.select(*columns).unionByName(edge.select(*columns))
+        edge = cut.select(F.struct("_cut", "_room")).scalar()
+        kept = timed.withColumn("_edge", edge).select("*", "_edge.*")
+    kept = kept.where(F.col("_us") >= F.col("_cut"))
+    # every distinct time is a window of its own
+    nth = F.row_number().over(Window.partitionBy(*by, "_us").orderBy(F.col(tie).desc()))
+    kept = kept.withColumn("_nth", nth)
+    return kept.where((F.col("_us") > F.col("_cut")) | (F.col("_nth") <= F.col("_room"))).select(*df.columns)
 
 
 # ---- timelines in chunks --------------------------------------------------------------------
