@@ -16,8 +16,8 @@ from tallystream.functions.formulas import check_cms, cms_error
 from tallystream.functions.hashing import check_mode, cms_col, cms_row_hash, cms_slot
 from tallystream.operators.keys import key_counts, keyed
 
-# Largest table that may ride along as one array value (8 MB).
-DENSE_CELLS_MAX = 1 << 20
+# Largest table that may ride along as one array value (1 MB).
+DENSE_CELLS_MAX = 1 << 17
 
 
 @dataclass(frozen=True)

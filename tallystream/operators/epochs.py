@@ -36,33 +36,37 @@ def with_epoch(
 ) -> DataFrame:
     """Adds the epoch (0 before the first command) and template in force at each event.
 
-    As-of join as an equality on (worker, time bucket) plus the interval condition. Spark broadcasts the
-    intervals if they are small by its own statistics; if not, both sides are shuffled on the
-    bucket as well, which spreads a hot worker.
+    As-of join by equality: closed intervals are listed in the time buckets they cover and meet the
+    events on (worker, bucket); each worker's one open interval meets them on the worker. Spark broadcasts
+    the intervals if they are small by its own statistics; if not, the bucket spreads a hot
+    worker and adaptive execution splits what is left of it.
     """
     step = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(interval_seconds(bucket)))
-    newest = events.select(F.max(ts)).scalar()
-    intervals = command_intervals(commands)
-    # an interval that starts after the newest event holds no event
-    last = F.coalesce(F.col("end"), newest)
-    covered = F.sequence(time_bucket(F.col("start"), bucket), last, step)
-    placed = intervals.where(F.col("start") <= last).select(
-        F.col("worker_id").alias(worker), "epoch", "template", "start", "end",
-        F.explode(covered).alias("_bucket"),
+    intervals = command_intervals(commands).withColumnRenamed("worker_id", "_worker")
+    covered = F.sequence(time_bucket(F.col("start"), bucket), F.col("end"), step)
+    closed = intervals.where(F.col("end").isNotNull()).select(
+        "_worker", "start", "end", F.struct("epoch", "template").alias("_closed"),
+        F.explode(covered).alias("_covered"),
     )
-    inside = (F.col(ts) >= F.col("start")) & (F.col("end").isNull() | (F.col(ts) < F.col("end")))
-    timed = events.withColumn("_bucket", time_bucket(F.col(ts), bucket))
-    joined = timed.alias("e").join(
-        placed.alias("i"),
-        (F.col(f"e.{worker}") == F.col(f"i.{worker}"))
-        & (F.col("e._bucket") == F.col("i._bucket"))
-        & inside,
-        "left",
+    still_open = intervals.where(F.col("end").isNull()).select(
+        F.col("_worker").alias("_owner"), F.col("start").alias("_since"),
+        F.struct("epoch", "template").alias("_open"),
     )
-    return joined.select(
-        *[F.col(f"e.{c}") for c in events.columns],
-        F.coalesce("i.epoch", F.lit(0)).alias("epoch"),
-        F.coalesce("i.template", F.lit(DEFAULT_TEMPLATE)).alias("template"),
+    placed = (
+        events.withColumn("_bucket", time_bucket(F.col(ts), bucket))
+        .join(
+            closed,
+            (F.col(worker) == F.col("_worker")) & (F.col("_bucket") == F.col("_covered"))
+            & (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")),
+            "left",
+        )
+        .join(still_open, (F.col(worker) == F.col("_owner")) & (F.col(ts) >= F.col("_since")), "left")
+        .withColumn("_at", F.coalesce("_open", "_closed"))
+    )
+    return placed.select(
+        *events.columns,
+        F.coalesce("_at.epoch", F.lit(0)).alias("epoch"),
+        F.coalesce("_at.template", F.lit(DEFAULT_TEMPLATE)).alias("template"),
     )
 
 

@@ -13,7 +13,7 @@ from tallystream.functions.hashing import md5_mod, unit_interval
 from tallystream.functions.numbers import epoch_micros, interval_seconds
 
 # Vocabulary up to this many keys is broadcast; a larger one is joined by shuffle.
-BROADCAST_ITEMS_MAX = 1_000_000
+BROADCAST_ITEMS_MAX = 250_000
 PREFIX_BLOCK = 65_536
 
 

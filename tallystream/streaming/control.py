@@ -1,45 +1,68 @@
-"""Decisions over a metrics stream, with cooldown kept as state per worker."""
+"""Decisions over a metrics stream, with the cooldown carried from batch to batch."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tallystream.functions.numbers import interval_seconds
+from tallystream.operators.control import COOLDOWN, Thresholds, apply_cooldown, decide
+from tallystream.streaming.sketches import batch_path
+
+_LAST = "worker_id string, last timestamp, batch_id bigint"
 
-from tallystream.functions.numbers import epoch_micros, interval_seconds
-from tallystream.operators.control import COOLDOWN, Thresholds, decide
 
-_DECISION = (
-    "worker_id string, ts timestamp, rule string, action string, template string, k int, message string"
-)
+def _last_accepted(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
+    """(worker_id, last) after the newest batch before `batch_id`."""
+    try:
+        every = spark.read.schema(_LAST).option("basePath", state).parquet(state)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "worker_id string, last timestamp")
+    earlier = every.where(F.col("batch_id") < batch_id)
+    newest = earlier.select(F.max("batch_id")).scalar()
+    return earlier.where(F.col("batch_id") == newest).select("worker_id", "last")
 
 
-def decisions_stream(
-    metrics: DataFrame, thresholds: Thresholds = Thresholds(), cooldown: str = COOLDOWN
-) -> DataFrame:
-    """Accepted decisions of a metrics stream.
+def start_decisions(
+    metrics: DataFrame,
+    path: str,
+    checkpoint: str,
+    thresholds: Thresholds = Thresholds(),
+    cooldown: str = COOLDOWN,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Write the accepted decisions of a metrics stream to `path` (`read_table`).
 
-    The rules are plain expressions; only the rows they select reach the keyed state, which
-    holds one number per worker: the time of its last accepted decision. Rows of one worker are
-    taken in time order within a micro-batch, and batches in their order.
+    Carried between micro-batches is one time per worker, its last accepted decision, in a table beside the
+    output. Within a batch the distributed `apply_cooldown` runs, so that a worker with most of the rows does not
+    end up in one task. Output and carried times are one folder per batch; a retry overwrites both.
     """
-    wait = interval_seconds(cooldown) * 1_000_000
-    candidates = decide(metrics, thresholds).withColumn("ts", F.col("ts").cast("timestamp"))
-    candidates = candidates.withColumn("_t", epoch_micros(F.col("ts")))
-
-    def accept(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("_t", kind="stable")
-        last = state.get[0] if state.exists else None
-        taken = []
-        for i, t in enumerate(rows["_t"].tolist()):
-            if last is None or t >= last + wait:
-                taken.append(i)
-                last = t
-        state.update((last,))
-        yield rows.iloc[taken].drop(columns="_t")
-
-    return candidates.groupBy("worker_id").applyInPandasWithState(
-        accept, _DECISION, "last bigint", "append", "NoTimeout"
+    state = f"{path}_last"
+    wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(interval_seconds(cooldown)))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = _last_accepted(spark, state, batch_id)
+        candidates = decide(batch, thresholds).withColumn("ts", F.col("ts").cast("timestamp"))
+        free = (
+            candidates.join(before, "worker_id", "left")
+            .where(F.col("last").isNull() | (F.col("ts") >= F.col("last") + wait))
+            .select(*candidates.columns)
+        )
+        apply_cooldown(free, cooldown).write.mode("overwrite").parquet(batch_path(path, batch_id))
+        accepted = spark.read.parquet(batch_path(path, batch_id))
+        after = before.unionByName(accepted.select("worker_id", F.col("ts").alias("last")))
+        after.groupBy("worker_id").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(
+            batch_path(state, batch_id)
+        )
+
+    return (
+        metrics.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(write)
+        .start()
     )

@@ -55,7 +55,8 @@ def tick_counts_stream(events: DataFrame, ts: str, tick: str, delay: str) -> Dat
     )
 
 
-def _batch_path(path: str, batch_id: int) -> str:
+def batch_path(path: str, batch_id: int) -> str:
+    """The folder of one micro-batch."""
     return f"{path}/batch_id={batch_id}"
 
 
@@ -69,7 +70,7 @@ def start_table(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
     return (
         rows.writeStream.outputMode(mode)
@@ -127,7 +128,7 @@ def start_epoch_sketches(
         registers = own_registers(rows, by).select(
             *by, "template", "idx", "rho", F.lit(None).cast("bigint").alias("n")
         )
-        counts.unionByName(registers).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        counts.unionByName(registers).write.mode("overwrite").parquet(batch_path(path, batch_id))
 
     return (
         events.writeStream.option("checkpointLocation", checkpoint)

@@ -141,8 +141,9 @@ def test_streamed_cooldown_equals_batch(spark, tmp_path):
     for low, high in ((0, 400), (400, 900), (900, 10_000)):
         part = metrics.where((F.col("ts") >= F.timestamp_seconds(F.lit(low))) & (F.col("ts") < F.timestamp_seconds(F.lit(high))))
         part.coalesce(1).write.mode("append").parquet(source)
-        accepted = stream_control.decisions_stream(stream(spark, source, metrics.schema), Thresholds(), "15 seconds")
-        ss.start_table(accepted, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+        stream_control.start_decisions(
+            stream(spark, source, metrics.schema), str(tmp_path / "out"), str(tmp_path / "c"), Thresholds(), "15 seconds"
+        ).awaitTermination(120)
     want = apply_cooldown(decide(metrics), "15 seconds")
     got = ss.read_table(spark, str(tmp_path / "out")).select(*want.columns)
     assert want.count() > 20
