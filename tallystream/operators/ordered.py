@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tallystream.functions.numbers import epoch_micros, interval_seconds, time_bucket
 
-# "First n of everything" up to this n is a heap per task; above it, a rank cut-off.
-TAKE_ORDERED_MAX = 100_000
+# Every task sends its first n rows to a single one; for raw tables with many tasks only a small n may.
+TAKE_ORDERED_MAX = 100
 SALTS = 64
 
 
@@ -36,23 +36,23 @@ def top_k_per_group(
     order: Sequence[Column],
     k: int,
     rank: str = "rank",
-    salt: Column | None = None,
+    raw: bool = False,
 ) -> DataFrame:
     """First k rows per group, numbered from 1 in `rank`.
 
-    Up to Spark's group-limit threshold each map task forwards at most k rows per group. Beyond
-    it, or when the caller passes a salt because the input is raw rows, a first round takes
-    the first k per (group, salt), so that no task sorts a whole hot group.
+    Up to Spark's group-limit threshold each map task forwards at most k rows per group. `raw` tables
+    have so many map tasks that even these are too many for one task: a first round then takes the
+    first k per group and set of map tasks. It is also taken beyond the threshold, where
+    tasks forward all rows.
     """
-    if salt is None and k > _group_limit_threshold(df):
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
-    if salt is not None:
-        split = Window.partitionBy(*by, "_salt").orderBy(*order)
+    if raw or k > _group_limit_threshold(df):
+        # any split of the rows gives the same result; by map task, each task still sends k rows
+        split = Window.partitionBy(*by, "_part").orderBy(*order)
         df = (
-            df.withColumn("_salt", salt)
+            df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
             .withColumn("_first", F.row_number().over(split))
             .where(F.col("_first") <= k)
-            .drop("_salt", "_first")
+            .drop("_part", "_first")
         )
     whole = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(whole)).where(F.col(rank) <= k)
@@ -84,9 +84,16 @@ def _pick(hist: DataFrame, groups: Sequence[str], cell: str) -> DataFrame:
 
 
 def _beside(rows: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Rows in the selected cells. Ungrouped targets are a handful of rows; how to join grouped ones is
-    left to Spark's size statistics."""
-    return rows.join(targets if by else F.broadcast(targets), [*by, "_cell"])
+    """Rows in the selected cells.
+
+    Ungrouped targets are a handful of rows: they are broadcast, and their range is a filter that reaches the
+    files' statistics. How to join grouped ones is left to Spark's size statistics.
+    """
+    if by:
+        return rows.join(targets, [*by, "_cell"])
+    low, high = targets.select(F.min("_from")).scalar(), targets.select(F.max("_to")).scalar()
+    near = rows.where((F.col("_v") >= low) & (F.col("_v") <= high))
+    return near.join(F.broadcast(targets), "_cell")
 
 
 def select_ranks(
@@ -156,39 +163,39 @@ def last_n(df: DataFrame, ts: str, tie: str, n: int) -> DataFrame:
     """The n latest rows by (ts, tie)."""
     if n <= TAKE_ORDERED_MAX:
         return top_k(df, [F.col(ts).desc(), F.col(tie).desc()], n)
-    return _from_cutoff(df, (), ts, tie, n)
+    return last_n_from_cutoff(df, (), ts, tie, n)
 
 
 def last_n_per_group(df: DataFrame, by: Sequence[str], ts: str, tie: str, n: int) -> DataFrame:
     """The n latest rows of each group by (ts, tie)."""
     if n <= _group_limit_threshold(df):
         latest = [F.col(ts).desc(), F.col(tie).desc()]
-        salt = F.pmod(F.xxhash64(ts, tie), F.lit(SALTS))
-        return top_k_per_group(df, by, latest, n, rank="_latest", salt=salt).drop("_latest")
-    return _from_cutoff(df, by, ts, tie, n)
+        return top_k_per_group(df, by, latest, n, rank="_latest", raw=True).drop("_latest")
+    return last_n_from_cutoff(df, by, ts, tie, n)
 
 
-def _from_cutoff(df: DataFrame, by: Sequence[str], ts: str, tie: str, n: int) -> DataFrame:
+def last_n_from_cutoff(
+    df: DataFrame, by: Sequence[str], ts: str, tie: str, n: int
+) -> DataFrame:
     """Rows from the exact cut-off time on; among rows at that very time `tie` decides.
 
-    The cut-off comes from counts per minute and then per distinct time of one minute.
+    The cut-off comes from counts per minute and then per distinct time of one minute. No more than
+    n rows per group (and ties) are shuffled, each distinct time on its own.
     """
-    timed = df.withColumn("_us", epoch_micros(F.col(ts)))
-    minute = F.floor(F.col("_us") / CUTOFF_CELL_MICROS)
+    minute = F.floor(epoch_micros(F.col(ts)) / CUTOFF_CELL_MICROS)
     rank = {"cut": F.greatest(F.col("n") - F.lit(n), F.lit(0))}
-    cut = select_ranks(timed, "_us", rank, by, cell=minute, refine=False).select(
+    cut = select_ranks(df, ts, rank, by, cell=minute, refine=False).select(
         *by, F.col("value").alias("_cut"), (F.col("ties") - F.col("skipped")).alias("_room")
     )
     if by:
-        kept = timed.join(cut, [*by])
+        kept = df.join(cut, [*by]).where(F.col(ts) >= F.col("_cut"))
     else:
-        edge = cut.select(F.struct("_cut", "_room")).scalar()
-        kept = timed.withColumn("_edge", edge).select("*", "_edge.*")
-    kept = kept.where(F.col("_us") >= F.col("_cut"))
-    # every distinct time is a window of its own
-    nth = F.row_number().over(Window.partitionBy(*by, "_us").orderBy(F.col(tie).desc()))
+        first = cut.select("_cut").scalar()
+        kept = df.where(F.col(ts) >= first).withColumn("_cut", first)
+        kept = kept.withColumn("_room", cut.select("_room").scalar())
+    nth = F.row_number().over(Window.partitionBy(*by, ts).orderBy(F.col(tie).desc()))
     kept = kept.withColumn("_nth", nth)
-    return kept.where((F.col("_us") > F.col("_cut")) | (F.col("_nth") <= F.col("_room"))).select(*df.columns)
+    return kept.where((F.col(ts) > F.col("_cut")) | (F.col("_nth") <= F.col("_room"))).select(*df.columns)
 
 
 # ---- timelines in chunks --------------------------------------------------------------------

@@ -20,10 +20,12 @@ def cluster_metrics(
 ) -> DataFrame:
     """Latest snapshot per worker, unless older than `ttl` at `as_of` (default: the newest row)."""
     interval_seconds(ttl)
-    now = metrics.select(F.max("ts")).scalar() if as_of is None else as_of
-    horizon = now - F.expr(f"interval {ttl}")
+    life = F.expr(f"interval {ttl}")
     # stale rows are dropped before the aggregation; the newest row of a live worker is not stale
-    live = metrics.where((F.col("ts") > horizon) & (F.col("ts") <= now))
+    if as_of is None:
+        live = metrics.where(F.col("ts") > metrics.select(F.max("ts") - life).scalar())
+    else:
+        live = metrics.where((F.col("ts") > as_of - life) & (F.col("ts") <= as_of))
     newest = F.max_by(F.struct(*metrics.columns), F.col("ts")).alias("_row")
     return live.groupBy(F.col("worker_id").alias("_worker")).agg(newest).select("_row.*")
 

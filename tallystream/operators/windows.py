@@ -52,8 +52,13 @@ def slide(buckets: DataFrame, window: str, bucket: str) -> DataFrame:
 
 
 def sliding_counts(buckets: DataFrame, window: str, bucket: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., window_start, window_end, key, n).
+
+    The bucket rows are placed by key before they are multiplied, so that each key's windows add up
+    where they are: the compact table is shuffled, not its copies.
+    """
     return (
-        slide(buckets, window, bucket)
+        slide(buckets.repartition(*by, "key"), window, bucket)
         .groupBy(*by, "window_start", "window_end", "key")
         .agg(F.sum("n").alias("n"))
     )

@@ -62,7 +62,7 @@ def weighted_heavy_hitters(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def approx_top_k_native(spark: SparkSession, directory: str) -> DataFrame:
-    return hh.approx_top_k_native(part_lines(spark, directory), "key", 10)
+    return hh.approx_top_k_native(user_events(spark, directory), "key", 10)
 
 
 def sliding_heavy_hitters(spark: SparkSession, directory: str) -> DataFrame:

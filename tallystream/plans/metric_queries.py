@@ -37,7 +37,7 @@ def _accepted(spark: SparkSession, directory: str) -> DataFrame:
 def _overrides(metrics: DataFrame) -> DataFrame:
     """Manual overrides read off the load: a known template on busy ticks, an unknown one on idle ones."""
     cpu = F.col("cpu_percent")
-    asked = F.when(cpu > 50, F.lit("low")).when(cpu > 45, F.lit("high")).when(cpu < 30, F.lit("maximal"))
+    asked = F.when(cpu > 48, F.lit("low")).when(cpu > 44, F.lit("high")).when(cpu < 41, F.lit("maximal"))
     return metrics.select("worker_id", "ts", asked.alias("template")).where(F.col("template").isNotNull())
 
 
@@ -282,8 +282,8 @@ _COOLED = {
     "accepted": "select d.* from decided d join taken using (worker_id, ts)",
 }
 _OVERRIDES = (
-    "select worker_id, ts, case when cpu_percent > 50 then 'low' when cpu_percent > 45 then 'high' "
-    "when cpu_percent < 30 then 'maximal' end as template from metrics"
+    "select worker_id, ts, case when cpu_percent > 48 then 'low' when cpu_percent > 44 then 'high' "
+    "when cpu_percent < 41 then 'maximal' end as template from metrics"
 )
 _MANUAL = {
     **_COOLED,

@@ -69,7 +69,7 @@ def test_last_n_per_group_by_both_ways(ticks, n):
     want = {g: sorted(x)[-n:] for g, x in want.items()}
     for way in (
         ordered.last_n_per_group(ticks, ["g"], "ts", "id", min(n, 1000)) if n <= 1000 else None,
-        ordered._from_cutoff(ticks, ["g"], "ts", "id", n),
+        ordered.last_n_from_cutoff(ticks, ["g"], "ts", "id", n),
     ):
         if way is None:
             continue
@@ -83,7 +83,7 @@ def test_last_n_per_group_by_both_ways(ticks, n):
 def test_last_n_by_both_ways(ticks, n):
     want = sorted((r.ts, r.id) for r in ticks.collect())[-n:]
     assert sorted((r.ts, r.id) for r in ordered.last_n(ticks, "ts", "id", n).collect()) == want
-    assert sorted((r.ts, r.id) for r in ordered._from_cutoff(ticks, (), "ts", "id", n).collect()) == want
+    assert sorted((r.ts, r.id) for r in ordered.last_n_from_cutoff(ticks, (), "ts", "id", n).collect()) == want
 
 
 def test_rolling_percentiles_use_the_latest(ticks):
