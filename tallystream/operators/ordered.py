@@ -86,14 +86,14 @@ def _pick(hist: DataFrame, groups: Sequence[str], cell: str) -> DataFrame:
 def _beside(rows: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
     """Rows in the selected cells.
 
-    Ungrouped targets are a handful of rows: they are broadcast, and their range is a filter that reaches the
-    files' statistics. How to join grouped ones is left to Spark's size statistics.
+    Ungrouped targets are a handful of rows: they are broadcast, and the lowest value is a filter that reaches
+    the files' statistics. How to join grouped ones is left to Spark's size statistics.
     """
     if by:
         return rows.join(targets, [*by, "_cell"])
-    low, high = targets.select(F.min("_from")).scalar(), targets.select(F.max("_to")).scalar()
-    near = rows.where((F.col("_v") >= low) & (F.col("_v") <= high))
-    return near.join(F.broadcast(targets), "_cell")
+    # reads both bounds, as the join does, so that the histogram is computed once for the two
+    low = targets.select(F.min(F.least("_from", "_to"))).scalar()
+    return rows.where(F.col("_v") >= low).join(F.broadcast(targets), "_cell")
 
 
 def select_ranks(
@@ -190,9 +190,9 @@ def last_n_from_cutoff(
     if by:
         kept = df.join(cut, [*by]).where(F.col(ts) >= F.col("_cut"))
     else:
-        first = cut.select("_cut").scalar()
-        kept = df.where(F.col(ts) >= first).withColumn("_cut", first)
-        kept = kept.withColumn("_room", cut.select("_room").scalar())
+        # two subqueries over one plan; the first stays a plain value that files can be pruned by
+        first, room = cut.select("_cut").scalar(), cut.agg(F.max("_room")).scalar()
+        kept = df.where(F.col(ts) >= first).withColumns({"_cut": first, "_room": room})
     nth = F.row_number().over(Window.partitionBy(*by, ts).orderBy(F.col(tie).desc()))
     kept = kept.withColumn("_nth", nth)
     return kept.where((F.col(ts) > F.col("_cut")) | (F.col("_nth") <= F.col("_room"))).select(*df.columns)
