@@ -6,7 +6,7 @@ with md5 can reproduce its cells and registers. `xxhash64` mode is the fast one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASH_MODES = ("md5", "xxhash64")
@@ -65,13 +65,13 @@ def digest_mod(digest: Column, modulus: int) -> Column:
         head = _hex_number(digest, 4)
         swapped = F.shiftleft(head.bitwiseAND(F.lit(0xFF)), 8).bitwiseOR(F.shiftright(head, 8))
         return swapped.bitwiseAND(F.lit(modulus - 1))
-    bits = hash_bits(hash_number(digest))
-    high, low = F.shiftrightunsigned(bits, 32), bits.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-    return ((high % modulus) * F.lit(2 ** 32 % modulus) + low % modulus) % modulus
+    return bits_mod(hash_bits(hash_number(digest)), modulus)
 
 
-def md5_mod(text: Column, modulus: int) -> Column:
-    return digest_mod(key_hash(text), modulus)
+def bits_mod(bits: Column, modulus: int) -> Column:
+    """Hash bits, read as an unsigned number, modulo `modulus`."""
+    high, low = F.shiftrightunsigned(bits, 32), bits.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+    return ((high % modulus) * F.lit(2 ** 32 % modulus) + low % modulus) % modulus
 
 
 def cms_row_hash(key: Column, row: int, hash_mode: str = "md5") -> Column:
@@ -115,9 +115,20 @@ def hll_rho(spread: Column, p: int | Column) -> Column:
     return F.least(F.lit(65) - F.bit_count(spread), F.lit(65) - _lit(p)).cast("int")
 
 
-def unit_interval(text: Column) -> Column:
-    """A draw in [0, 1) that depends on `text` only, with 52 bits."""
-    return F.shiftrightunsigned(hash64(text), 12) / F.lit(float(2 ** 52))
+def with_bits(df: DataFrame, text: Column, alias: str, hash_mode: str = "md5") -> DataFrame:
+    """Adds the 64 hash bits of a string, step by step, so that each step is a column that the next one
+    reads instead of an expression repeated in it."""
+    kept = df.columns
+    return (
+        df.select(*kept, key_hash(text, hash_mode).alias("_digest"))
+        .select(*kept, hash_number(F.col("_digest"), hash_mode).alias("_number"))
+        .select(*kept, hash_bits(F.col("_number"), hash_mode).alias(alias))
+    )
+
+
+def unit_interval(bits: Column) -> Column:
+    """Hash bits as a draw in [0, 1) with 52 bits."""
+    return F.shiftrightunsigned(bits, 12) / F.lit(float(2 ** 52))
 
 
 def _lit(value) -> Column:

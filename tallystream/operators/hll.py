@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from tallystream.functions.formulas import (
     check_hll, hll_alpha, hll_estimate_of, hll_memory_bytes, hll_relative_error,
 )
-from tallystream.functions.hashing import (
-    hash_bits, hash_number, hll_idx, hll_rest, hll_rho, key_hash, spread_down,
-)
+from tallystream.functions.hashing import hll_idx, hll_rest, hll_rho, spread_down, with_bits
 from tallystream.operators.keys import keyed
 
 
@@ -40,9 +38,7 @@ def with_registers(df: DataFrame, key: str, p: int | Column, hash_mode: str = "m
     kept = df.columns
     own_p = p if isinstance(p, Column) else F.lit(p)
     return (
-        df.select(*kept, key_hash(F.col(key), hash_mode).alias("_hash"), own_p.alias("_p"))
-        .select(*kept, "_p", hash_number(F.col("_hash"), hash_mode).alias("_n"))
-        .select(*kept, "_p", hash_bits(F.col("_n"), hash_mode).alias("_h"))
+        with_bits(df.select(*kept, own_p.alias("_p")), F.col(key), "_h", hash_mode)
         .select(*kept, "_p", hll_idx(F.col("_h"), F.col("_p")).alias("idx"),
                 hll_rest(F.col("_h"), F.col("_p")).alias("_rest"))
         .select(*kept, "_p", "idx", spread_down(F.col("_rest"), 1, 2, 4).alias("_some"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallystream.functions.hashing import md5_mod, unit_interval
+from tallystream.functions.hashing import bits_mod, unit_interval, with_bits
 from tallystream.functions.numbers import epoch_micros, interval_seconds
 
 # Vocabulary up to this many keys is broadcast; a larger one is joined by shuffle.
@@ -56,12 +56,6 @@ def zipf_cdf(ranks: DataFrame, rank: str, s: float) -> DataFrame:
     return cumulative_distribution(ranks, rank, s).select("rank", F.col("hi").alias("cdf"))
 
 
-def drift_offset(epoch: Column, n_items: int, seed: int) -> Column:
-    """Rotation of the ranks in a drift epoch: none in epoch 0, then drawn anew each epoch."""
-    drawn = md5_mod(F.concat(F.lit(f"{seed}:"), epoch.cast("string")), n_items)
-    return F.when(epoch <= 0, F.lit(0)).otherwise(drawn)
-
-
 def zipf_keys(
     rows: DataFrame,
     row_id: str,
@@ -87,8 +81,9 @@ def zipf_keys(
     listed = slices.select("rank", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("_cell"))
     if n_items <= BROADCAST_ITEMS_MAX:
         listed = F.broadcast(listed)
-    drawn = rows.withColumn("_u", unit_interval(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string"))))
-    drawn = drawn.withColumn("_cell", cell(F.col("_u")))
+    seeded = lambda c: F.concat(F.lit(f"{seed}:"), c.cast("string"))
+    drawn = with_bits(rows, seeded(F.col(row_id)), "_bits")
+    drawn = drawn.withColumn("_u", unit_interval(F.col("_bits"))).withColumn("_cell", cell(F.col("_u")))
     placed = drawn.join(listed, "_cell").where(
         (F.col("_u") >= F.col("lo")) & (F.col("_u") < F.col("hi"))
     )
@@ -98,7 +93,10 @@ def zipf_keys(
             raise ValueError("drift needs ts and start")
         width = interval_seconds(shift_interval) * 1_000_000
         epoch = F.floor((epoch_micros(F.col(ts)) - epoch_micros(start)) / width)
-        zero_rank = F.pmod(zero_rank + drift_offset(epoch, n_items, seed), F.lit(n_items))
+        placed = with_bits(placed.withColumn("_epoch", epoch), seeded(F.col("_epoch")), "_turn")
+        # no rotation in epoch 0, then an offset drawn per epoch
+        offset = F.when(F.col("_epoch") <= 0, F.lit(0)).otherwise(bits_mod(F.col("_turn"), n_items))
+        zero_rank = F.pmod(zero_rank + offset, F.lit(n_items))
     key = F.concat(F.lit("item_"), (zero_rank + 1).cast("string"))
     return placed.select(*rows.columns, key.alias("key"))
 
