@@ -59,7 +59,7 @@ def cms_build(
     hash_mode: str = "md5",
     pre_aggregate: bool = True,
 ) -> CountMin:
-    """Sketch of the key column, one per group.
+    """Sketch of the key column, one per group. Weights must not be negative, or the bounds fail.
 
     With `pre_aggregate` rows are first counted per key: each distinct key is hashed once.
     Without it every row goes straight to its cells, which are summed map-side: one shuffle of at

@@ -108,7 +108,8 @@ def apply_cooldown(
     single task, it is cut into chunks of time. Each chunk is first summarised by where it would
     end for each of the few ways to enter it; only these summaries, one per 512 cooldowns of history, are
     followed in order; then every chunk is replayed on its own from its known entry. A chunk with no
-    candidate within a cooldown before it starts a stretch that depends on nothing earlier.
+    candidate within a cooldown before it starts a stretch that depends on nothing earlier. A chunk
+    holds what one worker reports in 512 cooldowns, whatever the length of its history.
     """
     wait = interval_seconds(cooldown) * 1_000_000
     length = wait * CHUNK_COOLDOWNS

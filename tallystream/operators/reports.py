@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallystream.functions.formulas import (
     cms_delta, cms_epsilon, cms_error, hll_relative_error, mg_error, sketch_memory_mb,
@@ -16,6 +17,7 @@ from tallystream.operators.hll import folded_register, hll_build
 from tallystream.operators.keys import key_counts, keyed
 from tallystream.operators.ordered import last_n_per_group, top_k
 from tallystream.operators.percentiles import rolling_percentiles
+from tallystream.schemas import METRICS
 from tallystream.templates import TEMPLATES, template_rows, template_value
 
 # Samples behind a report's percentiles, listed candidates, events in the window.
@@ -215,3 +217,14 @@ def periodic_metrics(
         sketch_memory_mb(*sizes).alias("memory_mb"),
         "memory_percent", "cpu_percent",
     )
+
+
+def as_snapshots(rows: DataFrame, ts: Column | None = None) -> DataFrame:
+    """Report rows in the schema of the metrics history; what a report lacks is null. `ts` stamps
+    reports without a time of their own."""
+    stamped = rows if ts is None else rows.withColumn("ts", ts)
+    wanted = StructType.fromDDL(METRICS).fields
+    return stamped.select(*[
+        (F.col(f.name) if f.name in stamped.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in wanted
+    ])

@@ -47,6 +47,15 @@ def cluster_latest(spark: SparkSession, directory: str) -> DataFrame:
     return _live(spark, directory)
 
 
+def q_cluster(spark: SparkSession, directory: str) -> DataFrame:
+    """The live workers with their number, their latency histories as rows."""
+    live = answers.cluster(worker_metrics(spark, directory), ttl=TICK)
+    return live.select(
+        "worker_count", "worker_id", "ts", "template",
+        F.posexplode("latency_history").alias("position", "latency_ms"),
+    )
+
+
 def latency_history(spark: SparkSession, directory: str) -> DataFrame:
     return snapshots.latency_history(worker_metrics(spark, directory))
 
@@ -194,6 +203,7 @@ def live_answers(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {
     "cluster_latest": cluster_latest,
+    "q_cluster": q_cluster,
     "latency_history": latency_history,
     "controller_log_tail": controller_log_tail,
     "query_log_tail": query_log_tail,
@@ -392,6 +402,18 @@ _ROUTED = f"routed_to, {sql.rhu('score', 4)} as router_score"
 
 ORACLES = {
     "cluster_latest": sql.with_steps(_LIVE, f"select {METRICS_COLUMNS} from live"),
+    "q_cluster": sql.with_steps(
+        {
+            **_LIVE,
+            "recent": (
+                "select worker_id, ts, p99_latency_ms from metrics "
+                "qualify row_number() over (partition by worker_id order by ts desc) <= 60"
+            ),
+        },
+        "select (select count(*) from live) as worker_count, live.worker_id, live.ts, template, "
+        "(row_number() over (partition by live.worker_id order by r.ts) - 1)::int as position, "
+        "r.p99_latency_ms as latency_ms from live join recent r on r.worker_id = live.worker_id",
+    ),
     "latency_history": sql.with_steps(
         {
             **_M,

@@ -5,14 +5,6 @@ from __future__ import annotations
 EVENT = "key string, ts timestamp"
 
 # One row per worker and report.
-METRICS_COLUMNS = [
-    "worker_id", "ts", "template", "event_count",
-    "cms_width", "cms_depth", "cms_total_count", "cms_error_estimate",
-    "hll_precision", "hll_cardinality", "hll_relative_error",
-    "mg_k", "mg_heavy_hitters", "mg_window_total", "mg_error_bound",
-    "p50_latency_ms", "p95_latency_ms", "p99_latency_ms",
-    "memory_mb", "memory_percent", "cpu_percent",
-]
 METRICS = (
     "worker_id string, ts timestamp, template string, event_count bigint, "
     "cms_width int, cms_depth int, cms_total_count bigint, cms_error_estimate double, "

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallystream.functions.numbers import interval_seconds
 from tallystream.operators.control import COOLDOWN, Thresholds, apply_cooldown, decide
-from tallystream.streaming.sketches import batch_path
+from tallystream.streaming.sketches import batch_path, start_batches
 
 _LAST = "worker_id string, last timestamp, batch_id bigint"
 
@@ -30,7 +30,7 @@ def _last_accepted(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
 def start_decisions(
     metrics: DataFrame,
     path: str,
-    checkpoint: str,
+    checkpoint: str | None = None,
     thresholds: Thresholds = Thresholds(),
     cooldown: str = COOLDOWN,
     trigger: dict | None = None,
@@ -60,9 +60,4 @@ def start_decisions(
             batch_path(state, batch_id)
         )
 
-    return (
-        metrics.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(write)
-        .start()
-    )
+    return start_batches(metrics, write, path, checkpoint, trigger=trigger)

@@ -18,6 +18,7 @@ from tallystream.operators.cms import CountMin, cms_build
 from tallystream.operators.epochs import estimate_by_template, own_registers, with_epoch
 from tallystream.operators.hll import HyperLogLog, hll_build
 from tallystream.operators.keys import keyed
+from tallystream.session import stream_state_dir
 
 
 def running_cms(events: DataFrame, key: str, width: int, depth: int, by: Sequence[str] = (),
@@ -60,25 +61,40 @@ def batch_path(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
+def start_batches(
+    rows: DataFrame,
+    write: Callable[[DataFrame, int], None],
+    path: str,
+    checkpoint: str | None = None,
+    mode: str = "append",
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Run `write` on every micro-batch. Progress is kept in `checkpoint`, by default in the shared folder
+    named after `path`; the default trigger runs on what is there and stops."""
+    progress = checkpoint or stream_state_dir(rows.sparkSession, path.strip("/").replace("/", "_"))
+    return (
+        rows.writeStream.outputMode(mode)
+        .option("checkpointLocation", progress)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(write)
+        .start()
+    )
+
+
 def start_table(
-    rows: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: dict | None = None
+    rows: DataFrame, path: str, checkpoint: str | None = None, mode: str = "append",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write a stream as a parquet table with one folder per micro-batch.
 
     `complete` mode gives one full state per batch (`read_state`), `append` a growing table
-    (`read_table`). The default trigger runs on what is there and stops.
+    (`read_table`).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
 
-    return (
-        rows.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(write)
-        .start()
-    )
+    return start_batches(rows, write, path, checkpoint, mode, trigger)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +109,7 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def start_snapshots(
-    metrics: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    metrics: DataFrame, path: str, checkpoint: str | None = None, trigger: dict | None = None
 ) -> StreamingQuery:
     """Append metric rows to the history table; the latest snapshot and the latency history are queries
     over it."""
@@ -107,7 +123,7 @@ def start_epoch_sketches(
     ts: str,
     commands: Callable[[SparkSession], DataFrame],
     path: str,
-    checkpoint: str,
+    checkpoint: str | None = None,
     bucket: str = "1 day",
     trigger: dict | None = None,
 ) -> StreamingQuery:
@@ -130,12 +146,7 @@ def start_epoch_sketches(
         )
         counts.unionByName(registers).write.mode("overwrite").parquet(batch_path(path, batch_id))
 
-    return (
-        events.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(write)
-        .start()
-    )
+    return start_batches(events, write, path, checkpoint, trigger=trigger)
 
 
 def read_epochs(spark: SparkSession, path: str) -> DataFrame:

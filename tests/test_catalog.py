@@ -27,3 +27,12 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", list(queries()))
 def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, DIRECTORY, name) is None
+
+
+@pytest.mark.parametrize("name", list(queries()))
+def test_plans_have_no_cross_join_and_no_row_python(spark, name):
+    """No Cartesian product or nested-loop join, and Python only in the operator that says so."""
+    plan = queries()[name](spark, DIRECTORY)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "BatchEvalPython" not in plan
+    assert ("MapInPandas" in plan) == (name == "heavy_hitters_bounded")

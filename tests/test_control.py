@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallystream.operators import control, epochs, snapshots
-from tallystream.operators.control import Thresholds, apply_cooldown, decide
+from tallystream.operators.control import apply_cooldown, decide
 
 METRICS = (
     "worker_id string, s double, template string, p99_latency_ms double, memory_percent double, "

@@ -198,3 +198,22 @@ def test_paced_zipf_stream(spark):
     got = spark.table("zipf_paced")
     assert got.count() > 0
     assert got.where(~F.col("key").rlike("^item_([1-9]|1[0-9]|20)$")).count() == 0
+
+
+def test_snapshots_have_the_metrics_schema(spark, table, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from tallystream.operators.reports import as_snapshots, sketch_report
+    from tallystream.schemas import METRICS
+
+    report = sketch_report(table, "key", "event_type", F.lit("medium"), "ts", "event_id", "value")
+    rows_ = as_snapshots(report, F.lit(1704067200).cast("timestamp"))
+    assert [(f.name, f.dataType) for f in rows_.schema] == [
+        (f.name, f.dataType) for f in StructType.fromDDL(METRICS)
+    ]
+    rows_.write.parquet(str(tmp_path / "in"))
+    # no checkpoint given: progress goes to the shared folder of the session
+    source = stream(spark, str(tmp_path / "in"), rows_.schema)
+    ss.start_snapshots(source, str(tmp_path / "h")).awaitTermination(120)
+    live = cluster_metrics(ss.read_table(spark, str(tmp_path / "h"))).collect()
+    assert len(live) == 5 and all(r.mg_heavy_hitters[0]["count"] > 0 for r in live)
