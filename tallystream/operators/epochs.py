@@ -71,17 +71,19 @@ def with_epoch(
 
 
 def estimate_by_template(registers: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., estimate) from registers (by..., template, idx, rho) built at each template's own p."""
+    """(by..., template, total_count, estimate) from registers (by..., template, idx, rho, n) built at
+    each template's own p."""
     p = template_value(F.col("template"), "hll_p")
     m = F.pow(F.lit(2.0), p)
     alpha = _alpha(F.col("template"))
     parts = registers.groupBy(*by, "template").agg(
         F.count(F.lit(1)).alias("_used"),
         F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("_inverse"),
+        F.sum("n").alias("total_count"),
     )
     zeros = m - F.col("_used")
     estimate = hll_estimate_of(F.col("_inverse") + zeros, zeros, m, alpha)
-    return parts.select(*by, "template", estimate.alias("estimate"))
+    return parts.select(*by, "template", "total_count", estimate.alias("estimate"))
 
 
 def _alpha(name: Column) -> Column:
@@ -94,12 +96,22 @@ def _alpha(name: Column) -> Column:
 
 
 def own_registers(df: DataFrame, by: list[str], hash_mode: str = "md5") -> DataFrame:
-    """Registers per (by..., template) of rows (by..., template, key), each at its template's p."""
+    """(by..., template, idx, rho, n) of rows (by..., template, key): registers at each template's p,
+    and the events behind each, which add up to the total.
+
+    Combined map-side to 2^p rows per group at most; there is no shuffle by key.
+    """
     own_p = template_value(F.col("template"), "hll_p")
     return (
         with_registers(df.select(*by, "template", "key"), "key", own_p, hash_mode)
         .groupBy(*by, "template", "idx")
-        .agg(F.max("rho").alias("rho"))
+        .agg(F.max("rho").alias("rho"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+def merge_registers(registers: DataFrame, by: list[str]) -> DataFrame:
+    return registers.groupBy(*by, "template", "idx").agg(
+        F.max("rho").alias("rho"), F.sum("n").alias("n")
     )
 
 
@@ -109,14 +121,9 @@ def template_epochs(
     """One row per (worker, epoch): template, events, bounds and distinct keys since its swap."""
     rows = with_epoch(events.select(worker, ts, key), worker, ts, commands, bucket)
     rows = keyed(rows, key, F.col(worker).alias("worker_id"), "epoch", "template")
-    # one shuffle by key feeds totals and registers
-    counts = rows.groupBy("worker_id", "epoch", "template", "key").agg(F.count(F.lit(1)).alias("n"))
-    counted = counts.where(F.col("n") > 0)
     by = ["worker_id", "epoch"]
-    distinct = estimate_by_template(own_registers(counted, by), by)
-    totals = counted.groupBy(*by, "template").agg(F.sum("n").alias("total_count"))
     value = lambda field: template_value(F.col("template"), field)
-    return totals.join(distinct, [*by, "template"]).select(
+    return estimate_by_template(own_registers(rows, by), by).select(
         *by, "template", "total_count",
         cms_error(value("cms_width"), F.col("total_count")).alias("cms_error_bound"),
         F.col("estimate").alias("hll_estimate"),

@@ -80,9 +80,9 @@ def multi_template_report(df: DataFrame, key: str) -> DataFrame:
         .select("idx", "rho", "t.template", "t.hll_p")
         .select("template", idx.alias("idx"), rho.alias("rho"))
         .groupBy("template", "idx")
-        .agg(F.max("rho").alias("rho"))
+        .agg(F.max("rho").alias("rho"), F.lit(0).alias("n"))
     )
-    distinct = estimate_by_template(folded_registers, [])
+    distinct = estimate_by_template(folded_registers, []).drop("total_count")
     exact = counts.agg(F.sum(F.when(F.col("n") > 0, 1))).scalar()
 
     value = lambda field: template_value(F.col("template"), field)
@@ -121,12 +121,8 @@ def sketch_report(
         F.col(worker).alias("worker_id"), template.alias("template"), key, ts, tie, latency
     )
     by = ["worker_id"]
-    counts = keyed(rows, key, "worker_id", "template").groupBy("worker_id", "template", "key").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    counted = counts.where(F.col("n") > 0)
-    totals = counted.groupBy("worker_id", "template").agg(F.sum("n").alias("cms_total_count"))
-    distinct = estimate_by_template(own_registers(counted, by), by)
+    sketched = own_registers(keyed(rows, key, "worker_id", "template"), by)
+    totals = estimate_by_template(sketched, by).withColumnRenamed("total_count", "cms_total_count")
 
     recent = last_n_per_group(rows, by, ts, tie, window)
     recent_counts = key_counts(recent, key, ["worker_id", "template"])
@@ -145,8 +141,7 @@ def sketch_report(
         F.col("_top"), lambda x: F.struct(x["key"].alias("item"), x["est"].alias("count"))
     )
     return (
-        totals.join(distinct, ["worker_id", "template"])
-        .join(window_totals, "worker_id")
+        totals.join(window_totals, "worker_id")
         .join(listed, "worker_id", "left")
         .join(latencies, "worker_id")
         .select(

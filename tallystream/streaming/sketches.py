@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallystream.operators.cms import CountMin, cms_build
-from tallystream.operators.epochs import estimate_by_template, own_registers, with_epoch
+from tallystream.operators.epochs import (
+    estimate_by_template, merge_registers, own_registers, with_epoch,
+)
 from tallystream.operators.hll import HyperLogLog, hll_build
 from tallystream.operators.keys import keyed
 from tallystream.session import stream_state_dir
@@ -130,34 +132,22 @@ def start_epoch_sketches(
     """Sketches that restart at each template command.
 
     Every micro-batch places its events in the epochs of the command table as it is then, and writes its own
-    partial counts and registers per (worker, epoch); `read_epochs` merges them.
+    partial registers and counts per (worker, epoch); `read_epochs` merges them.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         placed = with_epoch(batch.select(worker, ts, key), worker, ts, commands(spark), bucket)
         rows = keyed(placed, key, F.col(worker).alias("worker_id"), "epoch", "template")
-        by = ["worker_id", "epoch"]
-        counts = rows.groupBy(*by, "template").agg(F.count(F.lit(1)).alias("n")).select(
-            *by, "template", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("int").alias("rho"), "n"
+        own_registers(rows, ["worker_id", "epoch"]).write.mode("overwrite").parquet(
+            batch_path(path, batch_id)
         )
-        registers = own_registers(rows, by).select(
-            *by, "template", "idx", "rho", F.lit(None).cast("bigint").alias("n")
-        )
-        counts.unionByName(registers).write.mode("overwrite").parquet(batch_path(path, batch_id))
 
     return start_batches(events, write, path, checkpoint, trigger=trigger)
 
 
 def read_epochs(spark: SparkSession, path: str) -> DataFrame:
     """(worker_id, epoch, template, total_count, hll_estimate) from the partial sketches."""
-    parts = read_table(spark, path)
     by = ["worker_id", "epoch"]
-    totals = parts.where(F.col("idx").isNull()).groupBy(*by, "template").agg(
-        F.sum("n").alias("total_count")
-    )
-    registers = parts.where(F.col("idx").isNotNull()).groupBy(*by, "template", "idx").agg(
-        F.max("rho").alias("rho")
-    )
-    estimates = estimate_by_template(registers, by).withColumnRenamed("estimate", "hll_estimate")
-    return totals.join(estimates, [*by, "template"])
+    merged = merge_registers(read_table(spark, path), by)
+    return estimate_by_template(merged, by).withColumnRenamed("estimate", "hll_estimate")
