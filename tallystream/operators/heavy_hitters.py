@@ -24,11 +24,13 @@ def mg_truncate(
     by: Sequence[str] = (),
     count: str = "n",
     own_k: Column | None = None,
+    floors: DataFrame | None = None,
 ) -> DataFrame:
     """Summary from (by..., key, count).
 
     Only the k largest counts of a group can matter, so they are cut out first, map-side; the rest
-    of the work is on k rows per group. `own_k` gives groups a smaller k of their own.
+    of the work is on k rows per group. `own_k` gives groups a smaller k of their own. `floors`
+    (by..., floor) says what a group's k-th count is at least, where counts up to it were left out.
     """
     check_mg(k)
     order = [F.col(count).desc(), F.col("key")]
@@ -40,9 +42,12 @@ def mg_truncate(
         first = top_k(counts.select("key", count), order, k)
     group = Window.partitionBy(*by)
     full = F.count(F.lit(1)).over(group) == (F.lit(k) if own_k is None else own_k)
-    kth = F.when(full, F.min(count).over(group)).otherwise(0)
+    first = first.withColumn("_kth", F.when(full, F.min(count).over(group)).otherwise(0))
+    if floors is not None:
+        first = first.join(floors, [*by], "left")
+        first = first.withColumn("_kth", F.greatest("_kth", "floor"))
     return (
-        first.withColumn("est", F.col(count) - kth)
+        first.withColumn("est", F.col(count) - F.col("_kth"))
         .where(F.col("est") > 0)
         .select(*by, "key", F.col("est").cast("bigint").alias("est"))
     )

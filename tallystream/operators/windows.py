@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystream.functions.formulas import check_mg
-from tallystream.functions.numbers import interval_seconds, time_bucket
+from tallystream.functions.numbers import epoch_micros, interval_seconds, time_bucket
 from tallystream.operators.heavy_hitters import mg_summary, mg_truncate
 from tallystream.operators.keys import key_counts
 from tallystream.operators.ordered import last_n, last_n_per_group
@@ -34,8 +34,8 @@ def _seconds(n: Column) -> Column:
 def bucket_counts(
     df: DataFrame, key: str, ts: str, bucket: str = "5 seconds", by: Sequence[str] = ()
 ) -> DataFrame:
-    """(by..., bucket, key, n): the stored state of all windows."""
-    timed = df.withColumn("bucket", time_bucket(F.col(ts), bucket))
+    """(by..., bucket, key, n): the stored state of all windows. Rows without a time are in none."""
+    timed = df.where(F.col(ts).isNotNull()).withColumn("bucket", time_bucket(F.col(ts), bucket))
     return key_counts(timed, key, [*by, "bucket"])
 
 
@@ -51,16 +51,19 @@ def slide(buckets: DataFrame, window: str, bucket: str) -> DataFrame:
     )
 
 
-def sliding_counts(buckets: DataFrame, window: str, bucket: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., window_start, window_end, key, n).
-
-    The bucket rows are placed by key before they are multiplied, so that each key's windows add up
-    where they are: the compact table is shuffled, not its copies.
-    """
+def _bucket_floors(buckets: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
+    """(by..., bucket, floor): the k-th largest count of each bucket, 0 with fewer than k keys, from
+    the number of keys per count."""
+    per_count = buckets.groupBy(*by, "bucket", "n").agg(F.count(F.lit(1)).alias("_keys"))
+    downwards = (
+        Window.partitionBy(*by, "bucket").orderBy(F.col("n").desc())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    reached = F.when(F.sum("_keys").over(downwards) >= k, F.col("n"))
     return (
-        slide(buckets.repartition(*by, "key"), window, bucket)
-        .groupBy(*by, "window_start", "window_end", "key")
-        .agg(F.sum("n").alias("n"))
+        per_count.withColumn("_reached", reached)
+        .groupBy(*by, "bucket")
+        .agg(F.coalesce(F.max("_reached"), F.lit(0)).alias("floor"))
     )
 
 
@@ -68,10 +71,32 @@ def sliding_heavy_hitters(
     buckets: DataFrame, k: int, window: str = "60 seconds", bucket: str = "5 seconds",
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """A summary per sliding window, from stored buckets; k and window are query-time choices."""
+    """A summary per sliding window, from stored buckets; k and window are query-time choices.
+
+    The k-th count of a window is at least the k-th count of each of its buckets. A key whose
+    counts around a bucket add up to no more than that cannot rise above it in any window with the
+    bucket, so its row is left out before rows are multiplied: long tails of rare keys stay out
+    of the windows, and results stay exact.
+    """
     check_mg(k)
-    counts = sliding_counts(buckets, window, bucket, by)
-    return mg_truncate(counts, k, [*by, "window_start", "window_end"])
+    _ratio(window, bucket)
+    floors = _bucket_floors(buckets, k, by)
+    span = interval_seconds(window) - interval_seconds(bucket)
+    around = (
+        Window.partitionBy(*by, "key")
+        .orderBy(F.floor(epoch_micros(F.col("bucket")) / 1_000_000))
+        .rangeBetween(-span, span)
+    )
+    placed = buckets.join(floors, [*by, "bucket"]).repartition(*by, "key")
+    rising = (
+        placed.withColumn("_around", F.sum("n").over(around))
+        .where(F.col("_around") > F.col("floor"))
+        .select(*by, "bucket", "key", "n")
+    )
+    windows = [*by, "window_start", "window_end"]
+    counts = slide(rising, window, bucket).groupBy(*windows, "key").agg(F.sum("n").alias("n"))
+    window_floors = slide(floors, window, bucket).groupBy(*windows).agg(F.max("floor").alias("floor"))
+    return mg_truncate(counts, k, windows, floors=window_floors)
 
 
 def windowed_heavy_hitters(

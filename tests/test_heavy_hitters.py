@@ -150,3 +150,29 @@ def test_top_key_follows_a_drift(spark):
     tops = [max(leaders[w])[1] for w in sorted(leaders)]
     assert tops[0] == "item_1"
     assert len(tops) == 2 and tops[1] != "item_1"
+
+
+@pytest.mark.parametrize("k", [2, 4, 8])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_left_out_tails_do_not_change_windows(spark, k, seed):
+    """Many keys seen once or twice, some bursts, and ties at the k-th count."""
+    rng = random.Random(seed)
+    rows = []
+    for t in range(600):
+        kind = rng.random()
+        if kind < 0.3:
+            key = f"hot{rng.randint(0, 3)}"
+        elif kind < 0.6:
+            key = f"burst{t // 50}"
+        else:
+            key = f"rare{rng.randint(0, 400)}"
+        rows.append((1_700_000_000 + t, key))
+    df = spark.createDataFrame(rows, "s bigint, key string").withColumn("ts", F.timestamp_seconds("s"))
+    got = {}
+    for r in win.windowed_heavy_hitters(df, "key", "ts", k, "60 seconds", "10 seconds").collect():
+        got.setdefault(int(r.window_end.timestamp()), {})[r.key] = r.est
+    first = rows[0][0] // 10 * 10
+    for end in range(first + 10, rows[-1][0] // 10 * 10 + 61, 10):
+        inside = Counter(key for s, key in rows if end - 60 <= s // 10 * 10 < end)
+        kth = sorted(inside.values(), reverse=True)[k - 1] if len(inside) >= k else 0
+        assert got.get(end, {}) == {key: n - kth for key, n in inside.items() if n > kth}
