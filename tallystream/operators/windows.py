@@ -35,8 +35,8 @@ def bucket_counts(
     df: DataFrame, key: str, ts: str, bucket: str = "5 seconds", by: Sequence[str] = ()
 ) -> DataFrame:
     """(by..., bucket, key, n): the stored state of all windows. Rows without a time are in none."""
-    timed = df.where(F.col(ts).isNotNull()).withColumn("bucket", time_bucket(F.col(ts), bucket))
-    return key_counts(timed, key, [*by, "bucket"])
+    timed = df.withColumn("bucket", time_bucket(F.col(ts), bucket))
+    return key_counts(timed.where(F.col("bucket").isNotNull()), key, [*by, "bucket"])
 
 
 def slide(buckets: DataFrame, window: str, bucket: str) -> DataFrame:
