@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import mixing, quality_rules
+from tallystream.llm import mixing, near_dup, quality_rules
 from tallystream.llm.sql import MIXING_SQL, QUALITY_RULES_SQL
 from tallystream.session import read_table
 
@@ -16,6 +16,11 @@ def op8_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "level")
 
 
+def op9_near_duplicates(spark: SparkSession, directory: str) -> DataFrame:
+    """Component and verdict of every document under shared 4-word shingles."""
+    return near_dup.near_duplicates(read_table(spark, directory, "documents"))
+
+
 def op10_mixing(spark: SparkSession, directory: str) -> DataFrame:
     """What the mix takes of every document, in the order of first training positions."""
     plan = mixing.mix_plan(read_table(spark, directory, "documents"))
@@ -27,6 +32,7 @@ def op10_mixing(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {
     "op8_quality_rules": op8_quality_rules,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
 }
 
