@@ -5,11 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import mixing, near_dup, quality_rules
+from tallystream.llm import lines, mixing, near_dup, pieces, quality_rules
 from tallystream.llm.sql import MIXING_SQL, QUALITY_RULES_SQL
 from tallystream.session import read_table
 
 
+def op4_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    """Lines of every document, how many went as recurring templates, and a digest of the text that is left."""
+    docs = read_table(spark, directory, "documents").select("doc_id", "text")
+    size = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    return lines.without_repeated_lines(docs.withColumn("n_lines", size), count="n_dropped").select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op5_sentencepiece(spark: SparkSession, directory: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding gives the text back."""
+    docs = read_table(spark, directory, "documents").select("doc_id", "text")
+    vocabulary = pieces.read_vocabulary(pieces.MODEL)
+    both = pieces.decoded(pieces.encoded(docs, vocabulary), vocabulary)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
+        "ids")
+
+
 def op8_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     """Counts and verdict of every document under thresholds of its language and source."""
     return quality_rules.quality_rules(read_table(spark, directory, "documents")).select(
@@ -27,10 +45,12 @@ def op10_mixing(spark: SparkSession, directory: str) -> DataFrame:
     first = F.get("positions", F.lit(0))
     return plan.select(
         "doc_id", "size", "source_size", "target", "taken", "copies", first.alias("position")
-    ).orderBy(F.asc_nulls_last("position"))
+    ).orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
