@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 200_000  # words whose pieces a task keeps
+WORST = float("-inf")
+REMEMBERED = 150_000  # words in each of the two generations that a worker keeps
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -74,18 +75,23 @@ class DoubleArrayTrie:
         self.base, self.check, self.value = [0] * size, [-1] * size, [-1] * size
         taken = bytearray(size)
         taken[0] = 1
-        state, free = {0: 0}, 1
+        # single children fill the first free places, larger families look from a place that moves on
+        state, free, look = {0: 0}, 258, 258
         for node, own in enumerate(children):  # parents come before their children
             at = state[node]
             self.value[at] = value[node]
             if not own:
                 continue
-            while taken[free]:
-                free += 1
             low = min(own) + 1
-            base = max(1, free - low)
+            while free < len(taken) and taken[free]:
+                free += 1
+            base = max(1, (free if len(own) == 1 else max(free, look)) - low)
+            tries = 0
             while any(base + b + 1 < len(taken) and taken[base + b + 1] for b in own):
                 base += 1
+                tries += 1
+            if tries > 64:
+                look = base + low
             need = base + 258 - len(taken)
             if need > 0:
                 self.base += [0] * need
@@ -105,62 +111,57 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         keys = {t.encode(): i for i, t in enumerate(vocabulary.texts) if vocabulary.usable[i]}
         self.trie = DoubleArrayTrie(keys)
-        self.scores = vocabulary.scores
+        self.score = [None if v < 0 else vocabulary.scores[v] for v in self.trie.value]
+        self.single = {k for k in keys if len(k.decode()) == 1}
         self.byte_ids = vocabulary.byte_ids
         self.unknown = min(s for s, u in zip(vocabulary.scores, vocabulary.usable) if u) - UNKNOWN_PENALTY
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
-    def word(self, word: str) -> list[int]:
-        """Ids of a word with its leading markers."""
-        found = self.known.get(word)
+    def _learn(self, word: str) -> list[int]:
+        """Ids of a word that the young generation lacks; the old one goes when the young one is full."""
+        found = self.older.get(word)
         if found is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[word] = self._viterbi(word)
+            found = self._viterbi(word)
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        self.known[word] = found
         return found
 
     def _viterbi(self, word: str) -> list[int]:
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
-        data = word.replace(LITERAL, MARK).encode()
-        literal = set()
-        if LITERAL in word:  # places of the text's own markers, which no piece may cover
-            at = 0
-            for c in word:
-                if c == LITERAL:
-                    literal.update(range(at, at + 3))
-                    at += 3
-                else:
-                    at += len(c.encode())
+        if LITERAL in word:  # no piece may cover a marker of the text itself
+            ids = []
+            for k, part in enumerate(word.split(LITERAL)):
+                ids += ([self.byte_ids[b] for b in MARK.encode()] if k else []) + (self._viterbi(part) if part else [])
+            return ids
+        base, check, value, score = self.trie.base, self.trie.check, self.trie.value, self.score
+        data = word.encode()
         n = len(data)
-        best: list[float | None] = [None] * (n + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        best, back, piece = [WORST] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for i in range(n):
             so_far = best[i]
-            if so_far is None:
+            if so_far == WORST:
                 continue
+            state = 0
+            for j in range(i, n):
+                to = base[state] + data[j] + 1
+                if check[to] != state:
+                    break
+                state = to
+                total = score[to]
+                if total is not None:
+                    total += so_far
+                    if total > best[j + 1]:
+                        best[j + 1], back[j + 1], piece[j + 1] = total, i, value[to]
             lead = data[i]
             width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            single, s, j = False, 0, i
-            while j < n and j not in literal:
-                t = base[s] + data[j] + 1
-                if check[t] != s:
-                    break
-                s, j = t, j + 1
-                v = value[s]
-                if v >= 0:
-                    score = so_far + scores[v]
-                    if best[j] is None or score > best[j]:
-                        best[j], back[j] = score, (i, v)
-                    single = single or j == i + width
-            if not single:
-                j, score = i + width, so_far + self.unknown
-                if best[j] is None or score > best[j]:
-                    best[j], back[j] = score, (i, -1)
-        ids: list[int] = []
+            if data[i: i + width] not in self.single and so_far + self.unknown > best[i + width]:
+                best[i + width], back[i + width], piece[i + width] = so_far + self.unknown, i, -1
+        ids = []
         at = n
         while at:
-            i, v = back[at]
+            i, v = back[at], piece[at]
             ids.extend([v] if v >= 0 else [self.byte_ids[b] for b in reversed(data[i:at])])
             at = i
         ids.reverse()
@@ -171,9 +172,8 @@ class Encoder:
             return []
         marked = MARK + text.replace(MARK, LITERAL).replace(" ", MARK)
         ids: list[int] = []
-        word = self.word
         for w in _WORDS.findall(marked):
-            ids += word(w)
+            ids += self.known.get(w) or self._learn(w)
         return ids
 
 

@@ -5,11 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import lines, mixing, near_dup, pieces, quality_rules
+from tallystream.llm import language, lines, mixing, near_dup, pieces, quality_rules, toxicity
+from tallystream.llm.shared import remainder
 from tallystream.llm.sql import MIXING_SQL, QUALITY_RULES_SQL
 from tallystream.session import read_table
 
 
+def op1_language(spark: SparkSession, directory: str) -> DataFrame:
+    """Predicted language of every document; learned where crc32 of the id modulo 3 is not 1."""
+    docs = read_table(spark, directory, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    model = language.fit(docs, ~held_out)
+    return language.predicted(docs.select("doc_id", "text", held_out.alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op3_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    """Toxicity of every document; learned where crc32 of the id modulo 5 is not 0."""
+    docs = read_table(spark, directory, "documents")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = read_table(spark, directory, "labels").filter(~held_out).select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels)
+    return toxicity.scored(docs.select("doc_id", "text", held_out.alias("held_out")), model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
 def op4_line_dedup(spark: SparkSession, directory: str) -> DataFrame:
     """Lines of every document, how many went as recurring templates, and a digest of the text that is left."""
     docs = read_table(spark, directory, "documents").select("doc_id", "text")
@@ -49,6 +69,8 @@ def op10_mixing(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
+    "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
