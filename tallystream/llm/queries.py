@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import language, lines, mixing, near_dup, pieces, quality_rules, toxicity
+from tallystream.llm import language, lines, mixing, near_dup, pieces, private, quality_rules, toxicity
 from tallystream.llm.shared import remainder
-from tallystream.llm.sql import MIXING_SQL, QUALITY_RULES_SQL
+from tallystream.llm.sql import MIXING_SQL, PRIVATE_SQL, QUALITY_RULES_SQL
 from tallystream.session import read_table
 
 
@@ -20,6 +20,15 @@ def op1_language(spark: SparkSession, directory: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op2_private(spark: SparkSession, directory: str) -> DataFrame:
+    """Counts, digest and list of the personal data of every document."""
+    found = private.private_spans(read_table(spark, directory, "documents").select("doc_id", "text"))
+    base = private.written(F.filter("private", lambda s: s["kind"].isin(*private.PATTERNS)))
+    return found.select(
+        "doc_id", *[f"n_{k}" for k in private.PATTERNS], F.sha2(base, 256).alias("base_sha256"),
+        private.written(F.col("private")).alias("spans"))
+
+
 def op3_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     """Toxicity of every document; learned where crc32 of the id modulo 5 is not 0."""
     docs = read_table(spark, directory, "documents")
@@ -70,6 +79,7 @@ def op10_mixing(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_private": op2_private,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
@@ -79,6 +89,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_private": PRIVATE_SQL,
     "op8_quality_rules": QUALITY_RULES_SQL,
     "op10_mixing": MIXING_SQL,
 }

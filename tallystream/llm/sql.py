@@ -112,3 +112,78 @@ mix as (select *, case when copies > 0 then
 
 MIXING_SQL = f"""with {mixing_steps('documents')}
 select doc_id, size, source_size, target, copies * size as taken, copies, position from mix"""
+
+
+def _spans_sql(kind: str, pattern: str, keep: str) -> str:
+    """List of (kind, start, end) of the matches of a pattern that pass a test on `hit` and `before`."""
+    return rf"""
+{kind}_raw as (select rid, t, regexp_extract_all(t, '{pattern}') as hits from numbered),
+{kind}_walk as (
+    select rid, t, hits, 1 as i, strpos(t, hits[1]) - 1 as start from {kind}_raw where len(hits) > 0
+    union all
+    select rid, t, hits, i + 1, start + length(hits[i])
+        + strpos(substr(t, (start + length(hits[i]) + 1)::bigint), hits[i + 1]) - 1
+    from {kind}_walk where i < len(hits)),
+{kind}_at as (select rid, hits[i] as hit, start::bigint as start, (start + length(hits[i]))::bigint as stop,
+    lower(substr(t, (greatest(start - 40, 0) + 1)::bigint, least(start, 40)::bigint)) as before,
+    case when start > 0 then substr(t, start::bigint, 1) else '' end as left_char,
+    substr(t, (start + length(hits[i]) + 1)::bigint, 1) as right_char from {kind}_walk),
+{kind}_spans as (select rid, list('{kind}:' || start || ':' || stop order by start) as spans, count(*)::bigint as n
+    from {kind}_at where {keep} group by rid)"""
+
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = rf"""list_sum([case when i % 2 = 0 then substr(reverse({_DIGITS}), i, 1)::int * 2
+    - case when substr(reverse({_DIGITS}), i, 1)::int > 4 then 9 else 0 end
+    else substr(reverse({_DIGITS}), i, 1)::int end for i in range(1, length({_DIGITS}) + 1)]) % 10 = 0"""
+_PLAIN = "replace(hit, ' ', '')"
+_TURNED = f"(substr({_PLAIN}, 5) || substr({_PLAIN}, 1, 4))"
+_MOD97 = rf"""list_reduce(list_prepend(0, [case when ascii(c) >= 65 then ascii(c) - 55 else ascii(c) - 48 end
+    for c in string_split({_TURNED}, '')]),
+    lambda r, c: case when c > 9 then (r * 100 + c) % 97 else (r * 10 + c) % 97 end) = 1"""
+
+
+def _worth(base: str, words: str, against: str, apart: str) -> str:
+    """The score of an added kind reaches 50."""
+    return rf"""{base} + case when regexp_matches(before, '{words}') then 30 else 0 end
+    - case when regexp_matches(before, '{against}') then 30 else 0 end
+    - case when regexp_matches(left_char, '{apart}') or regexp_matches(right_char, '{apart}') then 100 else 0 end >= 50"""
+
+
+def private_sql() -> str:
+    """All kinds by their plain patterns; positions by looking for each match behind the previous one.
+
+    The first place of a match's text behind the previous match is the match itself: an earlier one would have
+    been found first.
+    """
+    phone = "phone|tel|call|mobile|fax|cell|telefon|teléfono|téléphone"
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+               "list_bool_and([length(ltrim(x, '0')) <= 3 and coalesce(try_cast(ltrim(x, '0') as int), 0) <= 255 "
+               "for x in string_split(hit, '.')])"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) between 13 and 19 and {_LUHN}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 9 and 15"),
+        "iban": (r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", _worth(
+            f"60 + case when {_MOD97} then 40 else -60 end", "iban|account|konto|compte|cuenta|bank",
+            "order|serial|isbn", "[A-Za-z0-9]")),
+        "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", _worth(
+            "30", "ssn|social|security|tax", "order|serial|isbn|part", "[0-9-]")),
+        "tel": (r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}", _worth(
+            "30", phone, "order|serial|isbn|part", "[0-9+().-]")),
+    }
+    base = list(kinds)[:4]
+    steps = ",".join(_spans_sql(k, p, keep) for k, (p, keep) in kinds.items())
+    joins = " ".join(f"left join {k}_spans {k} using (rid)" for k in kinds)
+
+    def listed(names: list[str]) -> str:
+        return "array_to_string(" + " || ".join(f"coalesce({k}.spans, [])" for k in names) + ", ',')"
+
+    return f"""with recursive
+numbered as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),{steps}
+select doc_id, {', '.join(f'coalesce({k}.n, 0)::bigint as n_{k}' for k in base)},
+    sha256({listed(base)}) as base_sha256, {listed(list(kinds))} as spans
+from numbered {joins}"""
+
+
+PRIVATE_SQL = private_sql()
