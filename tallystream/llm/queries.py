@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import language, lines, mixing, near_dup, pieces, private, quality_rules, toxicity
+from tallystream.llm import language, lines, mixing, near_dup, neighbours, pieces, private, quality, quality_rules, toxicity
 from tallystream.llm.shared import remainder
 from tallystream.llm.sql import MIXING_SQL, PRIVATE_SQL, QUALITY_RULES_SQL
 from tallystream.session import read_table
@@ -57,6 +57,18 @@ def op5_sentencepiece(spark: SparkSession, directory: str) -> DataFrame:
         "ids")
 
 
+def op6_quality(spark: SparkSession, directory: str) -> DataFrame:
+    """Quality of every document; its source is the host, source and language are the path."""
+    docs = read_table(spark, directory, "documents")
+    model = quality.fit(docs, read_table(spark, directory, "labels").select("doc_id", "quality"))
+    return quality.quality(docs, model, F.col("source"), F.col("lang"))
+
+
+def op7_neighbours(spark: SparkSession, directory: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    return neighbours.nearest(read_table(spark, directory, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op8_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
     """Counts and verdict of every document under thresholds of its language and source."""
     return quality_rules.quality_rules(read_table(spark, directory, "documents")).select(
@@ -83,6 +95,8 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_quality": op6_quality,
+    "op7_neighbours": op7_neighbours,
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
