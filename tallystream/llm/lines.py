@@ -135,17 +135,23 @@ def without_repeated_lines(
 
     `count` names a new column for their number, `length` a column that is to hold the text's length, if there.
     """
-    gone = staged(dropped_lines(docs, row_id, text), "dropped-lines").select(
-        F.col("id").alias("_gone_id"), F.col("mark").alias("_gone_mark"), F.col("drops").alias("_drops"))
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
-    joined = docs.join(
-        gone, (F.col(row_id).cast("long") == F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_mark")), "left")
-    shorter = joined.withColumn("_lines", F.when(F.col("_drops").isNotNull(), lines)).withColumn(
-        "_text", F.when(F.col("_drops").isNotNull(), F.array_join(
-            F.transform(kept, lambda i: F.get("_lines", i)), "\n")).otherwise(F.col(text)))
-    new = {text: F.col("_text"), length: F.when(F.col("_drops").isNull(), F.col(length)).otherwise(
-        F.length("_text")).cast(docs.schema[length].dataType)} if length in docs.columns else {text: F.col("_text")}
-    columns = [new.get(c, F.col(c)).alias(c) for c in docs.columns]
-    extra = [F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias(count)] if count else []
-    return shorter.select(*columns, *extra)
+    gone = staged(dropped_lines(docs, row_id, text), "dropped-lines")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), F.col(row_id).cast("long").alias("_id"), F.col(text).alias("_old"))
+    joined = rows.join(gone, (rows["_id"] == gone["id"]) & (F.xxhash64("_old") == gone["mark"]), "left")
+    touched = F.col("drops").isNotNull()
+    shorter = joined.withColumn("_lines", F.when(touched, F.split("_old", "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("drops"))
+    new_text = F.when(touched, F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")).otherwise(F.col("_old"))
+    done = shorter.withColumn("_new", new_text)
+
+    def column(name: str) -> Column:
+        if name == text:
+            return F.col("_new").alias(name)
+        if name == length:
+            kind = docs.schema[name].dataType
+            return F.when(touched, F.length("_new").cast(kind)).otherwise(F.col("_row")[name]).alias(name)
+        return F.col("_row")[name].alias(name)
+
+    extra = [F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias(count)] if count else []
+    return done.select(*[column(c) for c in docs.columns if c != count], *extra)

@@ -138,7 +138,10 @@ def private_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Texts without a sign of a kind (an at sign, a plus sign, digits) skip its pattern.
     """
-    body = F.col(text)
+    results = ["private", *[f"n_{k}" for k in PATTERNS]]
+    others = [c for c in docs.columns if c not in results]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(text).alias("_text"))
+    body = F.col("_text")
     signs = {"email": F.contains(body, F.lit("@")), "ip": body.rlike(r"[0-9]\.[0-9]"),
              "card": body.rlike(r"(?:[0-9][\x20-]?){12}[0-9]"), "phone": body.rlike(r"\+[0-9]")}
     step = docs.withColumns({f"_{k}": F.when(signs[k], _matches(body, p)) for k, p in PATTERNS.items()} | {
@@ -161,7 +164,7 @@ def private_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumns({
         "private": F.concat(*[F.col(f"_s_{k}") for k in KINDS]),
         **{f"n_{k}": F.size(f"_s_{k}").cast("long") for k in PATTERNS},
-    }).drop(*[f"_{k}" for k in KINDS], *[f"_s_{k}" for k in KINDS])
+    }).select("_row.*", *results)
 
 
 def written(spans: Column) -> Column:
