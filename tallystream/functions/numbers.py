@@ -12,6 +12,11 @@ def round_half_up(value: Column, digits: int = 0) -> Column:
     return F.floor(value * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
 
 
+def number_or(column: str, default: float) -> Column:
+    """The column, or a default where it is null or NaN."""
+    return F.coalesce(F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")), F.lit(default))
+
+
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since the epoch of a timestamp (with or without zone, session zone UTC)."""
     return F.unix_micros(ts.cast("timestamp"))

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tallystream.functions.formulas import check_cms, cms_error
 from tallystream.functions.hashing import check_mode, cms_col, cms_row_hash, cms_slot
-from tallystream.operators.keys import key_counts, keyed
+from tallystream.operators.keys import key_counts, keyed, whole_weight
+from tallystream.operators.ordered import join_on
 
 # Largest table that may ride along as one array value (1 MB).
 DENSE_CELLS_MAX = 1 << 17
@@ -69,7 +70,7 @@ def cms_build(
     if pre_aggregate:
         counted = key_counts(df, key, by, weight)
     else:
-        amount = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+        amount = whole_weight(weight) if weight else F.lit(1).cast("bigint")
         counted = keyed(df.withColumn("n", amount), key, *by, "n")
     return cms_from_counts(counted, width, depth, by, hash_mode)
 
@@ -127,13 +128,14 @@ def cms_resize(df: DataFrame, key: str, sketch: CountMin, width: int, depth: int
 
 
 def cms_query(sketch: CountMin, key: str) -> DataFrame:
-    """(by..., key, estimate) of one key: reads depth cells, a missing cell counts 0."""
+    """(by..., key, estimate) of one key for every group: the least of its depth cells, a missing one counts 0."""
     hit = F.lit(False)
     for r in range(sketch.depth):
         column = cms_col(F.lit(key), r, sketch.width, sketch.hash_mode)
         hit = hit | ((F.col("row_id") == r) & (F.col("col_id") == column))
-    found = sketch.cells.where(hit).groupBy(*sketch.by).agg(
-        F.count(F.lit(1)).alias("_found"), F.min("cnt").alias("_least")
+    # every group answers, also one without any of the key's cells
+    found = sketch.cells.groupBy(*sketch.by).agg(
+        F.count_if(hit).alias("_found"), F.min(F.when(hit, F.col("cnt"))).alias("_least")
     )
     estimate = F.when(F.col("_found") == sketch.depth, F.col("_least")).otherwise(F.lit(0))
     return found.select(*sketch.by, F.lit(key).alias("key"), estimate.cast("bigint").alias("estimate"))
@@ -154,7 +156,7 @@ def cms_lookup(sketch: CountMin, keys: DataFrame, key: str = "key") -> DataFrame
     """The rows of `keys` with their `estimate`.
 
     An ungrouped table of bounded size travels as one array and each estimate is `depth` array reads: a map-only
-    job over the keys, whatever their number. Otherwise keys and cells meet in a join.
+    job over the keys, whatever their number. Otherwise keys and cells meet in a join. A null key has estimate 0.
     """
     if not sketch.by and sketch.size <= DENSE_CELLS_MAX:
         table = _dense(sketch)
@@ -163,15 +165,15 @@ def cms_lookup(sketch: CountMin, keys: DataFrame, key: str = "key") -> DataFrame
             for r in range(sketch.depth)
         ]
         reads = F.array(*[F.get(table, s) for s in slots])
-        return keys.withColumn("estimate", F.array_min(reads))
+        return keys.withColumn("estimate", F.coalesce(F.array_min(reads), F.lit(0)))
     touched = cms_cells(keys.select(*sketch.by, key).distinct(), key, sketch.width, sketch.depth,
                         sketch.by, sketch.hash_mode)
     estimates = (
-        touched.join(sketch.cells, [*sketch.by, "row_id", "col_id"], "left")
+        join_on(touched, sketch.cells, [*sketch.by, "row_id", "col_id"], "left")
         .groupBy(*sketch.by, key)
         .agg(F.min(F.coalesce("cnt", F.lit(0))).alias("estimate"))
     )
-    return keys.join(estimates, [*sketch.by, key], "left")
+    return join_on(keys, estimates, [*sketch.by, key], "left").select(*keys.columns, "estimate")
 
 
 def cms_accuracy(df: DataFrame, key: str, width: int, depth: int, hash_mode: str = "md5") -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystream.functions.numbers import epoch_micros, interval_seconds, round_half_up
+from tallystream.functions.numbers import epoch_micros, interval_seconds, number_or, round_half_up
 from tallystream.operators.ordered import last_known
 from tallystream.templates import DEFAULT_TEMPLATE, TEMPLATE_NAMES
 
@@ -48,8 +48,8 @@ def decide(metrics: DataFrame, thresholds: Thresholds = Thresholds()) -> DataFra
     """
     limit = thresholds
     current = F.coalesce("template", F.lit(DEFAULT_TEMPLATE))
-    p99 = F.coalesce("p99_latency_ms", F.lit(0.0))
-    memory = F.coalesce("memory_percent", F.lit(0.0))
+    p99 = number_or("p99_latency_ms", 0.0)
+    memory = number_or("memory_percent", 0.0)
     total = F.coalesce(F.nullif("cms_total_count", F.lit(0)), F.lit(1))
     error = F.coalesce("cms_error_estimate", F.lit(0.0)) / total
 
@@ -206,10 +206,20 @@ def controller_log(decisions: DataFrame) -> DataFrame:
     return decisions.select("ts", "worker_id", "message")
 
 
+def in_force(commands: DataFrame) -> DataFrame:
+    """The set_template commands, one for each worker and time: of several at one time the finest template holds.
+
+    Timeline and epochs both use this order, so they cannot disagree.
+    """
+    rank = F.array_position(F.array(*[F.lit(t) for t in TEMPLATE_NAMES]), F.col("template"))
+    swaps = commands.where(F.col("action") == "set_template")
+    return swaps.groupBy("worker_id", "ts").agg(F.max_by("template", F.struct(rank, "template")).alias("template"))
+
+
 def template_timeline(metrics: DataFrame, commands: DataFrame, chunk: str = "1 day") -> DataFrame:
     """(worker_id, ts, template): the commanded template in force at each report; medium before the
     first command."""
-    asked = commands.where(F.col("action") == "set_template").select(
+    asked = in_force(commands).select(
         "worker_id", "ts", F.col("template").alias("_set"), F.lit(False).alias("_report")
     )
     reports = metrics.select(

@@ -9,6 +9,7 @@ from tallystream.functions.formulas import (
     cms_error, hll_alpha, hll_estimate_of, hll_relative_error, mg_error,
 )
 from tallystream.functions.numbers import interval_seconds, time_bucket
+from tallystream.operators.control import in_force
 from tallystream.operators.heavy_hitters import mg_truncate
 from tallystream.operators.hll import with_registers
 from tallystream.operators.keys import keyed
@@ -20,7 +21,7 @@ def command_intervals(commands: DataFrame) -> DataFrame:
 
     Commands of one worker lie at least a cooldown apart, so a worker's list is short.
     """
-    swaps = commands.where(F.col("action") == "set_template")
+    swaps = in_force(commands)
     line = Window.partitionBy("worker_id").orderBy("ts")
     return swaps.select(
         "worker_id",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallystream.functions.formulas import check_mg
 from tallystream.operators.keys import key_counts, keyed
-from tallystream.operators.ordered import top_k, top_k_per_group
+from tallystream.operators.ordered import join_on, top_k, top_k_per_group
 
 
 def mg_truncate(
@@ -44,7 +44,7 @@ def mg_truncate(
     full = F.count(F.lit(1)).over(group) == (F.lit(k) if own_k is None else own_k)
     first = first.withColumn("_kth", F.when(full, F.min(count).over(group)).otherwise(0))
     if floors is not None:
-        first = first.join(floors, [*by], "left")
+        first = join_on(first, floors, by, "left")
         first = first.withColumn("_kth", F.greatest("_kth", "floor"))
     return (
         first.withColumn("est", F.col(count) - F.col("_kth"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,14 @@ def keyed(df: DataFrame, key: str, *keep: str) -> DataFrame:
     return df.select(text.alias("key"), *keep).where(F.col("key").isNotNull() & (F.col("key") != ""))
 
 
+def whole_weight(weight: str) -> Column:
+    """A weight as bigint; a fractional one ends the query, because cutting it would break the bounds."""
+    value = F.col(weight)
+    whole = value.cast("bigint")
+    return F.when(value.isNull() | (value == whole), whole).otherwise(
+        F.raise_error(F.lit(f"weights in {weight!r} must be whole numbers")))
+
+
 def key_counts(
     df: DataFrame, key: str, by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
@@ -23,5 +31,5 @@ def key_counts(
     per map task.
     """
     kept = [*by] + ([weight] if weight else [])
-    amount = F.sum(F.col(weight).cast("bigint")) if weight else F.count(F.lit(1))
+    amount = F.sum(whole_weight(weight)) if weight else F.count(F.lit(1))
     return keyed(df, key, *kept).groupBy(*by, "key").agg(amount.alias("n"))

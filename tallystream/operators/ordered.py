@@ -16,20 +16,26 @@ from pyspark.sql import functions as F
 from tallystream.functions.numbers import epoch_micros, interval_seconds, time_bucket
 
 # Every task sends its first n rows to a single one; for raw tables with many tasks only a small n may.
+# The bounds choose between plans with equal results.
 TAKE_ORDERED_MAX = 100
+GROUP_LIMIT_MAX = 1_000
 SALTS = 64
 
 
+def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join that treats null keys as equal; the right side's keys are dropped."""
+    renamed = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in on:
+        same = same & left[c].eqNullSafe(renamed[f"_on_{c}"])
+    return left.join(renamed, same, how).drop(*[f"_on_{c}" for c in on])
+
+
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """First k rows of the whole input (a k-row heap per task, no global sort)."""
     return df.orderBy(*order).limit(k)
 
 
-def _group_limit_threshold(df: DataFrame) -> int:
-    conf = df.sparkSession.conf
-    return int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-
-
 def top_k_per_group(
     df: DataFrame,
     by: Sequence[str],
@@ -40,12 +46,11 @@ def top_k_per_group(
 ) -> DataFrame:
     """First k rows per group, numbered from 1 in `rank`.
 
-    Up to Spark's group-limit threshold each map task forwards at most k rows per group. `raw` tables
+    Spark's group limit lets each map task forward at most k rows per group, for small k. `raw` tables
     have so many map tasks that even these are too many for one task: a first round then takes the
-    first k per group and set of map tasks. It is also taken beyond the threshold, where
-    tasks forward all rows.
+    first k per group and set of map tasks. It is also taken for large k, where tasks forward all rows.
     """
-    if raw or k > _group_limit_threshold(df):
+    if raw or k > GROUP_LIMIT_MAX:
         # any split of the rows gives the same result; by map task, each task still sends k rows
         split = Window.partitionBy(*by, "_part").orderBy(*order)
         df = (
@@ -65,9 +70,13 @@ FANOUT = 65_536      # second-round cells per selected cell
 
 
 def log_cell(v: Column) -> Column:
-    """Order-preserving cell with a bounded number of values over all doubles."""
+    """Order-preserving cell with a bounded number of values over all doubles; NaN comes last."""
     v = v.cast("double")
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * LOG_STEPS)).cast("bigint")
+    edge = F.lit(1 << 60)
+    inside = (F.signum(v) * F.floor(F.log1p(F.abs(v)) * LOG_STEPS)).cast("bigint")
+    return (
+        F.when(F.isnan(v), edge + 1).when(v == float("inf"), edge).when(v == float("-inf"), -edge).otherwise(inside)
+    )
 
 
 def _pick(hist: DataFrame, groups: Sequence[str], cell: str) -> DataFrame:
@@ -90,7 +99,7 @@ def _beside(rows: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame
     the files' statistics. How to join grouped ones is left to Spark's size statistics.
     """
     if by:
-        return rows.join(targets, [*by, "_cell"])
+        return join_on(rows, targets, [*by, "_cell"])
     # reads both bounds, as the join does, so that the histogram is computed once for the two
     low = targets.select(F.min(F.least("_from", "_to"))).scalar()
     return rows.where(F.col("_v") >= low).join(F.broadcast(targets), "_cell")
@@ -160,15 +169,17 @@ CUTOFF_CELL_MICROS = 60_000_000
 
 
 def last_n(df: DataFrame, ts: str, tie: str, n: int) -> DataFrame:
-    """The n latest rows by (ts, tie)."""
+    """The n latest rows by (ts, tie). Rows without a time take no part."""
+    df = df.where(F.col(ts).isNotNull())
     if n <= TAKE_ORDERED_MAX:
         return top_k(df, [F.col(ts).desc(), F.col(tie).desc()], n)
     return last_n_from_cutoff(df, (), ts, tie, n)
 
 
 def last_n_per_group(df: DataFrame, by: Sequence[str], ts: str, tie: str, n: int) -> DataFrame:
-    """The n latest rows of each group by (ts, tie)."""
-    if n <= _group_limit_threshold(df):
+    """The n latest rows of each group by (ts, tie). Rows without a time take no part; null is a group."""
+    df = df.where(F.col(ts).isNotNull())
+    if n <= TAKE_ORDERED_MAX:
         latest = [F.col(ts).desc(), F.col(tie).desc()]
         return top_k_per_group(df, by, latest, n, rank="_latest", raw=True).drop("_latest")
     return last_n_from_cutoff(df, by, ts, tie, n)
@@ -188,7 +199,7 @@ def last_n_from_cutoff(
         *by, F.col("value").alias("_cut"), (F.col("ties") - F.col("skipped")).alias("_room")
     )
     if by:
-        kept = df.join(cut, [*by]).where(F.col(ts) >= F.col("_cut"))
+        kept = join_on(df, cut, by).where(F.col(ts) >= F.col("_cut"))
     else:
         # two subqueries over one plan; the first stays a plain value that files can be pruned by
         first, room = cut.select("_cut").scalar(), cut.agg(F.max("_room")).scalar()
@@ -228,7 +239,7 @@ def previous_row(
     before = Window.partitionBy(*by).orderBy("_chunk")
     carries = _carried(placed, by, packed).withColumn("_carry", F.lag("_carry").over(before))
     return (
-        placed.join(carries, [*by, "_chunk"])
+        join_on(placed, carries, [*by, "_chunk"])
         .withColumn("_previous", F.coalesce("_local", "_carry"))
         .select(*df.columns, *[F.col(f"_previous.{name}") for name in columns.values()])
     )
@@ -250,6 +261,6 @@ def last_known(
     carries = _carried(placed, by, F.col("_local")).withColumn(
         "_carry", F.last("_carry", ignorenulls=True).over(before)
     )
-    return placed.join(carries, [*by, "_chunk"]).select(
+    return join_on(placed, carries, [*by, "_chunk"]).select(
         *df.columns, F.coalesce("_local", "_carry").alias(alias)
     )

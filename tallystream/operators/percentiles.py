@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystream.operators.ordered import last_n, last_n_per_group, select_ranks
+from tallystream.operators.ordered import join_on, last_n, last_n_per_group, select_ranks
 
-# Up to this many samples a group's values are sorted as one array.
+# Up to this many samples a group's values are sorted as one array; both ways give the same rows.
 ARRAY_MAX = 10_000
 
 
@@ -43,12 +43,17 @@ def rolling_percentiles(
 def exact_percentiles(
     df: DataFrame, value: str, by: Sequence[str] = (), ps: Sequence[int] = (50, 95, 99)
 ) -> DataFrame:
-    """The same over all samples, by rank selection instead of a sort."""
+    """The same over all samples, by rank selection instead of a sort. Null values do not count, NaN is the largest
+    value; a group without values has 0 samples and percentiles 0."""
     found = select_ranks(
         df, value, {f"p{p}": percentile_rank(F.col("n"), p) for p in ps}, by
     )
     columns = [F.max(F.when(F.col("target") == f"p{p}", F.col("value"))).alias(f"p{p}") for p in ps]
-    return found.groupBy(*by).agg(F.max("n").alias("samples"), *columns)
+    values = found.groupBy(*by).agg(*columns)
+    # a row for every group, and for an ungrouped empty input
+    groups = df.groupBy(*by).agg(F.count(value).alias("samples"))
+    filled = [F.coalesce(f"p{p}", F.lit(0.0)).alias(f"p{p}") for p in ps]
+    return join_on(groups, values, by, "left").select(*by, "samples", *filled)
 
 
 def approx_percentiles(

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystream.functions.numbers import round_half_up
+from tallystream.functions.numbers import number_or, round_half_up
 from tallystream.templates import QUERY_PROFILES, profile, template_value
 
 
@@ -48,8 +48,8 @@ def node_score(alpha_q: Column, latency_sla_ms: Column, weights: Weights = Weigh
     The latency term reads the p99; a missing one counts as 1 ms, missing memory as 0.
     """
     capability = template_value(F.coalesce("template", F.lit("")), "capability")
-    latency = F.greatest(F.coalesce("p99_latency_ms", F.lit(1.0)), F.lit(0.001))
-    memory = F.coalesce("memory_percent", F.lit(0.0)) / F.lit(100.0)
+    latency = F.greatest(number_or("p99_latency_ms", 1.0), F.lit(0.001))
+    memory = number_or("memory_percent", 0.0) / F.lit(100.0)
     return (
         F.lit(weights.accuracy) * (capability / F.greatest(alpha_q, F.lit(1e-6)))
         - F.lit(weights.latency) * (latency / F.greatest(latency_sla_ms, F.lit(1.0)))

@@ -15,8 +15,8 @@ from tallystream.operators.epochs import estimate_by_template, own_registers
 from tallystream.operators.heavy_hitters import mg_truncate, top_n
 from tallystream.operators.hll import folded_register, hll_build
 from tallystream.operators.keys import key_counts, keyed
-from tallystream.operators.ordered import last_n_per_group, top_k
-from tallystream.operators.percentiles import rolling_percentiles
+from tallystream.operators.ordered import join_on, last_n_per_group, top_k
+from tallystream.operators.percentiles import exact_percentiles, rolling_percentiles
 from tallystream.schemas import METRICS
 from tallystream.templates import TEMPLATES, template_rows, template_value
 
@@ -124,8 +124,10 @@ def sketch_report(
     sketched = own_registers(keyed(rows, key, "worker_id", "template"), by)
     totals = estimate_by_template(sketched, by).withColumnRenamed("total_count", "cms_total_count")
 
-    recent = last_n_per_group(rows, by, ts, tie, window)
-    recent_counts = key_counts(recent, key, ["worker_id", "template"])
+    # the window holds the latest countable events: rows without a key were never added to it
+    countable = keyed(rows, key, "worker_id", "template", ts, tie)
+    recent = last_n_per_group(countable, by, ts, tie, window)
+    recent_counts = key_counts(recent, "key", ["worker_id", "template"])
     window_totals = recent_counts.groupBy("worker_id").agg(F.sum("n").alias("mg_window_total"))
     largest = max(t.mg_k for t in TEMPLATES)
     summary = mg_truncate(recent_counts, largest, ["worker_id", "template"],
@@ -141,9 +143,8 @@ def sketch_report(
         F.col("_top"), lambda x: F.struct(x["key"].alias("item"), x["est"].alias("count"))
     )
     return (
-        totals.join(window_totals, "worker_id")
-        .join(listed, "worker_id", "left")
-        .join(latencies, "worker_id")
+        join_on(join_on(join_on(totals, window_totals, by, "left"), listed, by, "left"), latencies, by, "left")
+        .withColumn("mg_window_total", F.coalesce("mg_window_total", F.lit(0)))
         .select(
             "worker_id", "template",
             sizes[0].alias("cms_width"), sizes[1].alias("cms_depth"), "cms_total_count",
@@ -173,12 +174,11 @@ def periodic_metrics(
     template: Column,
     memory_percent: Column,
     cpu_percent: Column,
-    samples: int = REPORT_SAMPLES,
 ) -> DataFrame:
     """Metrics table: one row per worker and tick, over what the worker saw until the tick.
 
     `template` is an expression over the tick's start `ts`; the two loads are aggregates over the
-    rows of a tick. Percentiles are over the latest samples of the tick.
+    rows of a tick. Percentiles are over all samples of the tick.
     """
     interval_seconds(tick)
     rows = df.withColumn("worker_id", F.col(worker)).withColumn("_tick", time_bucket(F.col(ts), tick))
@@ -187,10 +187,9 @@ def periodic_metrics(
         F.count(F.lit(1)).alias("n"), memory_percent.alias("memory_percent"), cpu_percent.alias("cpu_percent")
     )
     line = Window.partitionBy("worker_id").orderBy("_tick").rowsBetween(Window.unboundedPreceding, 0)
-    latencies = rolling_percentiles(rows, latency, ts, tie, by, samples)
+    latencies = exact_percentiles(rows, latency, by)
     named = (
-        loads.withColumn("event_count", F.sum("n").over(line))
-        .join(latencies, by)
+        join_on(loads.withColumn("event_count", F.sum("n").over(line)), latencies, by)
         .withColumn("ts", F.col("_tick"))
         .withColumn("template", template)
     )

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from tallystream.functions.formulas import check_mg
 from tallystream.functions.numbers import epoch_micros, interval_seconds, time_bucket
 from tallystream.operators.heavy_hitters import mg_summary, mg_truncate
-from tallystream.operators.keys import key_counts
-from tallystream.operators.ordered import last_n, last_n_per_group
+from tallystream.operators.keys import key_counts, keyed
+from tallystream.operators.ordered import join_on, last_n, last_n_per_group
 
 
 def _ratio(window: str, bucket: str) -> int:
@@ -87,7 +87,7 @@ def sliding_heavy_hitters(
         .orderBy(F.floor(epoch_micros(F.col("bucket")) / 1_000_000))
         .rangeBetween(-span, span)
     )
-    placed = buckets.join(floors, [*by, "bucket"]).repartition(*by, "key")
+    placed = join_on(buckets, floors, [*by, "bucket"]).repartition(*by, "key")
     rising = (
         placed.withColumn("_around", F.sum("n").over(around))
         .where(F.col("_around") > F.col("floor"))
@@ -107,10 +107,12 @@ def windowed_heavy_hitters(
     return sliding_heavy_hitters(bucket_counts(df, key, ts, bucket, by), k, window, bucket, by)
 
 
-def window_totals(df: DataFrame, ts: str, window: str, bucket: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., window_start, window_end, window_total)."""
+def window_totals(
+    df: DataFrame, key: str, ts: str, window: str, bucket: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """(by..., window_start, window_end, window_total) over the rows that summaries count: those with a key."""
     per_bucket = (
-        df.select(*by, time_bucket(F.col(ts), bucket).alias("bucket"))
+        keyed(df, key, *by, ts).where(F.col(ts).isNotNull()).select(*by, time_bucket(F.col(ts), bucket).alias("bucket"))
         .groupBy(*by, "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -130,10 +132,10 @@ def last_n_heavy_hitters(
     return mg_summary(recent, key, k, by)
 
 
-def running_total(df: DataFrame, ts: str, bucket: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., bucket, n, total_count): events in the bucket and since the start."""
+def running_total(df: DataFrame, key: str, ts: str, bucket: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., bucket, n, total_count): events with a key in the bucket and since the start."""
     per_bucket = (
-        df.select(*by, time_bucket(F.col(ts), bucket).alias("bucket"))
+        keyed(df, key, *by, ts).where(F.col(ts).isNotNull()).select(*by, time_bucket(F.col(ts), bucket).alias("bucket"))
         .groupBy(*by, "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -34,6 +34,8 @@ def event_quarantine(spark: SparkSession, directory: str) -> DataFrame:
         .when(F.col("k") < 20, F.regexp_replace(message, '"key":"[^"]*"', '"key":42'))
         .when(F.col("k") < 30, F.regexp_replace(message, '"key":"[^"]*"', '"key":""'))
         .when(F.col("k") < 40, F.regexp_replace(message, '"key":', '"name":'))
+        .when(F.col("k") < 45, F.regexp_replace(message, '"ts":[0-9.]*', '"ts":1.7e15'))
+        .when(F.col("k") < 50, F.regexp_replace(message, '"ts":', '"ts":-'))
         .otherwise(message)
     )
     parsed = parse_messages(events.select(damaged.alias("value")))
@@ -87,7 +89,9 @@ _DAMAGED = (
     "case when k < 10 then substr(msg, 1, 9) "
     "when k < 20 then regexp_replace(msg, '\"key\":\"[^\"]*\"', '\"key\":42') "
     "when k < 30 then regexp_replace(msg, '\"key\":\"[^\"]*\"', '\"key\":\"\"') "
-    "when k < 40 then replace(msg, '\"key\":', '\"name\":') else msg end"
+    "when k < 40 then replace(msg, '\"key\":', '\"name\":') "
+    "when k < 45 then regexp_replace(msg, '\"ts\":[0-9.]*', '\"ts\":1.7e15') "
+    "when k < 50 then replace(msg, '\"ts\":', '\"ts\":-') else msg end"
 )
 _WEIGHTS = "1.0::double / pow(rank::double, 1.2::double)"
 
@@ -123,7 +127,9 @@ ORACLES = {
                 "select v, case when not ok then 'malformed' "
                 "when json_type(v, '$.key') is null then 'missing_key' "
                 "when json_type(v, '$.key') <> 'VARCHAR' then 'non_string_key' "
-                "when json_extract_string(v, '$.key') = '' then 'empty_key' else 'ok' end as reason from good"
+                "when json_extract_string(v, '$.key') = '' then 'empty_key' "
+                "when not json_extract_string(v, '$.ts')::double between 0 and 253402300799 then 'bad_ts' "
+                "else 'ok' end as reason from good"
             ),
         },
         "select reason, count(*) as n, count(distinct case when reason = 'ok' then "

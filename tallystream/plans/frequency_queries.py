@@ -9,12 +9,13 @@ from tallystream.operators.cms import (
     CountMin, cms_accuracy, cms_build, cms_cells, cms_fold, cms_lookup, cms_merge, cms_native, cms_query,
 )
 from tallystream.plans import sql
-from tallystream.plans.inputs import LINES_SQL, part_lines
+from tallystream.plans.inputs import EVENTS_SQL, LINES_SQL, part_lines, user_events
 from tallystream.session import read_table
 from tallystream.templates import template
 
 LOW, MEDIUM = template("low"), template("medium")
 POINT_KEY = "42"
+RARE_KEY = "7"
 
 
 def _medium(lines: DataFrame, **options) -> CountMin:
@@ -53,6 +54,12 @@ def freq_point(spark: SparkSession, directory: str) -> DataFrame:
     return cms_query(_medium(part_lines(spark, directory)), POINT_KEY)
 
 
+def freq_point_by_group(spark: SparkSession, directory: str) -> DataFrame:
+    """One user in each of a hundred groups of events; groups without the user answer 0."""
+    sketch = cms_build(user_events(spark, directory), "key", MEDIUM.cms_width, MEDIUM.cms_depth, ["k"])
+    return cms_query(sketch, RARE_KEY)
+
+
 def freq_lookup(spark: SparkSession, directory: str) -> DataFrame:
     """The estimate of every part, sold or not."""
     parts = read_table(spark, directory, "part").select(F.col("p_partkey").cast("string").alias("key"))
@@ -95,6 +102,7 @@ QUERIES = {
     "cms_table_by_group": cms_table_by_group,
     "cms_weighted_table": cms_weighted_table,
     "freq_point": freq_point,
+    "freq_point_by_group": freq_point_by_group,
     "freq_lookup": freq_lookup,
     "freq_lookup_by_group": freq_lookup_by_group,
     "cms_fold_width": cms_fold_width,
@@ -141,6 +149,19 @@ ORACLES = {
     "freq_point": sql.with_steps(
         {**_TABLE, "wanted": f"select '{POINT_KEY}' as key"}, sql.estimates("wanted", "cells", _W, _D)
     ),
+    "freq_point_by_group": sql.with_steps(
+        {
+            "src": EVENTS_SQL,
+            "kc": sql.counts("src", ["k"]),
+            "cells": sql.cells("kc", _W, _D, ["k"]),
+            "touched": (
+                f"select k, r::int as row_id, (md5_number_upper('{RARE_KEY}:' || r) % {_W})::int as col_id "
+                f"from (select distinct k from src), range({_D}) t(r)"
+            ),
+        },
+        f"select k, '{RARE_KEY}' as key, min(coalesce(cnt, 0))::bigint as estimate "
+        "from touched left join cells using (k, row_id, col_id) group by all",
+    ),
     "freq_lookup": sql.with_steps(
         {**_TABLE, "wanted": "select cast(p_partkey as varchar) as key from part"},
         sql.estimates("wanted", "cells", _W, _D),

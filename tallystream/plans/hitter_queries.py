@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from tallystream.functions.formulas import mg_error, mg_memory_bytes
 from tallystream.operators import heavy_hitters as hh
 from tallystream.operators import percentiles as pc
 from tallystream.operators import windows as win
+from tallystream.operators.ordered import TAKE_ORDERED_MAX, last_n_per_group
 from tallystream.plans import sql
-from tallystream.plans.inputs import EVENTS_SQL, LINES_SQL, part_lines, percentile_sql, user_events
+from tallystream.plans.inputs import (
+    DIRTY_SQL, EVENTS_SQL, LINES_SQL, dirty_events, part_lines, percentile_sql, user_events,
+)
 from tallystream.session import read_table
 
 K = 200
@@ -85,7 +90,7 @@ def last_n_heavy_hitters_by_group(spark: SparkSession, directory: str) -> DataFr
 
 
 def window_totals(spark: SparkSession, directory: str) -> DataFrame:
-    return win.window_totals(user_events(spark, directory), "ts", WINDOW, BUCKET)
+    return win.window_totals(user_events(spark, directory), "key", "ts", WINDOW, BUCKET)
 
 
 def tumbling_report(spark: SparkSession, directory: str) -> DataFrame:
@@ -93,7 +98,34 @@ def tumbling_report(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def running_total(spark: SparkSession, directory: str) -> DataFrame:
-    return win.running_total(user_events(spark, directory), "ts", "1 day", ["event_type"])
+    return win.running_total(user_events(spark, directory), "key", "ts", "1 day", ["event_type"])
+
+
+def dirty_keys(spark: SparkSession, directory: str) -> DataFrame:
+    """Null and empty keys, null groups, times and values: what each operator counts per group."""
+    events, by = dirty_events(spark, directory), ["event_type"]
+    spread = [F.count(F.lit(1)).alias("n"), F.min("event_id").alias("lo"), F.max("event_id").alias("hi")]
+    none = F.lit(None).cast("bigint")
+    parts = [
+        last_n_per_group(events, by, "ts", "event_id", n).groupBy("event_type").agg(*spread)
+        .select(F.lit(f"last {n}").alias("what"), "event_type", "n", "lo", "hi")
+        for n in (TAKE_ORDERED_MAX, TAKE_ORDERED_MAX + 1)
+    ]
+    parts.append(hh.mg_summary(events, "key", K, by).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("est").alias("lo"), F.max("est").alias("hi")
+    ).select(F.lit("summary").alias("what"), "event_type", "n", "lo", "hi"))
+    parts.append(win.running_total(events, "key", "ts", "1 day", by).groupBy("event_type").agg(
+        F.sum("n").alias("n")).select(F.lit("total").alias("what"), "event_type", "n", none.alias("lo"), none.alias("hi")))
+    parts += [
+        percentiles.select(
+            F.lit(what).alias("what"), "event_type", F.col("samples").alias("n"),
+            F.round(F.col("p50") * 100).cast("bigint").alias("lo"), F.round(F.col("p99") * 100).cast("bigint").alias("hi"))
+        for what, percentiles in (
+            ("rolling", pc.rolling_percentiles(events, "value", "ts", "event_id", by, 10_000)),
+            ("rolling by ranks", pc.rolling_percentiles(events, "value", "ts", "event_id", by, 10_001)),
+        )
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rolling_percentiles(spark: SparkSession, directory: str) -> DataFrame:
@@ -128,6 +160,7 @@ QUERIES = {
     "last_n_heavy_hitters": last_n_heavy_hitters,
     "last_n_heavy_hitters_by_group": last_n_heavy_hitters_by_group,
     "window_totals": window_totals,
+    "dirty_keys": dirty_keys,
     "tumbling_report": tumbling_report,
     "running_total": running_total,
     "rolling_percentiles": rolling_percentiles,
@@ -222,6 +255,31 @@ ORACLES = {
         {"src": _recent(5_000, ["event_type"]), "kc": sql.counts("src", ["event_type"])},
         sql.summary("kc", K, ["event_type"]),
     ),
+    "dirty_keys": sql.with_steps(
+        {
+            "ev": DIRTY_SQL,
+            "src": "select * from ev where key <> ''",
+            "kc": sql.counts("src", ["event_type"]),
+            "mg": sql.summary("kc", K, ["event_type"]),
+            "timed": (
+                "select *, row_number() over (partition by event_type order by ts desc, event_id desc) as rn "
+                "from ev where ts is not null"
+            ),
+            **{
+                f"recent{n}": f"select event_type, list_sort(list(value) filter (value is not null)) as vals, "
+                f"count(value) as m from timed where rn <= {n} group by 1" for n in (10_000, 10_001)
+            },
+        },
+        " union all ".join([
+            *[f"select 'last {n}' as what, event_type, count(*)::bigint as n, min(event_id) as lo, max(event_id) as hi "
+              f"from timed where rn <= {n} group by all" for n in (TAKE_ORDERED_MAX, TAKE_ORDERED_MAX + 1)],
+            "select 'summary', event_type, count(*), min(est), max(est) from mg group by all",
+            "select 'total', event_type, count(*), null, null from src where ts is not null group by all",
+            *[f"select '{what}', event_type, m, coalesce(round({percentile_sql('vals', 'm', 50)} * 100), 0)::bigint, "
+              f"coalesce(round({percentile_sql('vals', 'm', 99)} * 100), 0)::bigint from recent{n}"
+              for what, n in (("rolling", 10_000), ("rolling by ranks", 10_001))],
+        ]),
+    ),
     "window_totals": sql.with_steps(
         {
             "bc": (

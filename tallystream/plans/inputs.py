@@ -28,6 +28,18 @@ def user_events(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def dirty_events(spark: SparkSession, directory: str) -> DataFrame:
+    """user_events with null and empty keys, null groups, times and values, chosen by `k`."""
+    k = F.col("k")
+    return user_events(spark, directory).select(
+        "event_id", "k",
+        F.when(k >= 10, F.col("key")).when(k >= 5, F.lit("")).alias("key"),
+        F.when(k % 7 != 0, F.col("event_type")).alias("event_type"),
+        F.when(k % 11 != 0, F.col("ts")).alias("ts"),
+        F.when((k % 13 != 0) & (k % 7 != 0), F.col("value")).alias("value"),
+    )
+
+
 def part_lines(spark: SparkSession, directory: str) -> DataFrame:
     """lineitem with its key stream `key` (the part)."""
     lines = read_table(spark, directory, "lineitem")
@@ -53,6 +65,11 @@ EVENTS_SQL = (
     "select event_id, ts, cast(user_id as varchar) as key, event_type, value, "
     "json_extract_string(props, '$.k')::int as k from events"
 )
+DIRTY_SQL = (
+    "select event_id, k, case when k >= 10 then key when k >= 5 then '' end as key, "
+    "case when k % 7 <> 0 then event_type end as event_type, case when k % 11 <> 0 then ts end as ts, "
+    f"case when k % 13 <> 0 and k % 7 <> 0 then value end as value from ({EVENTS_SQL})"
+)
 LINES_SQL = "select *, cast(l_partkey as varchar) as key from lineitem"
 
 
@@ -62,9 +79,7 @@ def percentile_sql(values: str, n: str, p: int) -> str:
 
 def metrics_steps() -> dict[str, str]:
     latest = (
-        "select worker_id, tick, list_sort(list(value)) as vals, count(*) as samples from ("
-        "select *, row_number() over (partition by worker_id, tick order by ts desc, event_id desc) as rn "
-        "from ticked) where rn <= 500 group by 1, 2"
+        "select worker_id, tick, list_sort(list(value)) as vals, count(*) as samples from ticked group by 1, 2"
     )
     return {
         "ev": EVENTS_SQL,

@@ -56,6 +56,12 @@ def q_cluster(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def template_latency(spark: SparkSession, directory: str) -> DataFrame:
+    """Reports of each template and their mean p99."""
+    return worker_metrics(spark, directory).groupBy("template").agg(
+        F.count(F.lit(1)).alias("reports"), round_half_up(F.avg("p99_latency_ms"), 6).alias("avg_p99_ms"))
+
+
 def latency_history(spark: SparkSession, directory: str) -> DataFrame:
     return snapshots.latency_history(worker_metrics(spark, directory))
 
@@ -205,6 +211,7 @@ QUERIES = {
     "cluster_latest": cluster_latest,
     "q_cluster": q_cluster,
     "latency_history": latency_history,
+    "template_latency": template_latency,
     "controller_log_tail": controller_log_tail,
     "query_log_tail": query_log_tail,
     "sketch_params": sketch_params,
@@ -401,6 +408,10 @@ _SET = {
 _ROUTED = f"routed_to, {sql.rhu('score', 4)} as router_score"
 
 ORACLES = {
+    "template_latency": sql.with_steps(
+        metrics_steps(),
+        f"select template, count(*) as reports, {sql.rhu('avg(p99_latency_ms)', 6)} as avg_p99_ms from metrics group by 1",
+    ),
     "cluster_latest": sql.with_steps(_LIVE, f"select {METRICS_COLUMNS} from live"),
     "q_cluster": sql.with_steps(
         {

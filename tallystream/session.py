@@ -12,8 +12,6 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # plans are built from many small expressions; do not record a Python stack for each
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    # lets "last 10,000 rows per group" be cut map-side, before the shuffle
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallystream.functions.numbers import epoch_micros
 
 DEFAULT_TOPIC = "stream_events"
+# `ts` is in seconds since 1970; what lies before that or beyond the year 9999 is in another unit or damaged.
+MAX_SECONDS = 253_402_300_800
 
 
 def read_messages(
@@ -33,17 +35,21 @@ def read_messages(
 
 
 def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Adds key, ts and reason; `reason` is 'ok' or why the message is not an event."""
+    """Adds key, ts and reason; `reason` is 'ok' or why the message is not an event. No message ends the query."""
     parsed = messages.withColumn("_v", F.try_parse_json(F.col(value)))
     kind = F.schema_of_variant(F.try_variant_get("_v", "$.key", "variant"))
     seconds = F.try_variant_get("_v", "$.ts", "double")
-    micros = F.round(seconds * F.lit(1e6)).cast("bigint")
-    typed = parsed.withColumn("_kind", kind).withColumn("_key", F.try_variant_get("_v", "$.key", "string"))
+    in_range = (seconds >= 0) & (seconds < MAX_SECONDS)
+    micros = F.when(in_range, F.round(seconds * F.lit(1e6)).cast("bigint"))
+    typed = parsed.withColumns({
+        "_kind": kind, "_key": F.try_variant_get("_v", "$.key", "string"), "_bad_ts": seconds.isNotNull() & ~in_range,
+    })
     reason = (
         F.when(F.col("_v").isNull(), F.lit("malformed"))
         .when(F.col("_kind").isNull(), F.lit("missing_key"))
         .when(F.col("_kind") != "STRING", F.lit("non_string_key"))
         .when(F.col("_key") == "", F.lit("empty_key"))
+        .when(F.col("_bad_ts"), F.lit("bad_ts"))
         .otherwise(F.lit("ok"))
     )
     kept = [c for c in messages.columns]

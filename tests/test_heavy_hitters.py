@@ -120,12 +120,12 @@ def test_sliding_windows_equal_brute_force(spark, k, window, bucket):
 
 def test_window_totals_and_bucket_checks(spark):
     df = timed(spark, 100, 1, 5)
-    totals = win.window_totals(df, "ts", "20 seconds", "5 seconds")
+    totals = win.window_totals(df, "key", "ts", "20 seconds", "5 seconds")
     assert totals.agg(F.sum("window_total")).first()[0] == 400
     assert totals.agg(F.max("window_total")).first()[0] == 20
     for window, bucket in (("5 seconds", "20 seconds"), ("20 seconds", "7 seconds")):
         with pytest.raises(ValueError):
-            win.window_totals(df, "ts", window, bucket)
+            win.window_totals(df, "key", "ts", window, bucket)
 
 
 def test_last_n_window_is_bounded(spark):
