@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 WORST = float("-inf")
-REMEMBERED = 150_000  # words in each of the two generations that a worker keeps
+REMEMBERED = 100_000  # words in each of the two generations that a worker keeps
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -212,14 +212,31 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.record_batch(columns)
 
 
-def _mapped(docs: DataFrame, vocabulary: Vocabulary, name: str, kind: T.DataType, fill) -> DataFrame:
-    """`docs` with column `name` made by fill(batch, encoder, table), which gives an Arrow array."""
+def _parts(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges whose sizes add up to about `most`, so that few Python objects live at a time."""
+    first, total = 0, 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield first, i + 1
+            first, total = i + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def _mapped(docs: DataFrame, vocabulary: Vocabulary, source: str, name: str, kind: T.DataType, fill) -> DataFrame:
+    """`docs` with column `name` made by fill(values, encoder, table) from a part of the Arrow column `source`."""
     parts = (vocabulary.texts, vocabulary.scores, vocabulary.usable, vocabulary.byte_ids)
     shared, key = docs.sparkSession.sparkContext.broadcast(parts), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _with_column(batch, name, fill(batch, *_tools(key, shared)))
+            column = batch.column(source)
+            lists = pa.types.is_list(column.type)
+            length = pc.list_value_length(column) if lists else pc.binary_length(column)
+            for a, b in _parts(pc.fill_null(length, 0).to_pylist()):
+                values = fill(column.slice(a, b - a), *_tools(key, shared))
+                yield _with_column(batch.slice(a, b - a), name, values)
 
     fields = [f for f in docs.schema.fields if f.name != name]
     order = [f for f in docs.schema.fields if f.name == name]
@@ -232,22 +249,21 @@ def _mapped(docs: DataFrame, vocabulary: Vocabulary, name: str, kind: T.DataType
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the piece ids of `text`."""
 
-    def fill(batch: pa.RecordBatch, encoder: Encoder, table: list[bytes]) -> pa.Array:
-        texts = batch.column(text).to_pylist()
+    def fill(column: pa.Array, encoder: Encoder, table: list[bytes]) -> pa.Array:
+        texts = column.to_pylist()
         lists = [np.array(encoder.encode(t), np.int32) if t else np.zeros(0, np.int32) for t in texts]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
         flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))
         missing = pa.array([t is None for t in texts], pa.bool_())
         return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=missing)
 
-    return _mapped(docs, vocabulary, ids, T.ArrayType(T.IntegerType()), fill)
+    return _mapped(docs, vocabulary, text, ids, T.ArrayType(T.IntegerType()), fill)
 
 
 def decoded(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text that the piece ids stand for."""
 
-    def fill(batch: pa.RecordBatch, encoder: Encoder, table: list[bytes]) -> pa.Array:
-        column = batch.column(ids)
+    def fill(column: pa.Array, encoder: Encoder, table: list[bytes]) -> pa.Array:
         flat = column.flatten().to_pylist()
         ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
         valid = column.is_valid().to_pylist()
@@ -255,4 +271,4 @@ def decoded(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str
         return pa.array([
             decode_ids(flat[a:b], table) if ok else None for a, b, ok in zip(starts, ends, valid)], pa.string())
 
-    return _mapped(docs, vocabulary, text, T.StringType(), fill)
+    return _mapped(docs, vocabulary, ids, text, T.StringType(), fill)
