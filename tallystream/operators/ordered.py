@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystream.functions.numbers import epoch_micros, interval_seconds, time_bucket
+from tallystream.functions.numbers import epoch_micros, interval_seconds
 
 # Every task sends its first n rows to a single one; for raw tables with many tasks only a small n may.
 # The bounds choose between plans with equal results.
@@ -212,8 +212,8 @@ def last_n_from_cutoff(
 # ---- timelines in chunks --------------------------------------------------------------------
 
 def _chunked(df: DataFrame, ts: str, chunk: str) -> DataFrame:
-    interval_seconds(chunk)
-    return df.withColumn("_chunk", time_bucket(F.col(ts), chunk))
+    # a number, because a window expression would drop rows without a time
+    return df.withColumn("_chunk", F.floor(epoch_micros(F.col(ts)) / (interval_seconds(chunk) * 1_000_000)))
 
 
 def _carried(placed: DataFrame, by: Sequence[str], carry: Column) -> DataFrame:
