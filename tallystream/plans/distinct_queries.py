@@ -52,6 +52,17 @@ def approx_distinct_native_query(spark: SparkSession, directory: str) -> DataFra
     return approx_distinct_native(part_lines(spark, directory), "key", P, ["l_returnflag"])
 
 
+def approx_distinct_check(spark: SparkSession, directory: str) -> DataFrame:
+    """Spark's estimates against exact distinct counts: groups that are off by more than five standard errors."""
+    lines = part_lines(spark, directory)
+    exact = lines.groupBy("l_returnflag").agg(F.count_distinct("key").alias("exact"))
+    near = approx_distinct_native(lines, "key", P, ["l_returnflag"])
+    allowed = 5 * 1.04 / (1 << P) ** 0.5 * F.col("exact") + 1
+    off = [F.abs(F.col(c) - F.col("exact")) > allowed for c in ("hllpp_estimate", "datasketch_estimate")]
+    return exact.join(near, "l_returnflag").select(
+        "l_returnflag", "exact", (off[0].cast("bigint") + off[1].cast("bigint")).alias("violations"))
+
+
 def running_distinct(spark: SparkSession, directory: str) -> DataFrame:
     """Users seen since the start, at the end of each day."""
     daily = user_events(spark, directory).withColumn("day", time_bucket(F.col("ts"), "1 day"))
@@ -71,6 +82,7 @@ QUERIES = {
     "hll_by_group": hll_by_group,
     "hll_accuracy": hll_accuracy_query,
     "approx_distinct_native": approx_distinct_native_query,
+    "approx_distinct_check": approx_distinct_check,
     "running_distinct": running_distinct,
     "running_distinct_by_group": running_distinct_by_group,
 }
@@ -112,6 +124,9 @@ def _accuracy() -> str:
 
 
 ORACLES = {
+    "approx_distinct_check": (
+        "select l_returnflag, count(distinct l_partkey) as exact, 0::bigint as violations from lineitem group by 1"
+    ),
     "hll_registers": sql.with_steps(_REGS, "select idx, rho from regs"),
     "hll_merge": sql.with_steps(_REGS, "select idx, rho from regs"),
     "hll_fold": sql.with_steps(

@@ -11,6 +11,7 @@ from tallystream.functions.formulas import mg_error, mg_memory_bytes
 from tallystream.operators import heavy_hitters as hh
 from tallystream.operators import percentiles as pc
 from tallystream.operators import windows as win
+from tallystream.operators.keys import key_counts
 from tallystream.operators.ordered import TAKE_ORDERED_MAX, last_n_per_group
 from tallystream.plans import sql
 from tallystream.plans.inputs import (
@@ -145,8 +146,35 @@ def p99_approx(spark: SparkSession, directory: str) -> DataFrame:
     return pc.approx_percentiles(read_table(spark, directory, "lineitem"), "l_extendedprice", ps=(99,))
 
 
+def heavy_hitters_bounded_check(spark: SparkSession, directory: str) -> DataFrame:
+    """The bounded summary against exact counts: keys above N/k, and broken promises of each kind."""
+    lines = part_lines(spark, directory)
+    exact = key_counts(lines, "key")
+    bound = exact.agg(F.sum("n") / K).scalar()
+    both = exact.join(hh.mg_summary_bounded(lines, "key", K), "key", "left").withColumn("bound", bound)
+    return both.agg(
+        F.sum("n").alias("total"), F.count_if(F.col("n") > F.col("bound")).alias("heavy"),
+        F.count_if(F.col("est") > F.col("n")).alias("over"),
+        F.count_if(F.col("n") - F.coalesce("est", F.lit(0)) > F.col("bound")).alias("under"))
+
+
+def p99_approx_check(spark: SparkSession, directory: str) -> DataFrame:
+    """Rank of the approximate p99 among all prices: further from 99 % than the summary's accuracy allows?"""
+    lines = read_table(spark, directory, "lineitem")
+    found = pc.approx_percentiles(lines, "l_extendedprice", ps=(99,)).select("p99").scalar()
+    ranks = lines.select("l_extendedprice", found.alias("p99")).agg(
+        F.count("l_extendedprice").alias("samples"),
+        F.count_if(F.col("l_extendedprice") < F.col("p99")).alias("below"),
+        F.count_if(F.col("l_extendedprice") <= F.col("p99")).alias("upto"))
+    slack = F.col("samples") / 10_000 + 1
+    off = (F.col("below") > 0.99 * F.col("samples") + slack) | (F.col("upto") < 0.99 * F.col("samples") - slack)
+    return ranks.select("samples", off.cast("bigint").alias("violations"))
+
+
 QUERIES = {
     "heavy_hitters": heavy_hitters,
+    "heavy_hitters_bounded_check": heavy_hitters_bounded_check,
+    "p99_approx_check": p99_approx_check,
     "heavy_hitters_bounded": heavy_hitters_bounded,
     "mg_merge": mg_merge,
     "heavy_hitters_min": heavy_hitters_min,
@@ -209,6 +237,12 @@ def _percentiles(source: str, by: list[str], ps: tuple[int, ...], value: str = "
 
 
 ORACLES = {
+    "heavy_hitters_bounded_check": sql.with_steps(
+        {"src": LINES_SQL, "kc": sql.counts("src")},
+        f"select sum(n)::bigint as total, count(*) filter (n > (select sum(n) from kc) / {K}::double) as heavy, "
+        "0::bigint as over, 0::bigint as under from kc",
+    ),
+    "p99_approx_check": "select count(l_extendedprice) as samples, 0::bigint as violations from lineitem",
     "heavy_hitters": sql.with_steps(
         _MG,
         f"select key, est, (select count(key) from src) / {K} as error_bound, "
