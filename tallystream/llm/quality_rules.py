@@ -66,17 +66,18 @@ def counted(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
         "n_symbols": (F.length(body) - _without(body, SYMBOLS)).cast("long"),
     })
     step2 = step1.withColumns({
-        "_windows": F.when(n >= window, F.transform(
-            F.sequence(F.lit(1), n - window + 1), lambda i: F.concat_ws(" ", F.slice("_words", i, window)))),
+        "_hashes": F.when(n >= window, F.transform(
+            F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice("_words", i, window)))),
         "n_words": n.cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-    }).drop("_words", "_lines")
-    # only texts with a repeated window pay for sorting them
+    }).drop("_lines")
+    # only texts with a repeated hash pay for writing their windows out and sorting them
     step3 = step2.withColumn("_sorted", F.when(
-        F.size(F.array_distinct("_windows")) < F.size("_windows"),
-        F.array_sort(F.transform("_windows", lambda w, i: F.struct(w.alias("w"), i.alias("i")))),
-    )).drop("_windows")
+        F.size(F.array_distinct("_hashes")) < F.size("_hashes"),
+        F.array_sort(F.transform(F.sequence(F.lit(1), F.size("_words") - window + 1), lambda i: F.struct(
+            F.concat_ws(" ", F.slice("_words", i, window)).alias("w"), i.alias("i")))),
+    )).drop("_hashes", "_words")
     step4 = step3.withColumn("_starts", F.array_sort(F.transform(
         F.filter("_sorted", lambda x, j: (
             F.coalesce(x["w"] == F.get("_sorted", j - 1)["w"], F.lit(False))
