@@ -3,7 +3,7 @@
 Sizes are words. Sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all words by
 weight; a target stops at `MAX_EPOCHS` times its source's size and the excess is shared again by weight.
 Whole documents are taken: every document `target div size of source` times, and once more the documents of
-an md5 order up to the rest of the target. That order is cut into about sqrt(n) blocks per source; the block in
+an md5 order up to the rest of the target. That order is cut into about sqrt(n) / 4 blocks per source; the block in
 which the target ends is filled greedily, largest fitting document first, so that a source misses its target
 by less than a small document.
 
@@ -82,7 +82,7 @@ def mix_plan(docs: DataFrame, row_id: str = "doc_id", text: str = "text", source
         F.col(row_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
     sources = with_targets(ranked_sources(sized))
     goal = F.floor("target").cast("long")
-    blocks = F.ceil(F.sqrt("n_docs")).cast("long")
+    blocks = F.ceil(F.sqrt("n_docs") / 4).cast("long")
     sources = sources.select(
         F.col("source").alias("_source"), "source_size", "slope", "target", blocks.alias("blocks"),
         F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
@@ -94,7 +94,7 @@ def mix_plan(docs: DataFrame, row_id: str = "doc_id", text: str = "text", source
         .withColumns({"key": _order_key(F.col("doc_id")), "block": F.shiftright(head * F.col("blocks"), 32)}),
         "placed")
 
-    # words before each block of a source: about sqrt(n) rows of a source meet in one task
+    # words before each block of a source: about sqrt(n) / 4 rows of a source meet in one task
     sums = placed.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("_rest"))
     run = Window.partitionBy("source").orderBy("block")
     before = sums.withColumn("before", F.sum("words").over(run) - F.col("words")).select(
@@ -135,7 +135,7 @@ def mix_plan(docs: DataFrame, row_id: str = "doc_id", text: str = "text", source
 def _filled(block: DataFrame) -> DataFrame:
     """Adds `again` to the rows of the blocks in which a target ends, one block per source.
 
-    Largest first, a document is taken if it still fits; a block has about sqrt(n) of its source's rows.
+    Largest first, a document is taken if it still fits; a block has about 4 sqrt(n) of its source's rows.
     """
     fixed = ["source", "source_size", "slope", "target", "blocks", "passes", "rest", "block", "before", "state"]
     own = F.struct((-F.col("size")).alias("order"), "key", "doc_id", "size")

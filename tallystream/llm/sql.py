@@ -81,7 +81,7 @@ targets as (select source, source_size, n, weight, case when 3 * source_size < l
     then (3 * source_size)::double else lam * weight end as target from sources, level),
 goals as (select *, case when source_size > 0 then floor(target)::bigint // source_size else 0 end as passes,
     case when source_size > 0 then floor(target)::bigint % source_size else 0 end as rest from targets),
-placed as (select s.*, g.* exclude (source), (('0x' || substr(key, 1, 8))::bigint * ceil(sqrt(n))::bigint) >> 32 as block
+placed as (select s.*, g.* exclude (source), (('0x' || substr(key, 1, 8))::bigint * ceil(sqrt(n) / 4)::bigint) >> 32 as block
     from sized s join goals g on s.source is not distinct from g.source),
 blocks as (select source, block, rest, sum(sum(size)) over (partition by source order by block) - sum(size) as before,
     sum(size) as words from placed group by source, block, rest),
