@@ -30,7 +30,9 @@ from pyspark.sql import types as T
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 WORST = float("-inf")
-REMEMBERED = 100_000  # words in each of the two generations that a worker keeps
+REMEMBERED = 100_000  # words after which a worker starts a new generation; it keeps two
+LONG_WORD = 48  # characters beyond which a word is solved on its own
+TOGETHER = 512  # words solved at a time
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -112,22 +114,15 @@ class Encoder:
         keys = {t.encode(): i for i, t in enumerate(vocabulary.texts) if vocabulary.usable[i]}
         self.trie = DoubleArrayTrie(keys)
         self.score = [None if v < 0 else vocabulary.scores[v] for v in self.trie.value]
+        self.arrays = (
+            np.array(self.trie.base, np.int32), np.array(self.trie.check, np.int32), np.array(self.trie.value, np.int32),
+            np.array([0.0 if x is None else x for x in self.score]))
         self.single = {k for k in keys if len(k.decode()) == 1}
         self.byte_ids = vocabulary.byte_ids
         self.unknown = min(s for s, u in zip(vocabulary.scores, vocabulary.usable) if u) - UNKNOWN_PENALTY
         self.known: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
 
-    def _learn(self, word: str) -> list[int]:
-        """Ids of a word that the young generation lacks; the old one goes when the young one is full."""
-        found = self.older.get(word)
-        if found is None:
-            found = self._viterbi(word)
-        if len(self.known) >= REMEMBERED:
-            self.older, self.known = self.known, {}
-        self.known[word] = found
-        return found
-
     def _viterbi(self, word: str) -> list[int]:
         if LITERAL in word:  # no piece may cover a marker of the text itself
             ids = []
@@ -167,14 +162,87 @@ class Encoder:
         ids.reverse()
         return ids
 
+    def _viterbi_many(self, words: list[str]) -> Iterator[list[int]]:
+        """The same for many short words: all trie walks at once, then all words' best cuts position by position."""
+        base, check, value, score = self.arrays
+        raw = [w.encode() for w in words]
+        n = np.array([len(x) for x in raw])
+        most = int(n.max())
+        data = np.frombuffer(b"".join(x.ljust(most + 1, b"\0") for x in raw), np.uint8).astype(np.int32)
+        data = data.reshape(-1, most + 1)
+        data[np.arange(most + 1)[None, :] >= n[:, None]] = 256  # leads nowhere
+        row, start = np.nonzero((data < 256) & ((data & 0xC0) != 0x80))
+        lead = data[row, start]
+        width = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+        flat, first = data.ravel(), row * (most + 1) + start
+        single = np.zeros(len(row), bool)
+        at, state, edges, depth = np.arange(len(row)), np.zeros(len(row), np.int32), [], 0
+        while len(at):
+            to = base[state] + flat[first[at] + depth] + 1
+            go = check[to] == state
+            at, state, depth = at[go], to[go], depth + 1
+            hit = value[state] >= 0
+            own, found = at[hit], state[hit]
+            single[own[width[own] == depth]] = True
+            edges.append((own, np.full(len(own), depth), score[found], value[found]))
+        own = np.flatnonzero(~single)
+        edges.append((own, width[own], np.full(len(own), self.unknown), np.full(len(own), -1, np.int32)))
+        walk, length, gain, by = (np.concatenate(x) for x in zip(*edges))
+        order = np.argsort(start[walk], kind="stable")
+        walk, length, gain, by = walk[order], length[order], gain[order], by[order]
+        from_at = start[walk]
+        source, target = first[walk], first[walk] + length
+        best = np.where(np.arange(most + 1) == 0, 0.0, WORST) + np.zeros((len(raw), 1))
+        best, back, piece = best.ravel(), np.zeros(best.size, np.int32), np.full(best.size, -1, np.int32)
+        cuts = np.searchsorted(from_at, np.arange(most + 1))
+        for i in range(most):
+            part = slice(cuts[i], cuts[i + 1])
+            total, to = best[source[part]] + gain[part], target[part]
+            better = total > best[to]
+            to = to[better]
+            best[to], back[to], piece[to] = total[better], i, by[part][better]
+        back, piece = back.reshape(-1, most + 1), piece.reshape(-1, most + 1)
+        for x, size, from_, ids_ in zip(raw, n.tolist(), back.tolist(), piece.tolist()):
+            ids, at = [], size
+            while at:
+                i = from_[at]
+                if ids_[at] >= 0:
+                    ids.append(ids_[at])
+                else:
+                    ids.extend(self.byte_ids[b] for b in reversed(x[i:at]))
+                at = i
+            ids.reverse()
+            yield ids
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text. Words not yet known are solved together; the old generation goes when the young is full."""
+        words = [
+            _WORDS.findall(MARK + t.replace(MARK, LITERAL).replace(" ", MARK)) if t else [] for t in texts]
+        known, short = self.known, []
+        for w in set().union(*words):
+            if w not in known:
+                if w in self.older:
+                    known[w] = self.older[w]
+                elif len(w) > LONG_WORD or LITERAL in w:
+                    known[w] = self._viterbi(w)
+                else:
+                    short.append(w)
+        short.sort(key=len)
+        for a in range(0, len(short), TOGETHER):
+            part = short[a: a + TOGETHER]
+            known.update(zip(part, self._viterbi_many(part)))
+        out = []
+        for own in words:
+            ids: list[int] = []
+            for w in own:
+                ids += known[w]
+            out.append(ids)
+        if len(known) > REMEMBERED:
+            self.older, self.known = known, {}
+        return out
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        marked = MARK + text.replace(MARK, LITERAL).replace(" ", MARK)
-        ids: list[int] = []
-        for w in _WORDS.findall(marked):
-            ids += self.known.get(w) or self._learn(w)
-        return ids
+        return self.encode_all([text])[0]
 
 
 # a private-use stand-in would clash with itself in a text; a lone surrogate cannot occur in one
@@ -251,7 +319,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: st
 
     def fill(column: pa.Array, encoder: Encoder, table: list[bytes]) -> pa.Array:
         texts = column.to_pylist()
-        lists = [np.array(encoder.encode(t), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+        lists = [np.array(x, np.int32) for x in encoder.encode_all(texts)]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
         flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))
         missing = pa.array([t is None for t in texts], pa.bool_())
