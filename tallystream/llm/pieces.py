@@ -20,6 +20,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -231,12 +232,7 @@ class Encoder:
         for a in range(0, len(short), TOGETHER):
             part = short[a: a + TOGETHER]
             known.update(zip(part, self._viterbi_many(part)))
-        out = []
-        for own in words:
-            ids: list[int] = []
-            for w in own:
-                ids += known[w]
-            out.append(ids)
+        out = [list(chain.from_iterable(map(known.__getitem__, own))) for own in words]
         if len(known) > REMEMBERED:
             self.older, self.known = known, {}
         return out
@@ -262,15 +258,14 @@ def decode_ids(ids, table: list[bytes]) -> str:
     return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-_workers: dict[str, tuple] = {}
+_workers: dict[str, object] = {}
 
 
-def _tools(name: str, shared) -> tuple[Encoder, list[bytes]]:
-    """One encoder per Python worker and vocabulary."""
+def _tool(name: str, shared, make):
+    """One encoder or table per Python worker and vocabulary."""
     if name not in _workers:
-        vocabulary = Vocabulary(*shared.value)
         _workers.clear()
-        _workers[name] = (Encoder(vocabulary), piece_bytes(vocabulary))
+        _workers[name] = make(Vocabulary(*shared.value))
     return _workers[name]
 
 
@@ -292,8 +287,8 @@ def _parts(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def _mapped(docs: DataFrame, vocabulary: Vocabulary, source: str, name: str, kind: T.DataType, fill) -> DataFrame:
-    """`docs` with column `name` made by fill(values, encoder, table) from a part of the Arrow column `source`."""
+def _mapped(docs: DataFrame, vocabulary: Vocabulary, source: str, name: str, kind: T.DataType, make, fill) -> DataFrame:
+    """`docs` with column `name` made by fill(values, make(vocabulary)) from a part of the Arrow column `source`."""
     parts = (vocabulary.texts, vocabulary.scores, vocabulary.usable, vocabulary.byte_ids)
     shared, key = docs.sparkSession.sparkContext.broadcast(parts), uuid.uuid4().hex
 
@@ -303,7 +298,7 @@ def _mapped(docs: DataFrame, vocabulary: Vocabulary, source: str, name: str, kin
             lists = pa.types.is_list(column.type)
             length = pc.list_value_length(column) if lists else pc.binary_length(column)
             for a, b in _parts(pc.fill_null(length, 0).to_pylist()):
-                values = fill(column.slice(a, b - a), *_tools(key, shared))
+                values = fill(column.slice(a, b - a), _tool(key, shared, make))
                 yield _with_column(batch.slice(a, b - a), name, values)
 
     fields = [f for f in docs.schema.fields if f.name != name]
@@ -317,7 +312,7 @@ def _mapped(docs: DataFrame, vocabulary: Vocabulary, source: str, name: str, kin
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the piece ids of `text`."""
 
-    def fill(column: pa.Array, encoder: Encoder, table: list[bytes]) -> pa.Array:
+    def fill(column: pa.Array, encoder: Encoder) -> pa.Array:
         texts = column.to_pylist()
         lists = [np.array(x, np.int32) for x in encoder.encode_all(texts)]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
@@ -325,13 +320,13 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: st
         missing = pa.array([t is None for t in texts], pa.bool_())
         return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=missing)
 
-    return _mapped(docs, vocabulary, text, ids, T.ArrayType(T.IntegerType()), fill)
+    return _mapped(docs, vocabulary, text, ids, T.ArrayType(T.IntegerType()), Encoder, fill)
 
 
 def decoded(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text that the piece ids stand for."""
 
-    def fill(column: pa.Array, encoder: Encoder, table: list[bytes]) -> pa.Array:
+    def fill(column: pa.Array, table: list[bytes]) -> pa.Array:
         flat = column.flatten().to_pylist()
         ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
         valid = column.is_valid().to_pylist()
@@ -339,4 +334,4 @@ def decoded(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str
         return pa.array([
             decode_ids(flat[a:b], table) if ok else None for a, b, ok in zip(starts, ends, valid)], pa.string())
 
-    return _mapped(docs, vocabulary, ids, text, T.StringType(), fill)
+    return _mapped(docs, vocabulary, ids, text, T.StringType(), piece_bytes, fill)
