@@ -117,7 +117,7 @@ class Encoder:
         self.score = [None if v < 0 else vocabulary.scores[v] for v in self.trie.value]
         self.arrays = (
             np.array(self.trie.base, np.int32), np.array(self.trie.check, np.int32), np.array(self.trie.value, np.int32),
-            np.array([0.0 if x is None else x for x in self.score]))
+            np.array(vocabulary.scores))
         self.single = {k for k in keys if len(k.decode()) == 1}
         self.byte_ids = vocabulary.byte_ids
         self.unknown = min(s for s, u in zip(vocabulary.scores, vocabulary.usable) if u) - UNKNOWN_PENALTY
@@ -166,6 +166,7 @@ class Encoder:
     def _viterbi_many(self, words: list[str]) -> Iterator[list[int]]:
         """The same for many short words: all trie walks at once, then all words' best cuts position by position."""
         base, check, value, score = self.arrays
+        take = np.take
         raw = [w.encode() for w in words]
         n = np.array([len(x) for x in raw])
         most = int(n.max())
@@ -178,14 +179,16 @@ class Encoder:
         flat, first = data.ravel(), row * (most + 1) + start
         single = np.zeros(len(row), bool)
         at, state, edges, depth = np.arange(len(row)), np.zeros(len(row), np.int32), [], 0
+        cursor = first.copy()
         while len(at):
-            to = base[state] + flat[first[at] + depth] + 1
-            go = check[to] == state
-            at, state, depth = at[go], to[go], depth + 1
-            hit = value[state] >= 0
-            own, found = at[hit], state[hit]
+            to = take(base, state, mode="clip") + take(flat, cursor, mode="clip") + 1
+            go = np.flatnonzero(take(check, to, mode="clip") == state)
+            at, state, cursor, depth = at[go], to[go], cursor[go] + 1, depth + 1
+            by = take(value, state, mode="clip")
+            hit = np.flatnonzero(by >= 0)
+            own, by = at[hit], by[hit]
             single[own[width[own] == depth]] = True
-            edges.append((own, np.full(len(own), depth), score[found], value[found]))
+            edges.append((own, np.full(len(own), depth), score[by], by))
         own = np.flatnonzero(~single)
         edges.append((own, width[own], np.full(len(own), self.unknown), np.full(len(own), -1, np.int32)))
         walk, length, gain, by = (np.concatenate(x) for x in zip(*edges))
