@@ -1,14 +1,15 @@
 """Operator 4: line dedup with a log-template tree of fixed depth.
 
 A line's path in the tree is its token count and its first three tokens; tokens with a digit are a variable field.
-The rest of a line is cut into four segments. A segment's value is constant if another document has it
-under the same path, otherwise the segment is a variable field of the template. A template is a path with its
-constant segments; it recurs if at least two documents have it, six tenths of its tokens are constant, and
-constant tokens times further documents reach `EVIDENCE`: a line of 20 words needs two documents, one
-of five words five. Lines shorter than `PATH_ONLY` tokens are compared as a whole, and lines of fewer than
-`MIN_TOKENS` tokens are never dropped.
-
-A recurring line stays in the document with the smallest id and is dropped from all others. Sharing is found
+The rest of a line is cut into four segments. A template is a path with some of its segments constant and the
+others variable; a line has a template for every choice of segments in which six tenths of its tokens are constant, so
+a copy with a changed word shares one with the verbatim copies. A template recurs if constant tokens times further
+documents that have it reach `EVIDENCE`: a line of 20 words needs two documents, one of five words five. Lines
+shorter than `PATH_ONLY` tokens are compared as a whole, and lines of fewer than `MIN_TOKENS` tokens are never dropped.
+
+A line is dropped if an earlier document has one of its recurring templates. The first line of a chain of such lines
+therefore stays, in the document with the smallest id. Segments that no other document has under the same path
+cannot be in a recurring template and are left out before the choices are made. Sharing is found
 from the smallest and largest id of a group, which are combined before the shuffle, so a line with a third of
 all documents costs a row per task.
 
@@ -20,6 +21,7 @@ table gives an empty result; other columns are returned as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +102,19 @@ def _segment_tokens(j: int) -> Column:
     return (up_to(j + 1) - up_to(j)).cast("int")
 
 
+def _templates() -> Column:
+    """constant and template of a line for each choice of its shared segments s0, s1, ... that is long enough."""
+    found = []
+    for choice in range(1, 1 << SEGMENTS):
+        chosen = [j for j in range(SEGMENTS) if choice >> j & 1]
+        constant = sum((_segment_tokens(j) for j in chosen), F.lit(LEAD)).cast("long")
+        fits = reduce(Column.__and__, [F.col(f"s{j}").isNotNull() for j in chosen])
+        found.append(F.when(fits & (100 * constant >= CONSTANT_PERCENT * F.col("n")), F.struct(
+            constant.alias("constant"),
+            F.xxhash64("path", F.lit(choice), *[f"s{j}" for j in chosen]).alias("template"))))
+    return F.array_compact(F.array(*found))
+
+
 def dropped_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, mark (hash of the text), drops: the numbers of the lines of a document that go."""
     rows = docs.filter(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(
@@ -112,19 +127,17 @@ def dropped_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -
     parts = open_lines.filter(F.col("n") >= PATH_ONLY).select(
         *own, F.posexplode("segments").alias("j", "segment"))
     constant = _shared(parts, "path", "j", "segment")
-    tokens = F.coalesce(*[F.when(F.col("j") == j, _segment_tokens(j)) for j in range(SEGMENTS)])
-    # a segment value that is shared joins its lines again; values that are not shared leave a variable field
-    templates = parts.join(constant, ["path", "j", "segment"]).groupBy(*own).agg(
-        (F.sum(tokens) + LEAD).alias("constant"),
-        F.xxhash64("path", F.sort_array(F.collect_list(F.struct("j", "segment")))).alias("template"))
+    shared = parts.join(constant, ["path", "j", "segment"]).groupBy(*own).agg(
+        *[F.max(F.when(F.col("j") == j, F.col("segment"))).alias(f"s{j}") for j in range(SEGMENTS)])
+    templates = shared.select(*own, F.explode(_templates()).alias("one")).select(*own, "one.constant", "one.template")
     whole = open_lines.filter(F.col("n") < PATH_ONLY).select(
         *own, F.col("n").cast("long").alias("constant"), F.col("path").alias("template"))
-    both = staged(templates.filter(100 * F.col("constant") >= CONSTANT_PERCENT * F.col("n")).unionByName(whole), "templates")
+    both = staged(templates.unionByName(whole).select("id", "mark", "line", "constant", "template"), "templates")
 
     recurring = both.groupBy("template", "id").agg(F.max("constant").alias("constant")).groupBy("template").agg(
         F.count(F.lit(1)).alias("documents"), F.min("id").alias("first"), F.max("constant").alias("constant"),
     ).filter(F.col("constant") * (F.col("documents") - 1) >= EVIDENCE).select("template", "first")
-    gone = both.join(recurring, "template").filter("id <> first")
+    gone = both.join(recurring, "template").filter("id > first")
     return gone.groupBy("id", "mark").agg(F.collect_set("line").alias("drops"))
 
 
