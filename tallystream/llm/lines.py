@@ -5,7 +5,9 @@ The rest of a line is cut into four segments. A template is a path with some of
 others variable; a line has a template for every choice of segments in which six tenths of its tokens are constant, so
 a copy with a changed word shares one with the verbatim copies. A template recurs if constant tokens times further
 documents that have it reach `EVIDENCE`: a line of 20 words needs two documents, one of five words five. Lines
-shorter than `PATH_ONLY` tokens are compared as a whole, and lines of fewer than `MIN_TOKENS` tokens are never dropped.
+shorter than `PATH_ONLY` tokens, down to a single one, are compared as a whole; only lines without tokens always stay.
+Each character of a script that is written without blanks is a token, so such lines are compared, and their
+evidence is counted, by characters.
 
 A line is dropped if an earlier document has one of its recurring templates. The first line of a chain of such lines
 therefore stays, in the document with the smallest id. Segments that no other document has under the same path
@@ -20,6 +22,7 @@ table gives an empty result; other columns are returned as they are.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,17 +37,25 @@ from tallystream.llm.shared import BLANKS, staged
 LEAD = 3
 SEGMENTS = 4
 PATH_ONLY = 8
-MIN_TOKENS = 3
 EVIDENCE = 20
 CONSTANT_PERCENT = 60
 
 _U = np.uint64
 _VARIABLE = _U(0x2545F4914F6CDD1D)
+# Thai, Lao, Tibetan and Burmese; Khmer; Tai scripts; Balinese; Javanese; kana; Chinese characters
+UNSPACED = re.compile(
+    "[\u0e00-\u109f\u1780-\u17ff\u1950-\u1aaf\u1b00-\u1b7f\u3001-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\ua980-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
+
+
+def spaced(text: str | None) -> str | None:
+    """`text` with blanks around every character of a script that is written without them."""
+    return text if not text or text.isascii() else UNSPACED.sub(r" \g<0> ", text)
 
 
 def line_paths(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """text, line, n, path and the four segments of all lines of enough tokens (segments 0 if compared whole)."""
-    data, bounds = textbytes.joined(texts)
+    """text, line, n, path and the four segments of all lines with tokens (segments 0 if compared whole)."""
+    data, bounds = textbytes.joined([spaced(t) for t in texts])
     hashes, starts, ends = textbytes.words(data, textbytes.separators(BLANKS), lower=False)
     digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
     hashes[digits[ends] > digits[starts]] = _VARIABLE
@@ -64,7 +75,7 @@ def line_paths(texts: list[str | None]) -> tuple[np.ndarray, ...]:
         at = np.flatnonzero(np.diff(cell, prepend=-1))
         sums[cell[at]] = textbytes.mixed(np.add.reduceat(weighted, at))
     sums = sums.reshape(-1, SEGMENTS + 1)
-    lines = np.flatnonzero(n >= MIN_TOKENS)
+    lines = np.flatnonzero(n)
     path = textbytes.mixed(sums[lines, 0] + n[lines].astype(_U) * _U(0x9E3779B97F4A7C15))
     text = np.searchsorted(bounds, breaks[lines], side="right") - 1
     before = np.searchsorted(breaks, bounds)[text]

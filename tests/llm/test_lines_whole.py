@@ -19,10 +19,8 @@ def all_templates(texts):
     documents, constant, own = collections.defaultdict(set), {}, []
     for d, text in texts.items():
         for i, line in enumerate(text.split("\n")):
-            w = ["<*>" if re.search("[0-9]", x) else x for x in WORD.findall(line)]
+            w = ["<*>" if re.search("[0-9]", x) else x for x in WORD.findall(lines.spaced(line))]
             n = len(w)
-            if n < 3:
-                continue
             cut = collections.defaultdict(list)
             for p in range(3, n):
                 cut[(p - 3) * 4 // (n - 3)].append(w[p])
@@ -66,6 +64,25 @@ def test_copy_with_a_changed_word_goes(spark):
     assert all(got[d] == f"head{chr(97 + d)}" for d in range(1, 8))
 
 
+def test_short_lines_go_by_evidence(spark):
+    texts = {d: f"own{chr(97 + d)}\nSo on.\nEnd" + ("\nAnd also." if d < 10 else "") + "\n\n" for d in range(21)}
+    got = left(spark, texts)
+    assert got == want(texts) and got[0] == texts[0]
+    # 2 x 20 and 1 x 20 reach the evidence, 2 x 9 does not
+    assert all(got[d] == f"own{chr(97 + d)}" + ("\nAnd also." if d < 10 else "") + "\n\n" for d in range(1, 21))
+
+
+def test_lines_without_blanks_are_compared_by_characters(spark):
+    chinese = "本网站所有内容均受版权保护未经书面许可不得转载或用于任何商业用途"
+    thai = "สงวนลิขสิทธิ์ตามกฎหมายห้ามทำซ้ำโดยไม่ได้รับอนุญาต"
+    changed = chinese[:20] + "照" + chinese[21:]
+    texts = {1: f"甲\n{chinese}\n{thai}", 2: f"乙\n{chinese}\n{thai}", 3: f"丙\n{changed}", 4: f"丁\n{chinese[:5]}",
+             5: f"戊\n{chinese[:5]}", 6: f"己2024年{chinese}", 7: f"庚2025年{chinese}"}
+    got = left(spark, texts)
+    assert got == want(texts)
+    assert got == {**texts, 2: "乙", 3: "丙"}
+
+
 @pytest.mark.skipif(not os.path.isdir(TABLE), reason="test tables are absent")
 def test_all_templates_of_a_larger_table(spark):
     docs = read_table(spark, TABLE, "documents").select("doc_id", "text").toPandas().dropna()
