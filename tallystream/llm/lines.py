@@ -3,7 +3,9 @@
 A line's path in the tree is its token count and its first three tokens; tokens with a digit are a variable field.
 The rest of a line is cut into four segments. A template is a path with some of its segments constant and the
 others variable; a line has a template for every choice of segments in which six tenths of its tokens are constant, so
-a copy with a changed word shares one with the verbatim copies. A template recurs if constant tokens times further
+a copy with a changed word shares one with the verbatim copies. Variable fields are never counted as constant, wherever
+they stand, so rows of different numbers have no template in common. A line with such fields has a second set of templates
+in which its tokens with a digit are taken as they are, and counted: copies with the same numbers recur. A template recurs if constant tokens times further
 documents that have it reach `EVIDENCE`: a line of 20 words needs two documents, one of five words five. Lines
 shorter than `PATH_ONLY` tokens, down to a single one, are compared as a whole; only lines without tokens always stay.
 Each character of a script that is written without blanks is a token, so such lines are compared, and their
@@ -54,47 +56,62 @@ def spaced(text: str | None) -> str | None:
 
 
 def line_paths(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """text, line, n, path and the four segments of all lines with tokens (segments 0 if compared whole)."""
+    """Of all lines that can recur: text, line, n, exact, path, segments and the constant tokens of lead and segments.
+
+    A line that is compared whole is all lead. A line with tokens with a digit comes a second time, exact, with these as they are.
+    """
     data, bounds = textbytes.joined([spaced(t) for t in texts])
     hashes, starts, ends = textbytes.words(data, textbytes.separators(BLANKS), lower=False)
     digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
-    hashes[digits[ends] > digits[starts]] = _VARIABLE
+    variable = digits[ends] > digits[starts]
     breaks = np.flatnonzero(data == 10)
     of_line = np.searchsorted(breaks, starts)
     n = np.bincount(of_line, minlength=len(breaks))
     first = np.concatenate(([0], np.cumsum(n)))[:-1]
     place = np.arange(len(hashes)) - first[of_line]
     n_own = n[of_line]
-    weighted = hashes * (textbytes.mixed(place.astype(_U)) | _U(1))
+    weights = textbytes.mixed(place.astype(_U)) | _U(1)
     whole = n_own < PATH_ONLY
     segment = np.where(
         (place < LEAD) | whole, 0, 1 + (place - LEAD) * SEGMENTS // np.maximum(n_own - LEAD, 1))
     cell = of_line * (SEGMENTS + 1) + segment
-    sums = np.zeros(len(breaks) * (SEGMENTS + 1), _U)
-    if len(cell):
-        at = np.flatnonzero(np.diff(cell, prepend=-1))
-        sums[cell[at]] = textbytes.mixed(np.add.reduceat(weighted, at))
-    sums = sums.reshape(-1, SEGMENTS + 1)
-    lines = np.flatnonzero(n)
-    path = textbytes.mixed(sums[lines, 0] + n[lines].astype(_U) * _U(0x9E3779B97F4A7C15))
-    text = np.searchsorted(bounds, breaks[lines], side="right") - 1
-    before = np.searchsorted(breaks, bounds)[text]
-    return text, lines - before, n[lines], path, sums[lines, 1:]
+    at = np.flatnonzero(np.diff(cell, prepend=-1))
+
+    def view(exact: bool) -> tuple[np.ndarray, ...]:
+        values, counted = (hashes, slice(None)) if exact else (np.where(variable, _VARIABLE, hashes), ~variable)
+        sums = np.zeros(len(breaks) * (SEGMENTS + 1), _U)
+        if len(cell):
+            sums[cell[at]] = textbytes.mixed(np.add.reduceat(values * weights, at))
+        constant = np.bincount(cell[counted], minlength=sums.size).reshape(-1, SEGMENTS + 1)
+        sums = sums.reshape(-1, SEGMENTS + 1)
+        fits = np.bincount(of_line[variable], minlength=len(breaks)) if exact else (
+            (n > 0) & (100 * constant.sum(axis=1) >= CONSTANT_PERCENT * n))
+        lines = np.flatnonzero(fits)
+        path = textbytes.mixed(sums[lines, 0] + n[lines].astype(_U) * _U(0x9E3779B97F4A7C15))
+        text = np.searchsorted(bounds, breaks[lines], side="right") - 1
+        before = np.searchsorted(breaks, bounds)[text]
+        return (text, lines - before, n[lines], np.full(len(lines), exact), path, sums[lines, 1:], constant[lines])
+
+    return tuple(np.concatenate(pair) for pair in zip(view(False), view(True)))
 
 
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for a, b in textbytes.slices(texts):
-            text, line, n, path, segments = line_paths(texts[a:b])
+            text, line, n, exact, path, segments, constant = line_paths(texts[a:b])
             rows = pa.array(text + a)
-            offsets = np.arange(0, SEGMENTS * len(text) + 1, SEGMENTS, dtype=np.int32)
+
+            def lists(values: np.ndarray) -> pa.ListArray:
+                offsets = np.arange(0, SEGMENTS * len(values) + 1, SEGMENTS, dtype=np.int32)
+                return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values).ravel()))
+
             yield pa.record_batch({
                 "id": batch.column("id").take(rows), "mark": batch.column("mark").take(rows),
-                "line": pa.array(line.astype(np.int32)), "n": pa.array(n.astype(np.int32)),
-                "path": pa.array(path.view(np.int64)),
-                "segments": pa.ListArray.from_arrays(
-                    pa.array(offsets), pa.array(np.ascontiguousarray(segments).view(np.int64).ravel())),
+                "line": pa.array(line.astype(np.int32)), "n": pa.array(n.astype(np.int32)), "exact": pa.array(exact),
+                "path": pa.array(path.view(np.int64)), "lead": pa.array(constant[:, 0].astype(np.int32)),
+                "segments": lists(np.ascontiguousarray(segments).view(np.int64)),
+                "tokens": lists(constant[:, 1:].astype(np.int32)),
             })
 
 
@@ -103,26 +120,19 @@ def _shared(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo < _hi").select(*keys)
 
 
-def _segment_tokens(j: int) -> Column:
-    """Tokens of segment j of a line of n tokens."""
-    rest = F.col("n") - LEAD
-
-    def up_to(k: int) -> Column:
-        return F.ceil(rest * k / SEGMENTS)
-
-    return (up_to(j + 1) - up_to(j)).cast("int")
-
-
 def _templates() -> Column:
-    """constant and template of a line for each choice of its shared segments s0, s1, ... that is long enough."""
+    """constant and template of a line for each choice of its shared segments s0, s1, ... that is long enough.
+
+    A segment is a struct of its value and its constant tokens.
+    """
     found = []
     for choice in range(1, 1 << SEGMENTS):
         chosen = [j for j in range(SEGMENTS) if choice >> j & 1]
-        constant = sum((_segment_tokens(j) for j in chosen), F.lit(LEAD)).cast("long")
+        constant = sum((F.col(f"s{j}.tokens") for j in chosen), F.col("lead")).cast("long")
         fits = reduce(Column.__and__, [F.col(f"s{j}").isNotNull() for j in chosen])
         found.append(F.when(fits & (100 * constant >= CONSTANT_PERCENT * F.col("n")), F.struct(
             constant.alias("constant"),
-            F.xxhash64("path", F.lit(choice), *[f"s{j}" for j in chosen]).alias("template"))))
+            F.xxhash64("path", F.lit(choice), *[f"s{j}.segment" for j in chosen]).alias("template"))))
     return F.array_compact(F.array(*found))
 
 
@@ -131,18 +141,20 @@ def dropped_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -
     rows = docs.filter(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(
         F.col(row_id).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     lines = staged(rows.mapInArrow(
-        _line_rows, "id long, mark long, line int, n int, path long, segments array<long>"), "lines")
-    own = ["id", "mark", "line", "n", "path"]
-    open_lines = staged(lines.join(_shared(lines, "path"), "path").select(*own, "segments"), "open-lines")
+        _line_rows, "id long, mark long, line int, n int, exact boolean, path long, lead int, segments array<long>, tokens array<int>"),
+        "lines")
+    own = ["id", "mark", "line", "n", "exact", "path", "lead"]
+    open_lines = staged(lines.join(_shared(lines, "path"), "path").select(*own, "segments", "tokens"), "open-lines")
 
     parts = open_lines.filter(F.col("n") >= PATH_ONLY).select(
-        *own, F.posexplode("segments").alias("j", "segment"))
+        *own, "tokens", F.posexplode("segments").alias("j", "segment")).withColumn(
+        "tokens", F.get("tokens", F.col("j"))).filter("tokens > 0")  # a segment of variable fields adds nothing
     constant = _shared(parts, "path", "j", "segment")
     shared = parts.join(constant, ["path", "j", "segment"]).groupBy(*own).agg(
-        *[F.max(F.when(F.col("j") == j, F.col("segment"))).alias(f"s{j}") for j in range(SEGMENTS)])
+        *[F.max(F.when(F.col("j") == j, F.struct("segment", "tokens"))).alias(f"s{j}") for j in range(SEGMENTS)])
     templates = shared.select(*own, F.explode(_templates()).alias("one")).select(*own, "one.constant", "one.template")
     whole = open_lines.filter(F.col("n") < PATH_ONLY).select(
-        *own, F.col("n").cast("long").alias("constant"), F.col("path").alias("template"))
+        *own, F.col("lead").cast("long").alias("constant"), F.col("path").alias("template"))
     both = staged(templates.unionByName(whole).select("id", "mark", "line", "constant", "template"), "templates")
 
     recurring = both.groupBy("template", "id").agg(F.max("constant").alias("constant")).groupBy("template").agg(
