@@ -11,7 +11,8 @@ order of projected distance, that the test does not exclude: once a leaf's squar
 
 Every vector is indexed and every block can be visited; queries meet blocks in chunks of `QUERY_ROWS`, so a task
 holds bounded numbers of both. Equal vectors of a block are looked at once. Results are exact scores in double
-precision, ties go to the smaller id.
+precision, ties go to the smaller id: where more distinct vectors tie at the last rank than the search keeps, all vectors
+of the visited leaves are gone through again for the smallest ids.
 
 Defined results: vectors that are null, zero, of another than the most frequent length, or hold null or
 non-finite components take no part, nor do rows without an id; rows that share an id are candidates each, but never for
@@ -138,7 +139,11 @@ def search_block(
     keep = min(k + 1 + SPARE, len(alone))
     best, who = np.full((len(q), keep), -np.inf), np.full((len(q), keep), -1, np.int64)
     limit = chi_square_quantile(SURE)
-    length = np.einsum("nd,nd->n", q, q) + space.largest
+    squares = np.einsum("nd,nd->n", q, q)
+    length = squares + space.largest
+    # by how much two ways of summing a product can differ
+    slack = np.maximum(1e-9, 4 * x.shape[1] * np.finfo(float).eps * np.sqrt(squares * space.largest))
+    visited = np.zeros(near.shape, bool)
     for t in range(len(leaves)):
         leaf = turn[:, t]
         # the (k + 1)-th distinct vector so far, the query's own among them, or what is known from elsewhere
@@ -149,15 +154,24 @@ def search_block(
             break
         for at in np.unique(leaf[live]):
             rows = np.flatnonzero(live & (leaf == at))
+            visited[rows, at] = True
             score = np.concatenate((best[rows], q[rows] @ alone[leaves[at]].T), axis=1)
             from_leaf = np.broadcast_to(leaves[at], (len(rows), len(leaves[at])))
             own = np.concatenate((who[rows], from_leaf), axis=1)
             top = np.argsort(-score, axis=1, kind="stable")[:, :keep]
             best[rows], who[rows] = np.take_along_axis(score, top, 1), np.take_along_axis(own, top, 1)
+    # best is in order: if its last is level with the (k + 1)-th, further vectors may be that were not kept
+    level = (best[:, -1] >= best[:, min(k, keep - 1)] - slack) & (keep < len(alone)) & (who[:, -1] >= 0)
     out_q, out_v, out_s = [], [], []
     for i in range(len(q)):
-        found = who[i][who[i] >= 0]
-        found = found[best[i][: len(found)] >= bound[i] - 1e-9]
+        if level[i]:
+            found = np.concatenate([leaves[at] for at in np.flatnonzero(visited[i])])
+            found = found[alone[found] @ q[i] >= max(best[i, k] - slack[i], bound[i] - slack[i])]
+            exact = (alone[found] * q[i]).sum(axis=1)
+            found = found[np.lexsort((ids[first[found]], -exact))[: k + 1]]  # a vector's first row has its smallest id
+        else:
+            found = who[i][who[i] >= 0]
+            found = found[best[i][: len(found)] >= bound[i] - slack[i]]
         rows = np.concatenate([by_group[begin[g]: min(begin[g + 1], begin[g] + k + 1)] for g in found]) if len(found) else found
         rows = rows[ids[rows] != qids[i]]
         score = (x[rows] * q[i]).sum(axis=1)
