@@ -1,12 +1,9 @@
 """Line dedup against all templates of all lines, kept as tuples of words."""
 
-import collections
-import itertools
 import os
-import re
 
 import pytest
-from tests_llm_brute import WORD
+from tests_llm_brute import repeated_lines
 
 from tallystream.llm import lines
 from tallystream.session import read_table
@@ -14,40 +11,13 @@ from tallystream.session import read_table
 TABLE = "/root/testdata/sf0.01"
 
 
-def all_templates(texts):
-    """id -> numbers of its lines that go."""
-    documents, constant, own = collections.defaultdict(set), {}, []
-    for d, text in texts.items():
-        for i, line in enumerate(text.split("\n")):
-            exact = WORD.findall(lines.spaced(line))
-            n = len(exact)
-            masked = ["<*>" if re.search("[0-9]", x) else x for x in exact]
-            choices = [c for r in range(1, 5) for c in itertools.combinations(range(4), r)] if n >= 8 else [None]
-            for w, c in itertools.product([masked, exact], choices):
-                cut = collections.defaultdict(list)
-                for p in range(3, n):
-                    cut[(p - 3) * 4 // (n - 3)].append(w[p])
-                fixed = w if c is None else w[:3] + [x for j in c for x in cut[j]]
-                size = sum(x != "<*>" for x in fixed)
-                if n and 100 * size >= 60 * n:
-                    key = (n, c, tuple(fixed))
-                    documents[key].add(d)
-                    constant[key] = size
-                    own.append((d, i, key))
-    gone = collections.defaultdict(set)
-    for d, i, key in own:
-        if constant[key] * (len(documents[key]) - 1) >= 20 and d > min(documents[key]):
-            gone[d].add(i)
-    return dict(gone)
-
-
 def left(spark, texts):
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     return {r.doc_id: r.text for r in lines.without_repeated_lines(table).collect()}
 
 
 def want(texts):
-    gone = all_templates(texts)
+    gone = repeated_lines(texts)
     return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, ())) for d, t in texts.items()}
 
 
@@ -103,4 +73,4 @@ def test_all_templates_of_a_larger_table(spark):
     docs = read_table(spark, TABLE, "documents").select("doc_id", "text").toPandas().dropna()
     texts = dict(zip(docs.doc_id, docs.text))
     gone = {r.id: set(r.drops) for r in lines.dropped_lines(spark.createDataFrame(docs)).collect()}
-    assert gone == all_templates(texts) and sum(map(len, gone.values())) > 100
+    assert gone == repeated_lines(texts) and sum(map(len, gone.values())) > 100

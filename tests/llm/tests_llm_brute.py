@@ -1,6 +1,7 @@
 """Plain versions of operators for small tables, with words and sets instead of hashes."""
 
 import collections
+import itertools
 import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -33,46 +34,52 @@ def near_groups(texts, width):
     return {d: root(d) for d in texts}, {d: len(s) for d, s in sets.items()}
 
 
+# first and last code points of the scripts that are written without blanks
+UNSPACED = [
+    (0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x1AAF), (0x1B00, 0x1B7F), (0x3001, 0x30FF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+    (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)]
+
+
+def line_tokens(line):
+    """Words, and single characters of scripts without blanks."""
+    out, open_word = [], False
+    for x in line:
+        if any(a <= ord(x) <= b for a, b in UNSPACED):
+            out.append(x)
+            open_word = False
+        elif x in " \t\n\x0b\f\r":
+            open_word = False
+        elif open_word:
+            out[-1] += x
+        else:
+            out.append(x)
+            open_word = True
+    return out
+
+
 def repeated_lines(texts):
-    """id -> numbers of its lines that go."""
-    paths, parts, own = collections.defaultdict(set), collections.defaultdict(set), []
-    for d, t in texts.items():
-        if d is None or t is None:
-            continue
-        for i, line in enumerate(t.split("\n")):
-            w = ["<*>" if re.search("[0-9]", x) else x for x in WORD.findall(line)]
-            n = len(w)
-            if n < 3:
-                continue
-            whole = n < 8
-            path = (n, tuple(w if whole else w[:3]))
-            cut = collections.defaultdict(list)
-            for p in range(3, n):
-                cut[(p - 3) * 4 // (n - 3)].append(w[p])
-            segments = None if whole else [tuple(cut[j]) for j in range(4)]
-            own.append((d, i, n, path, segments))
-            paths[path].add(d)
-            for j, s in enumerate(segments or []):
-                parts[(path, j, s)].add(d)
-    documents, constant, marked = collections.defaultdict(set), {}, []
-    for d, i, n, path, segments in own:
-        if len(paths[path]) < 2:
-            continue
-        template, size = (path, None), n
-        if segments is not None:
-            kept = [(j, s) for j, s in enumerate(segments) if len(parts[(path, j, s)]) > 1]
-            size = 3 + sum(len(s) for _, s in kept)
-            if not kept or 100 * size < 60 * n:
-                continue
-            template = (path, tuple(kept))
-        documents[template].add(d)
-        constant[template] = max(constant.get(template, 0), size)
-        marked.append((d, i, template))
+    """id -> numbers of its lines that go: all templates of all lines, as tuples of tokens."""
+    documents, constant, own = collections.defaultdict(set), {}, []
+    for d, text in texts.items():
+        for i, line in enumerate((text or "").split("\n")):
+            exact = line_tokens(line)
+            n = len(exact)
+            masked = ["<*>" if re.search("[0-9]", x) else x for x in exact]
+            choices = [c for r in range(1, 5) for c in itertools.combinations(range(4), r)] if n >= 8 else [None]
+            for w, c in itertools.product([masked, exact], choices):
+                cut = collections.defaultdict(list)
+                for p in range(3, n):
+                    cut[(p - 3) * 4 // (n - 3)].append(w[p])
+                fixed = w if c is None else w[:3] + [x for j in c for x in cut[j]]
+                size = sum(x != "<*>" for x in fixed)
+                if n and 100 * size >= 60 * n:
+                    key = (n, c, tuple(fixed))
+                    documents[key].add(d)
+                    constant[key] = size
+                    own.append((d, i, key))
     gone = collections.defaultdict(set)
-    for d, i, template in marked:
-        holders = documents[template]
-        if constant[template] * (len(holders) - 1) >= 20 and d != min(holders):
+    for d, i, key in own:
+        if constant[key] * (len(documents[key]) - 1) >= 20 and d > min(documents[key]):
             gone[d].add(i)
     return dict(gone)
-
-
