@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystream.operators.ordered import join_on, last_n, last_n_per_group, select_ranks
+from tallystream.operators.ordered import last_n, last_n_per_group, select_ranks
 
 # Up to this many samples a group's values are sorted as one array; both ways give the same rows.
 ARRAY_MAX = 10_000
@@ -48,12 +48,11 @@ def exact_percentiles(
     found = select_ranks(
         df, value, {f"p{p}": percentile_rank(F.col("n"), p) for p in ps}, by
     )
-    columns = [F.max(F.when(F.col("target") == f"p{p}", F.col("value"))).alias(f"p{p}") for p in ps]
-    values = found.groupBy(*by).agg(*columns)
-    # a row for every group, and for an ungrouped empty input
+    # a row for every group, and for an ungrouped empty input; both sides meet in one aggregation, without a join
     groups = df.groupBy(*by).agg(F.count(value).alias("samples"))
-    filled = [F.coalesce(f"p{p}", F.lit(0.0)).alias(f"p{p}") for p in ps]
-    return join_on(groups, values, by, "left").select(*by, "samples", *filled)
+    both = groups.unionByName(found.select(*by, "target", "value"), allowMissingColumns=True)
+    columns = [F.coalesce(F.max(F.when(F.col("target") == f"p{p}", F.col("value"))), F.lit(0.0)).alias(f"p{p}") for p in ps]
+    return both.groupBy(*by).agg(F.max("samples").alias("samples"), *columns)
 
 
 def approx_percentiles(
