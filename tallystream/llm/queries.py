@@ -1,11 +1,11 @@
-"""The queries of the ten operators over their whole tables, and their SQL counterparts."""
+"""The queries of the operators over their whole tables, and their SQL counterparts."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import language, lines, mixing, near_dup, neighbours, pieces, private, quality, quality_rules, toxicity
+from tallystream.llm import language, lines, mixing, near_dup, neighbours, pieces, private, quality, quality_rules, token_files, toxicity
 from tallystream.llm.shared import remainder
 from tallystream.llm.sql import MIXING_SQL, PRIVATE_SQL, QUALITY_RULES_SQL
 from tallystream.session import read_table
@@ -89,6 +89,13 @@ def op10_mixing(spark: SparkSession, directory: str) -> DataFrame:
     ).orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
+def op13_token_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Place, length and digest of the token ids of every document, from files of directly addressable codes."""
+    docs = read_table(spark, directory, "documents")
+    manifest = token_files.write_tokens(docs, token_files.new_folder(docs))
+    return token_files.read_summaries(manifest)
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_private": op2_private,
@@ -100,6 +107,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES = {
