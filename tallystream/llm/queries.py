@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import language, lines, mixing, near_dup, neighbours, pieces, private, quality, quality_rules, token_files, toxicity
+from tallystream.llm import language, lines, mixing, near_dup, neighbours, pieces, private, quality, quality_rules, repair, token_files, toxicity
 from tallystream.llm.shared import remainder
 from tallystream.llm.sql import MIXING_SQL, PRIVATE_SQL, QUALITY_RULES_SQL
 from tallystream.session import read_table
@@ -89,6 +89,12 @@ def op10_mixing(spark: SparkSession, directory: str) -> DataFrame:
     ).orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
+def op12_conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired rows of every conversation, after known damage."""
+    rows = read_table(spark, directory, "conversations")
+    return repair.report_digests(repair.repair(repair.damaged(rows), rows.select("conv_id")))
+
+
 def op13_token_files(spark: SparkSession, directory: str) -> DataFrame:
     """Place, length and digest of the token ids of every document, from files of directly addressable codes."""
     docs = read_table(spark, directory, "documents")
@@ -107,6 +113,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_token_files": op13_token_files,
 }
 
