@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystream.llm import language, lines, mixing, near_dup, neighbours, pieces, private, quality, quality_rules, repair, token_files, toxicity
+from tallystream.llm import (
+    language, lines, mixing, near_dup, neighbours, pieces, prefix_trie, private, quality, quality_rules, repair, token_files, toxicity,
+)
 from tallystream.llm.shared import remainder
 from tallystream.llm.sql import MIXING_SQL, PRIVATE_SQL, QUALITY_RULES_SQL
 from tallystream.session import read_table
@@ -89,6 +91,12 @@ def op10_mixing(spark: SparkSession, directory: str) -> DataFrame:
     ).orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
+def op11_prefix_trie(spark: SparkSession, directory: str) -> DataFrame:
+    """All nodes of the trie of conversations whose openings are shared within families of a hundred."""
+    turns = prefix_trie.turn_sequences(read_table(spark, directory, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_openings(turns))
+
+
 def op12_conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
     """Faults, cheapest edits and digest of the repaired rows of every conversation, after known damage."""
     rows = read_table(spark, directory, "conversations")
@@ -113,6 +121,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_token_files": op13_token_files,
 }
