@@ -31,18 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystream.llm.shared import scratch_root, staged
+from tallystream.llm.word_ids import WordIds, cut_words, parts
 
 MAGIC = b"TOKDAC01"
 CHUNK_BITS = 8
 RANK_BITS = 512
 FILE_TOKENS = 1 << 21
-TEXTS_AT_ONCE = 1 << 20  # characters tokenized at a time
+TEXTS_AT_ONCE = 1 << 22  # bytes of text tokenized at a time
+WORDS_A_LINE = 200
 MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 2
 _HEAD = 48
@@ -195,23 +198,39 @@ class _Writer:
         return row
 
 
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_file(path)
-    made.no_padding()
-    made.no_truncation()
-    return made
+class TextIds:
+    """Ids of texts by the tokenizer. It never joins what a single blank between visible characters parts, so distinct words are enough."""
 
+    def __init__(self, path: str):
+        import os
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Row ranges of about TEXTS_AT_ONCE characters."""
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= TEXTS_AT_ONCE or i + 1 == len(texts):
-            yield first, i + 1
-            first, size = i + 1, 0
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        self.words = WordIds(self.solve, cut_words, "", " ")
+
+    def solve(self, words: list[str]) -> list[bytes]:
+        """Words that can stand beside each other are encoded in lines and told apart by the tokens' places."""
+        apart = [not (w[:1] == " " and len(w) > 1 and not w[1].isspace() and w[-1].isprintable() and not w[-1].isspace()) for w in words]
+        out: list[bytes] = [b""] * len(words)
+        single = [i for i, alone in enumerate(apart) if alone]
+        for i, e in zip(single, self.tokenizer.encode_batch_fast([words[i] for i in single], add_special_tokens=False)):
+            out[i] = np.array(e.ids, "<i4").tobytes()
+        beside = [i for i, alone in enumerate(apart) if not alone]
+        lines = [beside[a: a + WORDS_A_LINE] for a in range(0, len(beside), WORDS_A_LINE)]
+        found = self.tokenizer.encode_batch(["".join([words[i] for i in line]) for line in lines], add_special_tokens=False)
+        for line, e in zip(lines, found):
+            ids = np.array(e.ids, "<i4")
+            ends = np.cumsum([len(words[i]) for i in line])
+            cuts = np.searchsorted(np.array(e.offsets)[:, 0], ends)
+            raw, a = ids.tobytes(), 0
+            for i, b in zip(line, (4 * cuts).tolist()):
+                out[i] = raw[a:b]
+                a = b
+        return out
 
 
 def write_tokens(
@@ -224,17 +243,16 @@ def write_tokens(
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task one core
-        tokenizer, out, rows = _tokenizer(model), _Writer(folder, TaskContext.get().partitionId()), []
+        text_ids, out, rows = TextIds(model), _Writer(folder, TaskContext.get().partitionId()), []
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            doc_ids = batch.column("id").to_pylist()
-            for a, b in _runs(texts):
-                found = tokenizer.encode_batch_fast(texts[a:b], add_special_tokens=False)
-                for doc_id, e in zip(doc_ids[a:b], found):
-                    rows += out.add(doc_id, np.array([*e.ids, end_id], np.uint32))
+            texts, doc_ids = batch.column("text"), batch.column("id").to_pylist()
+            size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            for a, b in parts(size, TEXTS_AT_ONCE):
+                ids, counts = text_ids.words.encode(texts.slice(a, b - a))
+                last = np.cumsum(counts)
+                ids = np.insert(ids, last, end_id)  # after each document
+                for doc_id, x in zip(doc_ids[a:b], np.split(ids, last[:-1] + np.arange(1, len(last)))):
+                    rows += out.add(doc_id, x)
         if out.size:
             rows.append(out.close())
         if rows:
@@ -271,8 +289,9 @@ def read_summaries(manifest: DataFrame) -> DataFrame:
                         "doc_id": pa.array(file.doc_ids(), pa.int64()), "start": pa.array(starts[:-1] + row["start"]),
                         "n_tokens": pa.array(np.diff(starts)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    files = manifest.select("path", "start").repartition("path")
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a fixed number, because files are small rows: their sizes tell adaptive execution nothing
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path", "start").repartition(tasks, "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_range(manifest: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -80,3 +80,20 @@ def test_repeated_and_missing_ids_and_no_rows(spark):
     assert sorted(r.n_tokens for r in rows) == sorted(len(x) for x in ids_of([r.text for r in docs.collect()]))
     none = docs.filter(F.lit(False))
     assert token_files.read_summaries(token_files.write_tokens(none, token_files.new_folder(none))).count() == 0
+
+
+def test_words_of_odd_texts_have_the_ids_of_the_texts():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    marks = ["a", "b", " ", "  ", "\n", "'s", "'", "é", "日", "1", ".", ",", "\t", "\xa0", "​", "\x85", "😀", "$$", "’", "\r\n", "\x1c", "　",
+             "Z", "_", "\x00", "▁", "﻿", "́"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(20_000)] + [None, "", " ", "x" * 5_000]
+    tool = token_files.TextIds(token_files.MODEL)
+    for _ in range(2):  # unknown and known words
+        ids, counts = tool.words.encode(pa.array(texts))
+        want = tool.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert counts.tolist() == [len(e.ids) for e in want]
+        assert ids.tolist() == [i for e in want for i in e.ids]
