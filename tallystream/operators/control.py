@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystream.functions.numbers import epoch_micros, interval_seconds, number_or, round_half_up
-from tallystream.operators.ordered import last_known
+from tallystream.operators.ordered import join_on, last_known, nearest
+from tallystream.staging import drop_staged, staged
 from tallystream.templates import DEFAULT_TEMPLATE, TEMPLATE_NAMES
 
 # Fixed value: k that a memory decision shrinks heavy hitters to.
@@ -104,79 +105,52 @@ def apply_cooldown(
 ) -> DataFrame:
     """The candidates that remain if every accepted one blocks its group for `cooldown`.
 
-    Acceptance depends on all earlier acceptances of the group. To keep one long timeline out of a
-    single task, it is cut into chunks of time. Each chunk is first summarised by where it would
-    end for each of the few ways to enter it; only these summaries, one per 512 cooldowns of history, are
-    followed in order; then every chunk is replayed on its own from its known entry. A chunk with no
-    candidate within a cooldown before it starts a stretch that depends on nothing earlier. A chunk
-    holds what one worker reports in 512 cooldowns, whatever the length of its history.
+    Acceptance depends on all earlier acceptances of the group, but it can be followed from many places at once. Every time
+    points to its successor, the first candidate at or after the end of its cooldown. A time with no candidate within
+    a cooldown before it is accepted for certain. From these the accepted ones are found by pointer doubling: in each round
+    all accepted times mark what they point to, and every pointer is replaced by its target's. After r rounds
+    2^r steps have been made, so a stretch of n acceptances takes log2(n) rounds, each two joins of small rows. Successors come
+    from a scan by chunks of time; no group's history is collected or sorted in one task.
+
+    Of several candidates of a group at one time the smallest row counts. Candidates without a time block nothing and are all
+    accepted; null is a group like any other. Rounds run when this function is called and keep their rows in the shared folder.
     """
     wait = interval_seconds(cooldown) * 1_000_000
-    length = wait * CHUNK_COOLDOWNS
-    timed = candidates.withColumn("_t", epoch_micros(F.col(ts)))
-    others = [c for c in candidates.columns if c not in by]
-    row = F.struct("_t", *others)
-
-    chunks = (
-        timed.withColumn("_part", F.floor(F.col("_t") / length))
-        .groupBy(*by, "_part")
-        .agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    )
+    by = list(by)
+    kept = staged(candidates.withColumn("_t", epoch_micros(F.col(ts))), "candidates")
+    times = kept.where(F.col("_t").isNotNull()).select(*by, F.col("_t").alias("_at")).distinct()
+
+    # one row per time, with the place to look from; known times are rows with a value
+    known = times.withColumn("_value", F.col("_at"))
+    nothing = F.lit(None).cast("bigint")
+
+    def look(from_: Column, name: str, after: bool) -> DataFrame:
+        asked = times.select(*by, (F.col("_at") + from_).alias("_at"), nothing.alias("_value"), F.col("_at").alias("_from"))
+        both = known.withColumn("_from", nothing).unionByName(asked)
+        found = nearest(both, by, "_at", "_value", name, wait * CHUNK_COOLDOWNS, after)
+        return found.where(F.col("_from").isNotNull()).select(*by, F.col("_from").alias("_at"), name)
+
+    before = look(F.lit(-1), "_before", after=False)
+    fresh = F.col("_before").isNull() | (F.col("_at") - F.col("_before") >= wait)
+    started = before.select(*by, "_at", fresh.alias("_taken"))
+    points = staged(join_on(started, look(F.lit(wait), "_next", after=True), [*by, "_at"]), "cooldown")
+    while not points.where(F.col("_taken") & F.col("_next").isNotNull()).isEmpty():
+        marked = points.where(F.col("_taken") & F.col("_next").isNotNull()).select(
+            *by, F.col("_next").alias("_at"), F.lit(True).alias("_marked")).distinct()
+        targets = points.select(*by, F.col("_at").alias("_next"), F.col("_next").alias("_further"), F.col("_taken").alias("_met"))
+        further = join_on(join_on(points, marked, [*by, "_at"], "left"), targets, [*by, "_next"], "left")
+        # a pointer to a certain start leads nowhere new
+        onward = F.when(~F.coalesce("_met", F.lit(False)), F.col("_further"))
+        stepped = staged(further.select(
+            *by, "_at", (F.col("_taken") | F.coalesce("_marked", F.lit(False))).alias("_taken"), onward.alias("_next")), "cooldown")
+        drop_staged(points)
+        points = stepped
 
-    def follow(times: Column, start: Column) -> Column:
-        """Last accepted time if `start` is accepted."""
-        return F.aggregate(times, start, lambda last, t: F.when(t >= last + wait, t).otherwise(last))
-
-    # only a candidate within one wait of the chunk's first, or the next one, can be accepted first
-    times = F.col("_times")
-    near = F.filter(times, lambda t: t < F.get(times, F.lit(0)) + wait)
-    heads = F.slice(times, F.lit(1), F.size(near) + 1)
-    exits = F.transform(heads, lambda t: F.struct(t.alias("enter"), follow(times, t).alias("leave")))
-    line = Window.partitionBy(*by).orderBy("_part")
-    summaries = (
-        chunks.select(*by, "_part", F.transform("_rows", lambda r: r["_t"]).alias("_times"))
-        .select(*by, "_part", exits.alias("_exits"), F.get("_times", F.lit(0)).alias("_first"),
-                F.element_at("_times", -1).alias("_final"))
-        .withColumn("_gap", F.col("_first") - F.lag("_final").over(line))
-        .withColumn("_fresh", F.when(F.col("_gap") < wait, 0).otherwise(1))
-        .withColumn("_stretch", F.sum("_fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-
-    state = "struct<last:bigint,entries:array<struct<_part:bigint,_entry:bigint>>>"
-    begin = F.struct(F.lit(None).alias("last"), F.array().alias("entries")).cast(state)
-
-    def step(so_far: Column, chunk: Column) -> Column:
-        last = so_far["last"]
-        usable = F.filter(chunk["_exits"], lambda e: last.isNull() | (e["enter"] >= last + wait))
-        entry = F.struct(chunk["_part"].alias("_part"), last.alias("_entry"))
-        return F.struct(
-            F.coalesce(F.get(usable, F.lit(0))["leave"], last).alias("last"),
-            F.concat(so_far["entries"], F.array(entry)).alias("entries"),
-        ).cast(state)
-
-    in_order = F.sort_array(F.collect_list(F.struct("_part", "_exits")))
-    entries = (
-        summaries.groupBy(*by, "_stretch")
-        .agg(F.aggregate(in_order, begin, step)["entries"].alias("_entries"))
-        .select(*by, F.inline("_entries"))
-    )
-
-    def replay(taken: Column, r: Column) -> Column:
-        last = F.element_at(taken, -1)["_t"]
-        return F.when(last.isNull() | (r["_t"] >= last + wait), F.concat(taken, F.array(r))).otherwise(taken)
-
-    # replay starts from a stand-in row for the entry, accepted in an earlier chunk
-    types = {f.name: f.dataType for f in candidates.schema.fields}
-    stand_in = F.struct(
-        F.col("_entry").alias("_t"), *[F.lit(None).cast(types[c]).alias(c) for c in others]
-    )
-    taken = F.aggregate("_rows", F.array(stand_in), replay)
-    return (
-        chunks.join(entries, [*by, "_part"])
-        .select(*by, taken.alias("_taken"))
-        .select(*by, F.inline(F.slice("_taken", F.lit(2), F.size("_taken"))))
-        .select(*candidates.columns)
-    )
+    others = [c for c in candidates.columns if c not in by]
+    accepted = points.where("_taken").select(*by, F.col("_at").alias("_t"))
+    smallest = kept.where(F.col("_t").isNotNull()).groupBy(*by, "_t").agg(F.min(F.struct(*others)).alias("_row"))
+    timed = join_on(smallest, accepted, [*by, "_t"]).select(*by, *[F.col(f"_row.{c}").alias(c) for c in others])
+    return timed.select(*candidates.columns).unionByName(kept.where(F.col("_t").isNull()).select(*candidates.columns))
 
 
 def override_commands(overrides: DataFrame) -> tuple[DataFrame, DataFrame]:

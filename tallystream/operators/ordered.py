@@ -264,3 +264,65 @@ def last_known(
     return join_on(placed, carries, [*by, "_chunk"]).select(
         *df.columns, F.coalesce("_local", "_carry").alias(alias)
     )
+
+
+# ---- distributed scans ----------------------------------------------------------------------
+
+def _prefix(df: DataFrame, by: Sequence[str], parts: DataFrame, place: Sequence[Column], values: dict[str, Column],
+            upto: int) -> DataFrame:
+    """Window values over each (by, _chunk), whose first row is what `parts` carries in; carried rows are left out again."""
+    both = df.withColumn("_own", F.lit(True)).unionByName(parts.withColumn("_own", F.lit(False)), allowMissingColumns=True)
+    line = Window.partitionBy(*by, "_chunk").orderBy("_own", *place).rowsBetween(Window.unboundedPreceding, upto)
+    return both.withColumns({name: value.over(line) for name, value in values.items()}).where("_own").drop("_own")
+
+
+def running(
+    df: DataFrame, by: Sequence[str], at: str, sums: dict[str, str] | None = None, largest: dict[str, str] | None = None,
+    latest: dict[str, str] | None = None, chunk: int = 86_400_000_000, before: bool = False, tie: Sequence[str] = (),
+) -> DataFrame:
+    """Adds, per group in order of the number `at` (and `tie`), running sums, maxima and last non-null values of columns
+    under new names.
+
+    A scan in three steps, so that no task sees more of a group than a chunk of `at`: totals of the chunks, a scan of
+    the totals (one row per chunk), and a scan inside each chunk that begins with what came before. With
+    `before` a row itself does not count. Nulls of `at` come first.
+    """
+    sums, largest, latest = sums or {}, largest or {}, latest or {}
+    last = lambda c: F.last(c, ignorenulls=True)
+    place = F.struct(F.col(at).isNotNull(), at, *tie)
+    # (kind, column) -> how a chunk is summed up, and how totals and rows are scanned
+    kinds = {("sum", c): (F.sum(c), F.sum) for c in sums.values()}
+    kinds |= {("max", c): (F.max(c), F.max) for c in largest.values()}
+    kinds |= {("last", c): (F.max_by(c, F.when(F.col(c).isNotNull(), place)), last) for c in latest.values()}
+    name = lambda kind: f"_{kind[0]}_{kind[1]}"
+    placed = df.withColumn("_chunk", F.floor(F.col(at) / chunk))
+    totals = placed.groupBy(*by, "_chunk").agg(*[total.alias(name(kind)) for kind, (total, _) in kinds.items()])
+    earlier = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*by, "_chunk", *[scan(name(kind)).over(earlier).alias(name(kind)) for kind, (_, scan) in kinds.items()])
+    wanted = [("sum", sums), ("max", largest), ("last", latest)]
+    values = {new: kinds[kind, c][1](name((kind, c))) for kind, names in wanted for new, c in names.items()}
+    own = placed.withColumns({name(kind): F.col(kind[1]) for kind in kinds})
+    scanned = _prefix(own, by, carried, [F.asc_nulls_first(at), *tie], values, -1 if before else 0)
+    return scanned.select(*df.columns, *values)
+
+
+def nearest(
+    df: DataFrame, by: Sequence[str], at: str, value: str, name: str, chunk: int, after: bool = False,
+) -> DataFrame:
+    """Adds the last non-null `value` at or before each row's number `at`, or with `after` the first at or after it.
+
+    A scan like `running`, of known values instead of sums. Rows with a value come before others at the same place.
+    """
+    placed = df.withColumn("_chunk", F.floor(F.col(at) / chunk)).withColumn("_known", F.col(value))
+    direction = F.desc if after else F.asc
+    order = F.struct(at, value)
+    edge = F.min_by if after else F.max_by
+    totals = placed.where(F.col(value).isNotNull()).groupBy(*by, "_chunk").agg(edge(value, order).alias("_edge"))
+    # a chunk without a value of its own passes on what it was handed
+    chunks = placed.select(*by, "_chunk").distinct().withColumn("_edge", F.lit(None).cast(df.schema[value].dataType))
+    chunks = chunks.unionByName(totals).groupBy(*by, "_chunk").agg(F.max("_edge").alias("_edge"))
+    earlier = Window.partitionBy(*by).orderBy(direction("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select(*by, "_chunk", F.last("_edge", ignorenulls=True).over(earlier).alias("_known"))
+    place = [direction(at), F.col(value).isNull()]
+    scanned = _prefix(placed, by, carried, place, {name: F.last("_known", ignorenulls=True)}, 0)
+    return scanned.select(*df.columns, name)

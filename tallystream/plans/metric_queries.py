@@ -12,6 +12,7 @@ from tallystream.plans.inputs import (
     COOLDOWN, EVENTS_SQL, LINES_SQL, METRICS_COLUMNS, THRESHOLDS, TICK, metrics_steps, part_lines,
     percentile_sql, user_events, worker_metrics,
 )
+from tallystream.staging import staged
 from tallystream.templates import QUERY_PROFILES, TEMPLATE_NAMES, TEMPLATES
 
 FREQUENCY_KEY = "42"
@@ -132,8 +133,7 @@ def rejected_overrides(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def template_timeline(spark: SparkSession, directory: str) -> DataFrame:
-    orders = control.command_rows(_accepted(spark, directory))
-    return control.template_timeline(worker_metrics(spark, directory), orders)
+    return control.template_timeline(worker_metrics(spark, directory), _orders(spark, directory))
 
 
 def decision_classes(spark: SparkSession, directory: str) -> DataFrame:
@@ -142,14 +142,28 @@ def decision_classes(spark: SparkSession, directory: str) -> DataFrame:
     return control.decision_classes(log)
 
 
+def _orders(spark: SparkSession, directory: str) -> DataFrame:
+    """All commands: those of accepted decisions, resizes among them, and valid overrides."""
+    metrics = staged(worker_metrics(spark, directory), "metrics")
+    manual, _, _ = answers.set_params(_overrides(metrics))
+    accepted = control.apply_cooldown(control.decide(metrics, THRESHOLDS), COOLDOWN)
+    return staged(control.command_rows(accepted).unionByName(manual), "orders")
+
+
 def template_epochs(spark: SparkSession, directory: str) -> DataFrame:
-    orders = control.command_rows(_accepted(spark, directory))
-    return epochs.template_epochs(user_events(spark, directory), "key", "event_type", "ts", orders)
+    return epochs.template_epochs(user_events(spark, directory), "key", "event_type", "ts", _orders(spark, directory))
 
 
 def epoch_heavy_hitters(spark: SparkSession, directory: str) -> DataFrame:
-    orders = control.command_rows(_accepted(spark, directory))
-    return epochs.epoch_heavy_hitters(user_events(spark, directory), "key", "event_type", "ts", orders)
+    return epochs.epoch_heavy_hitters(user_events(spark, directory), "key", "event_type", "ts", _orders(spark, directory))
+
+
+def epoch_frequency(spark: SparkSession, directory: str) -> DataFrame:
+    """Estimates of a few keys, one of them absent, in every epoch."""
+    keys = user_events(spark, directory).where(F.col("event_id") % 200 == 0).select("key").orderBy("key").limit(5)
+    keys = keys.unionByName(spark.createDataFrame([("no such key",)], "key string"))
+    found = epochs.epoch_frequency(user_events(spark, directory), "key", "event_type", "ts", _orders(spark, directory), keys)
+    return found.withColumn("cms_error_bound", round_half_up(F.col("cms_error_bound"), 9))
 
 
 # ---- reports and answers --------------------------------------------------------------------
@@ -229,6 +243,7 @@ QUERIES = {
     "decision_classes": decision_classes,
     "template_epochs": template_epochs,
     "epoch_heavy_hitters": epoch_heavy_hitters,
+    "epoch_frequency": epoch_frequency,
     "multi_template_report": multi_template_report,
     "multi_template_report_parts": multi_template_report_parts,
     "sketch_report": sketch_report,
@@ -307,16 +322,34 @@ _MANUAL = {
     "asked": f"select * from ({_OVERRIDES}) where template is not null",
     "manual": "select * from asked where template in ('low', 'medium', 'high')",
 }
-_EPOCHS = {
-    **_COOLED,
+_ORDERS = {
+    **_MANUAL,
+    "orders": (
+        "select worker_id, ts, action, template, k from accepted union all "
+        "select worker_id, ts, 'set_template', template, null from manual"
+    ),
     "swaps": (
-        "select worker_id, ts, template, row_number() over (partition by worker_id order by ts)::int as epoch "
-        "from accepted where action = 'set_template'"
+        "select worker_id, ts, max_by(template, case template when 'low' then 1 when 'medium' then 2 else 3 end) as template "
+        "from orders where action = 'set_template' group by 1, 2"
+    ),
+}
+_EPOCHS = {
+    **_ORDERS,
+    "numbered": "select *, row_number() over (partition by worker_id order by ts)::int as epoch from swaps",
+    "spans": (
+        "select worker_id, ts, template, epoch, lead(ts) over (partition by worker_id order by ts) as until from numbered "
+        "union all select w.worker_id, timestamp '0001-01-01', 'medium', 0, "
+        "(select min(n.ts) from numbered n where n.worker_id = w.worker_id) from (select distinct worker_id from metrics) w"
+    ),
+    "last_k": (
+        "select s.worker_id, s.epoch, coalesce(max_by(o.k, o.ts), any_value(t.mg_k))::int as mg_k "
+        "from spans s join tpl t using (template) left join orders o on o.worker_id = s.worker_id and o.action = 'resize_mg' "
+        "and o.ts >= s.ts and (s.until is null or o.ts < s.until) group by 1, 2"
     ),
     "placed": (
-        "select e.event_type as worker_id, e.key, coalesce(s.epoch, 0) as epoch, "
-        "coalesce(s.template, 'medium') as template from ev e asof left join swaps s "
-        "on s.worker_id = e.event_type and e.ts >= s.ts"
+        "select e.event_type as worker_id, e.key, coalesce(s.epoch, 0) as epoch, coalesce(s.template, 'medium') as template, l.mg_k "
+        "from ev e asof left join numbered s on s.worker_id = e.event_type and e.ts >= s.ts "
+        "join last_k l on l.worker_id = e.event_type and l.epoch = coalesce(s.epoch, 0)"
     ),
 }
 
@@ -532,7 +565,7 @@ ORACLES = {
         "from asked where template not in ('low', 'medium', 'high')",
     ),
     "template_timeline": sql.with_steps(
-        {**_COOLED, "swaps": "select worker_id, ts, template from accepted where action = 'set_template'"},
+        _ORDERS,
         "select m.worker_id, m.ts, coalesce(s.template, 'medium') as template from metrics m "
         "asof left join swaps s on s.worker_id = m.worker_id and m.ts >= s.ts",
         recursive=True,
@@ -557,21 +590,46 @@ ORACLES = {
             "keys": "select p.*, hll_precision from placed p join tpl using (template)",
             "regs": sql.registers("keys", "hll_precision", ["worker_id", "epoch", "template", "hll_precision"]),
             "est": sql.hll_estimates("regs", "hll_precision", ["worker_id", "epoch", "template", "hll_precision"]),
-            "totals": "select worker_id, epoch, count(*) as total from placed group by all",
+            "totals": "select worker_id, epoch, mg_k, count(*) as total from placed group by all",
         },
-        f"select worker_id, epoch, template, total as total_count, {sql.E} / cms_width * total as cms_error_bound, "
+        f"select worker_id, epoch, template, totals.mg_k, total as total_count, {sql.E} / cms_width * total as cms_error_bound, "
         f"estimate as hll_estimate, {sql.relative_error('est.hll_precision')} as hll_relative_error, "
-        "total / mg_k as mg_error_bound "
+        "total / totals.mg_k as mg_error_bound "
         "from est join totals using (worker_id, epoch) join tpl using (template)",
         recursive=True,
     ),
     "epoch_heavy_hitters": sql.with_steps(
         {
             **_EPOCHS,
-            "kc": sql.counts("placed join tpl using (template)", ["worker_id", "epoch", "template", "mg_k"]),
+            "kc": sql.counts("placed", ["worker_id", "epoch", "template", "mg_k"]),
             "mg": sql.summary("kc", "mg_k", ["worker_id", "epoch", "template", "mg_k"]),
         },
-        "select worker_id, epoch, template, key, est from mg",
+        "select worker_id, epoch, template, mg_k, key, est from mg",
+        recursive=True,
+    ),
+    "epoch_frequency": sql.with_steps(
+        {
+            **_EPOCHS,
+            "sized": "select p.*, cms_width, cms_depth from placed p join tpl using (template)",
+            "kc": "select worker_id, epoch, template, cms_width, cms_depth, key, count(*) as n from sized group by all",
+            "cells": (
+                "select worker_id, epoch, r::int as row_id, (md5_number_upper(key || ':' || r) % cms_width)::int as col_id, "
+                "sum(n)::bigint as cnt from kc, range(7) t(r) where r < cms_depth group by all"
+            ),
+            "wanted": (
+                "select distinct key from (select key from ev where event_id % 200 = 0 order by key limit 5) "
+                "union all select 'no such key'"
+            ),
+            "ages": "select worker_id, epoch, template, cms_width, cms_depth, sum(n)::bigint as total from kc group by all",
+            "slots": (
+                "select a.*, w.key, r::int as row_id, (md5_number_upper(w.key || ':' || r) % cms_width)::int as col_id "
+                "from ages a, wanted w, range(7) t(r) where r < cms_depth"
+            ),
+        },
+        "select s.worker_id, s.epoch, template, s.key, min(coalesce(c.cnt, 0))::bigint as estimate, "
+        f"{sql.rhu(f'{sql.E} / any_value(cms_width) * any_value(total)', 9)} as cms_error_bound "
+        "from slots s left join cells c on c.worker_id = s.worker_id and c.epoch = s.epoch and c.row_id = s.row_id "
+        "and c.col_id = s.col_id group by s.worker_id, s.epoch, template, s.key",
         recursive=True,
     ),
     "multi_template_report": _report(EVENTS_SQL),

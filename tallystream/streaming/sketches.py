@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallystream.operators.cms import CountMin, cms_build
-from tallystream.operators.epochs import (
-    estimate_by_template, merge_registers, own_registers, with_epoch,
-)
+from tallystream.operators.epochs import SketchParts, place_parts, sketch_parts
 from tallystream.operators.hll import HyperLogLog, hll_build
 from tallystream.operators.keys import keyed
 from tallystream.session import stream_state_dir
@@ -118,36 +116,36 @@ def start_snapshots(
     return start_table(metrics, path, checkpoint, "append", trigger)
 
 
+PARTS = ("cells", "registers", "candidates")
+
+
 def start_epoch_sketches(
     events: DataFrame,
     key: str,
     worker: str,
     ts: str,
-    commands: Callable[[SparkSession], DataFrame],
     path: str,
     checkpoint: str | None = None,
-    bucket: str = "1 day",
+    grain: str = "1 minute",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Sketches that restart at each template command.
+    """Partial sketches of every micro-batch per (worker, bucket of `grain`), in three tables below `path`.
 
-    Every micro-batch places its events in the epochs of the command table as it is then, and writes its own
-    partial registers and counts per (worker, epoch); `read_epochs` merges them.
+    Commands are not looked at: which epoch a bucket belongs to is decided when the parts are read, so neither late events nor
+    late commands need a correction.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        placed = with_epoch(batch.select(worker, ts, key), worker, ts, commands(spark), bucket)
-        rows = keyed(placed, key, F.col(worker).alias("worker_id"), "epoch", "template")
-        own_registers(rows, ["worker_id", "epoch"]).write.mode("overwrite").parquet(
-            batch_path(path, batch_id)
-        )
+        batch = batch.select(worker, ts, key).persist()
+        parts = sketch_parts(batch, key, worker, ts, grain)
+        for name in PARTS:
+            getattr(parts, name).write.mode("overwrite").parquet(batch_path(f"{path}/{name}", batch_id))
+        batch.unpersist()
 
     return start_batches(events, write, path, checkpoint, trigger=trigger)
 
 
-def read_epochs(spark: SparkSession, path: str) -> DataFrame:
-    """(worker_id, epoch, template, total_count, hll_estimate) from the partial sketches."""
-    by = ["worker_id", "epoch"]
-    merged = merge_registers(read_table(spark, path), by)
-    return estimate_by_template(merged, by).withColumnRenamed("estimate", "hll_estimate")
+def read_epochs(spark: SparkSession, path: str, commands: DataFrame, grain: str = "1 minute") -> SketchParts:
+    """The sketches of every epoch under `commands`; answers by `epochs.parts_report`, `parts_frequency`, `parts_heavy_hitters`."""
+    parts = SketchParts(*[read_table(spark, f"{path}/{name}") for name in PARTS])
+    return place_parts(parts, commands, grain)

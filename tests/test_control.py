@@ -75,6 +75,30 @@ def test_cooldown_equals_a_sequential_walk(spark, monkeypatch, chunk, spacing):
     assert {w: sorted(x) for w, x in got.items()} == want
 
 
+def test_cooldown_of_dense_long_and_null_workers(spark, monkeypatch):
+    """A dense worker, one whose cooldowns touch through thousands of chunks, and rows without a worker or time."""
+    monkeypatch.setattr(control, "CHUNK_COOLDOWNS", 1)
+    rng = random.Random(8)
+    dense = sorted(rng.sample(range(512 * 15 * 10), 60_000))  # tenths of a second
+    chain, t = [], 0
+    for _ in range(6_000):
+        t += rng.randint(60, 149)
+        chain.append(t)
+    rows = [("dense", x) for x in dense] + [("chain", x) for x in chain] + [(None, x) for x in chain[:50]] + [("a", None), (None, None), ("a", None)]
+    df = spark.createDataFrame(rows, "worker_id string, tenth bigint").withColumn("ts", F.timestamp_millis(F.col("tenth") * 100))
+    got = {}
+    for r in apply_cooldown(df, "15 seconds").collect():
+        got.setdefault(r.worker_id, []).append(r.tenth)
+    assert sorted(got["dense"]) == greedy(dense, 150) and sorted(got["chain"]) == greedy(chain, 150)
+    assert got["a"] == [None, None] and sorted(x for x in got[None] if x is not None) == greedy(chain[:50], 150) and None in got[None]
+
+
+def test_of_several_candidates_at_one_time_one_is_taken(spark):
+    df = spark.createDataFrame([("w", 5, "b"), ("w", 5, "a"), ("w", 19, "c"), ("w", 20, "d")], "worker_id string, s bigint, message string")
+    got = apply_cooldown(df.withColumn("ts", F.timestamp_seconds("s")), "15 seconds").collect()
+    assert sorted(r.message for r in got) == ["a", "d"]
+
+
 def test_overrides_and_messages(spark):
     df = spark.createDataFrame([("w0", 1.0, "low"), ("w1", 1.0, "huge"), ("w2", 1.0, None)], "worker_id string, s double, template string")
     commands, rejected = control.override_commands(df.withColumn("ts", F.timestamp_seconds("s")).drop("s"))
@@ -117,6 +141,66 @@ def test_timeline_and_epochs(spark):
     assert heavy.where("worker_id = 'w' and epoch = 1").agg(F.sum("est")).first()[0] == 10
 
 
+ORDERS = "worker_id string, s double, action string, template string, k int"
+
+
+def timed(spark, rows, schema):
+    return spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_millis((F.col("s") * 1000).cast("bigint"))).drop("s")
+
+
+def test_resize_holds_until_the_next_template(spark):
+    orders = timed(spark, [
+        ("w", 3.0, "resize_mg", None, 3), ("w", 10.0, "set_template", "high", None), ("w", 15.0, "resize_mg", None, 4),
+        ("w", 15.0, "resize_mg", None, 9), ("w", 17.0, "resize_mg", None, 1), ("w", 18.0, "resize_mg", None, 10**6),
+        ("w", 20.0, "set_template", "low", None), ("w", 20.0, "set_template", "medium", None), (None, 5.0, "set_template", "low", None),
+        (None, 5.0, "resize_mg", None, 7), ("v", None, "set_template", "low", None),
+    ], ORDERS)
+    got = {(r.worker_id, r.at): tuple(r)[2:] for r in epochs.parameter_timeline(orders).collect()}
+    start, second = epochs.BEGINNING, 1_000_000
+    assert got == {
+        ("w", start): (0, "medium", 200, 3), ("w", 3 * second): (0, "medium", 3, 3), ("w", 10 * second): (1, "high", 500, 4),
+        ("w", 15 * second): (1, "high", 4, 4), ("w", 20 * second): (2, "medium", 200, 200),
+        (None, start): (0, "medium", 200, 200), (None, 5 * second): (1, "low", 7, 7), ("v", start): (0, "medium", 200, 200),
+    }
+    keys = [("w", 1.0, f"k{i % 8}") for i in range(40)] + [("w", 12.0, f"k{i % 8}") for i in range(40)] + [("w", 30.0, f"k{i % 8}") for i in range(40)]
+    heavy = epochs.epoch_heavy_hitters(timed(spark, keys, "worker string, s double, key string"), "key", "worker", "ts", orders)
+    found = {(r.epoch, r.mg_k): r.n for r in heavy.groupBy("epoch", "mg_k").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found == {(2, 200): 8}  # eight equal counts leave nothing above the third and the fourth
+
+
+def test_every_event_keeps_its_row(spark):
+    """Events without a time or worker, of workers without commands, and in buckets of one hot hour."""
+    orders = timed(spark, [("w", 10.0, "set_template", "high", None), (None, 10.0, "set_template", "low", None)], ORDERS)
+    rows = [("w", None, "a"), (None, None, "a"), (None, 9.5, "a"), (None, 10.0, "b"), ("w", 10.0, "c"), ("x", 99.0, "d")]
+    rows += [("w", 3600 + i / 100, "hot") for i in range(500)]
+    events = timed(spark, rows, "worker string, s double, key string")
+    got = epochs.with_epoch(events, "worker", "ts", orders, "1 hour")
+    assert got.count() == len(rows)
+    few = {(r.worker, r.key): (r.epoch, r.template) for r in got.where("key != 'a'").collect()}
+    assert few == {(None, "b"): (1, "low"), ("w", "c"): (1, "high"), ("x", "d"): (0, "medium"), ("w", "hot"): (1, "high")}
+    assert sorted((str(r.worker), str(r.epoch)) for r in got.where("key = 'a'").collect()) == [("None", "0"), ("None", "None"), ("w", "None")]
+    totals = epochs.template_epochs(events, "key", "worker", "ts", orders)
+    assert totals.agg(F.sum("total_count")).first()[0] == len(rows)
+
+
+def test_parts_folded_to_a_template_equal_sketches_from_rows(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), float(rng.randrange(5_000)), f"k{int(rng.paretovariate(1)) % 300}") for _ in range(4_000)]
+    events = timed(spark, rows, "worker string, s double, key string")
+    orders = timed(spark, [
+        ("a", 700.5, "set_template", "low", None), ("a", 2_000.0, "resize_mg", None, 20), ("a", 2_900.0, "set_template", "high", None),
+        (None, 1_234.0, "set_template", "low", None), ("b", 4_000.0, "resize_mg", None, 10)], ORDERS)
+    keys = spark.createDataFrame([("k1",), ("k2",), ("none",)], "key string")
+    half = [epochs.sketch_parts(events.where(cut), "key", "worker", "ts", "1 minute") for cut in ("s % 2 = 0", "s % 2 = 1")]         if "s" in events.columns else [epochs.sketch_parts(events.where(f"hash(key, ts) % 2 {op} 0"), "key", "worker", "ts", "1 minute") for op in ("=", "!=")]
+    both = epochs.SketchParts(*[getattr(half[0], f).unionByName(getattr(half[1], f)) for f in ("cells", "registers", "candidates")])
+    placed = epochs.place_parts(both, orders, "1 minute")
+    same = lambda x, y: sorted(map(str, x.collect())) == sorted(map(str, y.select(*x.columns).collect())) and x.count() > 3
+    from_rows = ("key", "worker", "ts", orders)
+    assert same(epochs.parts_report(placed), epochs.template_epochs(events, *from_rows, grain="1 minute"))
+    assert same(epochs.parts_heavy_hitters(placed), epochs.epoch_heavy_hitters(events, *from_rows, grain="1 minute"))
+    assert same(epochs.parts_frequency(placed, keys), epochs.epoch_frequency(events, *from_rows, keys, grain="1 minute"))
+
+
 def test_snapshots(spark):
     rows = [("a", float(t), "low", float(t), 1.0, 1, 0.0) for t in range(100)] + [("b", 50.0, "low", 9.0, 1.0, 1, 0.0)]
     df = metrics(spark, *rows)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallystream.operators import cms as cms_module
 from tallystream.operators.cms import cms_build, cms_lookup, cms_query
 from tallystream.operators.control import decide, template_timeline
-from tallystream.operators.epochs import command_intervals
+from tallystream.operators.epochs import parameter_timeline
 from tallystream.operators.ordered import TAKE_ORDERED_MAX, last_known, last_n, last_n_per_group, previous_row
 from tallystream.operators.percentiles import ARRAY_MAX, exact_percentiles, rolling_percentiles
 from tallystream.operators.ranking import node_score
@@ -98,7 +98,7 @@ def test_commands_at_one_time_have_one_order(spark):
     ).withColumn("ts", at)
     metrics = spark.createDataFrame([("w",)], "worker_id string").withColumn("ts", at)
     assert template_timeline(metrics, commands).first().template == "high"
-    assert [r.template for r in command_intervals(commands).collect()] == ["high"]
+    assert [r.template for r in parameter_timeline(commands).where("epoch > 0").collect()] == ["high"]
 
 
 def test_report_keeps_workers_whose_last_events_have_no_key(spark):

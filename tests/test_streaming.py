@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallystream.operators import cms, hll, windows
 from tallystream.operators.control import Thresholds, apply_cooldown, decide
-from tallystream.operators.epochs import template_epochs
+from tallystream.operators import epochs
 from tallystream.operators.snapshots import cluster_metrics, latency_history
 from tallystream.sources import events as ev
 from tallystream.sources.zipf import zipf_event_stream
@@ -150,22 +150,30 @@ def test_streamed_cooldown_equals_batch(spark, tmp_path):
     assert rows(got) == rows(want)
 
 
-def test_streamed_epochs_equal_batch(spark, table, folder, tmp_path):
+def test_streamed_epochs_equal_batch_with_late_files_and_late_commands(spark, table, tmp_path):
     days = spark.range(1, 25, 5).withColumnRenamed("id", "d")
     commands = days.select(
         F.explode(F.array(F.lit("click"), F.lit("view"))).alias("worker_id"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("d") * 86400).alias("ts"),
         F.lit("set_template").alias("action"),
         F.element_at(F.array(F.lit("low"), F.lit("high")), (F.col("d") % 2 + 1).cast("int")).alias("template"),
+        F.lit(None).cast("int").alias("k"),
     )
-    commands.write.parquet(str(tmp_path / "commands"))
-    ss.start_epoch_sketches(
-        stream(spark, folder, table.schema), "key", "event_type", "ts",
-        lambda s: s.read.parquet(str(tmp_path / "commands")), str(tmp_path / "out"), str(tmp_path / "c"),
-    ).awaitTermination(120)
-    want = template_epochs(table, "key", "event_type", "ts", commands)
-    columns = ["worker_id", "epoch", "template", "total_count", "hll_estimate"]
-    assert rows(ss.read_epochs(spark, str(tmp_path / "out")).select(*columns)) == rows(want.select(*columns))
+    late = commands.limit(3).select(
+        "worker_id", (F.col("ts") + F.expr("interval 2 days 30 seconds")).alias("ts"), F.lit("resize_mg").alias("action"),
+        F.lit(None).cast("string").alias("template"), F.lit(30).alias("k"))
+    source, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "c"))
+    for part in (2, 0, 1):  # files come out of order, with a restart between any two
+        cut = table.where(f"floor((unix_timestamp(ts) - 1704067200) / 864000) = {part}" if part < 2 else "unix_timestamp(ts) - 1704067200 >= 1728000")
+        cut.coalesce(1).write.mode("append").parquet(source)
+        ss.start_epoch_sketches(stream(spark, source, table.schema), "key", "event_type", "ts", out, checkpoint).awaitTermination(120)
+    keys = spark.createDataFrame([("1",), ("17",), ("absent",)], "key string")
+    for known in (commands, commands.unionByName(late)):
+        parts = ss.read_epochs(spark, out, known)
+        batch = (table, "key", "event_type", "ts", known)
+        assert rows(epochs.parts_report(parts)) == rows(epochs.template_epochs(*batch, grain="1 minute"))
+        assert rows(epochs.parts_heavy_hitters(parts)) == rows(epochs.epoch_heavy_hitters(*batch, grain="1 minute"))
+        assert rows(epochs.parts_frequency(parts, keys)) == rows(epochs.epoch_frequency(*batch, keys, grain="1 minute"))
 
 
 def test_message_stream(spark, tmp_path):
