@@ -25,9 +25,11 @@ empty table gives no file and no row; other columns, whatever their names, are n
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystream.llm.shared import scratch_root, staged
-from tallystream.llm.word_ids import WordIds, cut_words, parts
+from tallystream.llm.word_ids import REMEMBERED, WordIds, cut_words, parts
 
 MAGIC = b"TOKDAC01"
 CHUNK_BITS = 8
@@ -46,9 +48,12 @@ RANK_BITS = 512
 FILE_TOKENS = 1 << 21
 TEXTS_AT_ONCE = 1 << 22  # bytes of text tokenized at a time
 WORDS_A_LINE = 200
+STOPS = ".,;:!?"
 MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 2
 _HEAD = 48
+# words that a line feed on each side leaves alone: a blank, then no white space
+_BESIDE = re.compile(r" [^\s\u180e\u200b-\u200f\u2060\ufeff]+")
 
 MANIFEST = "part int, seq int, path string, documents long, tokens long"
 
@@ -211,28 +216,46 @@ class TextIds:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.words = WordIds(self.solve, cut_words, "", " ")
+        self.stems: dict[str, bytes] = {}
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def solve(self, words: list[str]) -> list[bytes]:
-        """Words that can stand beside each other are encoded in lines and told apart by the tokens' places."""
-        apart = [not (w[:1] == " " and len(w) > 1 and not w[1].isspace() and w[-1].isprintable() and not w[-1].isspace()) for w in words]
-        out: list[bytes] = [b""] * len(words)
-        single = [i for i, alone in enumerate(apart) if alone]
-        for i, e in zip(single, self.tokenizer.encode_batch_fast([words[i] for i in single], add_special_tokens=False)):
-            out[i] = np.array(e.ids, "<i4").tobytes()
-        beside = [i for i, alone in enumerate(apart) if not alone]
-        lines = [beside[a: a + WORDS_A_LINE] for a in range(0, len(beside), WORDS_A_LINE)]
-        found = self.tokenizer.encode_batch(["".join([words[i] for i in line]) for line in lines], add_special_tokens=False)
-        for line, e in zip(lines, found):
+        """Ids of words. A word and the stops after it never share a token, so stems are solved once for all their endings; stems
+        are encoded in lines, between line feeds, which are tokens of their own there."""
+        ends = [len(w) - len(w.rstrip(STOPS)) for w in words]
+        ends = [n if n and w[-n - 1: -n].isalpha() and w[-n - 1] < "\u2000" else 0 for n, w in zip(ends, words)]
+        stems = [w[: len(w) - n] for n, w in zip(ends, words)]
+        new = [w for w in dict.fromkeys(chain(stems, (w[len(w) - n:] for n, w in zip(ends, words) if n))) if w not in self.stems]
+        beside = [w for w in new if _BESIDE.fullmatch(w)]
+        alone = [w for w in new if not _BESIDE.fullmatch(w)]
+        lines = [beside[i: i + WORDS_A_LINE] for i in range(0, len(beside), WORDS_A_LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False)):
             ids = np.array(e.ids, "<i4")
-            ends = np.cumsum([len(words[i]) for i in line])
-            cuts = np.searchsorted(np.array(e.offsets)[:, 0], ends)
-            raw, a = ids.tobytes(), 0
-            for i, b in zip(line, (4 * cuts).tolist()):
-                out[i] = raw[a:b]
-                a = b
+            cuts = np.flatnonzero(ids == self.line_feed)
+            if len(cuts) != len(line) - 1:
+                alone += line
+                continue
+            raw = ids.tobytes()
+            self.stems.update(zip(line, map(raw.__getitem__, map(slice, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]))))
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            self.stems[w] = np.array(e.ids, "<i4").tobytes()
+        known = self.stems
+        out = [known[x] + known[w[len(w) - n:]] if n else known[x] for n, x, w in zip(ends, stems, words)]
+        if len(known) > REMEMBERED:
+            self.stems = {}
         return out
 
 
+_tools: dict[str, TextIds] = {}
+
+
+def _tool(path: str) -> TextIds:
+    """One per Python worker, so that later tasks find the words of earlier ones."""
+    if path not in _tools:
+        _tools[path] = TextIds(path)
+    return _tools[path]
+
+
 def write_tokens(
     docs: DataFrame, folder: str, row_id: str = "doc_id", text: str = "text", model: str = MODEL, end_id: int = END_ID,
 ) -> DataFrame:
@@ -243,7 +266,7 @@ def write_tokens(
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text_ids, out, rows = TextIds(model), _Writer(folder, TaskContext.get().partitionId()), []
+        text_ids, out, rows = _tool(model), _Writer(folder, TaskContext.get().partitionId()), []
         for batch in batches:
             texts, doc_ids = batch.column("text"), batch.column("id").to_pylist()
             size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
