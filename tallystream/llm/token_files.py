@@ -29,7 +29,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,20 +39,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystream.llm.shared import scratch_root, staged
-from tallystream.llm.word_ids import REMEMBERED, WordIds, cut_words, parts
+from tallystream.llm.word_ids import HIDDEN, REMEMBERED, WordIds, cut_words, parts
 
 MAGIC = b"TOKDAC01"
 CHUNK_BITS = 8
 RANK_BITS = 512
 FILE_TOKENS = 1 << 21
-TEXTS_AT_ONCE = 1 << 22  # bytes of text tokenized at a time
-WORDS_A_LINE = 200
+TEXTS_AT_ONCE = 1 << 23  # bytes of text tokenized at a time
+WORDS_A_LINE = 400
 STOPS = ".,;:!?"
 MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 2
 _HEAD = 48
-# words that a line feed on each side leaves alone: a blank, then no white space
-_BESIDE = re.compile(r" [^\s\u180e\u200b-\u200f\u2060\ufeff]+")
+# white space that could join a line feed beside it
+_SPACE = re.compile(f"[\\s{HIDDEN}]")
+_ODD = re.compile(f"[\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000{HIDDEN}]|  | \n| $")
 
 MANIFEST = "part int, seq int, path string, documents long, tokens long"
 
@@ -220,31 +220,52 @@ class TextIds:
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
     def solve(self, words: list[str]) -> list[bytes]:
-        """Ids of words. A word and the stops after it never share a token, so stems are solved once for all their endings; stems
-        are encoded in lines, between line feeds, which are tokens of their own there."""
-        ends = [len(w) - len(w.rstrip(STOPS)) for w in words]
-        ends = [n if n and w[-n - 1: -n].isalpha() and w[-n - 1] < "\u2000" else 0 for n, w in zip(ends, words)]
-        stems = [w[: len(w) - n] for n, w in zip(ends, words)]
-        new = [w for w in dict.fromkeys(chain(stems, (w[len(w) - n:] for n, w in zip(ends, words) if n))) if w not in self.stems]
-        beside = [w for w in new if _BESIDE.fullmatch(w)]
-        alone = [w for w in new if not _BESIDE.fullmatch(w)]
-        lines = [beside[i: i + WORDS_A_LINE] for i in range(0, len(beside), WORDS_A_LINE)]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False)):
-            ids = np.array(e.ids, "<i4")
-            cuts = np.flatnonzero(ids == self.line_feed)
-            if len(cuts) != len(line) - 1:
-                alone += line
-                continue
-            raw = ids.tobytes()
-            self.stems.update(zip(line, map(raw.__getitem__, map(slice, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]))))
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.stems[w] = np.array(e.ids, "<i4").tobytes()
+        """Ids of words. A line feed between visible characters is a token of its own, so words are cut there, too."""
+        broken = {w: w.split("\n") for w in words if "\n" in w}
+        broken = {w: x for w, x in broken.items() if all(x) and not any(_SPACE.search(y, i == 0 and y[0] == " " and len(y) > 1) for i, y in enumerate(x))}
+        whole = [w for w in words if w not in broken]
+        lines = list({y for x in broken.values() for y in x})
+        found = self._solve(whole + lines)
+        ids = dict(zip(lines, found[len(whole):]))
+        feed = np.array([self.line_feed], "<i4").tobytes()
+        rest = iter(found)
+        return [feed.join([ids[y] for y in broken[w]]) if w in broken else next(rest) for w in words]
+
+    def _solve(self, words: list[str]) -> list[bytes]:
+        """A word and the stops after it never share a token, so stems are solved once for all their endings, in lines."""
+        stems = [w.rstrip(STOPS) for w in words]
+        for i in [i for i, (x, w) in enumerate(zip(stems, words)) if len(x) < len(w) and not (x[-1:].isalpha() and x[-1] < "\u2000")]:
+            stems[i] = words[i]
+        ends = [w[len(x):] for x, w in zip(stems, words)]
         known = self.stems
-        out = [known[x] + known[w[len(w) - n:]] if n else known[x] for n, x, w in zip(ends, stems, words)]
+        new = [w for w in set(stems).union(ends) if w not in known]
+        plain = [w for w in new if w and "\n" not in w]
+        alone = [w for w in new if "\n" in w]
+        for i in range(0, len(plain), WORDS_A_LINE):
+            self._solve_line(plain[i: i + WORDS_A_LINE], alone)
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
+            known[w] = np.array(e.ids, "<i4").tobytes()
+        known[""] = b""
+        out = [known[x] + known[y] for x, y in zip(stems, ends)]
         if len(known) > REMEMBERED:
             self.stems = {}
         return out
 
+    def _solve_line(self, words: list[str], alone: list[str]) -> None:
+        """Ids of words between line feeds, or the words to `alone` where white space in them could join one."""
+        text = "\n".join(words)
+        if _ODD.search(text):
+            alone += [w for w in words if _SPACE.search(w, 1) or w.isspace()]
+            words = [w for w in words if not (_SPACE.search(w, 1) or w.isspace())]
+            text = "\n".join(words)
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
+        cuts = np.flatnonzero(ids == self.line_feed)
+        if len(cuts) != len(words) - 1:
+            alone += words
+            return
+        raw = ids.tobytes()
+        self.stems.update(zip(words, map(raw.__getitem__, map(slice, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]))))
+
 
 _tools: dict[str, TextIds] = {}
 
@@ -300,14 +321,16 @@ def write_tokens(
 # ---- reading --------------------------------------------------------------------------------
 
 def read_summaries(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files: each is fetched by its range of ids."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files. A task holds one file at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 with TokenFile(row["path"], whole=True) as file:
                     starts = file.starts()
-                    crc = [zlib.crc32(file.tokens_between(a, b).astype("<u4").tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+                    ids = memoryview(file.tokens_between(0, file.tokens).astype("<u4").tobytes())
+                    ends = (4 * starts).tolist()
+                    crc = [zlib.crc32(ids[a:b]) for a, b in zip(ends[:-1], ends[1:])]
                     yield pa.record_batch({
                         "doc_id": pa.array(file.doc_ids(), pa.int64()), "start": pa.array(starts[:-1] + row["start"]),
                         "n_tokens": pa.array(np.diff(starts)), "ids_crc32": pa.array(crc, pa.int64())})
