@@ -20,7 +20,6 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallystream.llm.word_ids import WordIds, parts, ragged
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 WORST = float("-inf")
-REMEMBERED = 100_000  # words after which a worker starts a new generation; it keeps two
 LONG_WORD = 48  # characters beyond which a word is solved on its own
 TOGETHER = 512  # words solved at a time
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -121,8 +121,8 @@ class Encoder:
         self.single = {k for k in keys if len(k.decode()) == 1}
         self.byte_ids = vocabulary.byte_ids
         self.unknown = min(s for s, u in zip(vocabulary.scores, vocabulary.usable) if u) - UNKNOWN_PENALTY
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.byte_id = np.array(vocabulary.byte_ids, np.int32)
+        self.words = WordIds(self.solve, _cut, MARK, MARK)
 
     def _viterbi(self, word: str) -> list[int]:
         if LITERAL in word:  # no piece may cover a marker of the text itself
@@ -163,8 +163,9 @@ class Encoder:
         ids.reverse()
         return ids
 
-    def _viterbi_many(self, words: list[str]) -> Iterator[list[int]]:
-        """The same for many short words: all trie walks at once, then all words' best cuts position by position."""
+    def _viterbi_many(self, words: list[str]) -> list[bytes]:
+        """The same for many short words, as bytes: all trie walks at once, then all words' best cuts position by position,
+        then all ways back at once."""
         base, check, value, score = self.arrays
         take = np.take
         raw = [w.encode() for w in words]
@@ -205,43 +206,38 @@ class Encoder:
             better = total > best[to]
             to = to[better]
             best[to], back[to], piece[to] = total[better], i, by[part][better]
-        back, piece = back.reshape(-1, most + 1), piece.reshape(-1, most + 1)
-        for x, size, from_, ids_ in zip(raw, n.tolist(), back.tolist(), piece.tolist()):
-            ids, at = [], size
-            while at:
-                i = from_[at]
-                if ids_[at] >= 0:
-                    ids.append(ids_[at])
-                else:
-                    ids.extend(self.byte_ids[b] for b in reversed(x[i:at]))
-                at = i
-            ids.reverse()
-            yield ids
-
-    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text. Words not yet known are solved together; the old generation goes when the young is full."""
-        words = [
-            _WORDS.findall(MARK + t.replace(MARK, LITERAL).replace(" ", MARK)) if t else [] for t in texts]
-        known, short = self.known, []
-        for w in set().union(*words):
-            if w not in known:
-                if w in self.older:
-                    known[w] = self.older[w]
-                elif len(w) > LONG_WORD or LITERAL in w:
-                    known[w] = self._viterbi(w)
-                else:
-                    short.append(w)
-        short.sort(key=len)
+        # all words go back from their ends together, a piece each at a time
+        here, steps = np.arange(len(raw)) * (most + 1) + n, []
+        word = np.arange(len(raw))
+        while len(word):
+            from_ = word * (most + 1) + back[here]
+            steps.append((word, from_, here, piece[here]))
+            go = np.flatnonzero(from_ > word * (most + 1))
+            word, here = word[go], from_[go]
+        word, from_, to, by = (np.concatenate(x[::-1]) for x in zip(*steps))
+        order = np.argsort(word, kind="stable")  # later steps stand first, so pieces are in the order of the text
+        word, from_, by = word[order], from_[order], by[order]
+        size = np.where(by >= 0, 1, to[order] - from_)  # unknown characters are as many byte pieces
+        ids = np.where(np.repeat(by >= 0, size), np.repeat(by, size), self.byte_id[flat[ragged(from_, size)] & 255]).astype("<i4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(word, size, len(raw)).astype(np.int64))
+        return list(map(ids.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())))
+
+    def solve(self, words: list[str]) -> list[bytes]:
+        """Ids of words; short ones are solved together."""
+        out: list[bytes] = [b""] * len(words)
+        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD and LITERAL not in w]
+        short.sort(key=lambda i: len(words[i]))
         for a in range(0, len(short), TOGETHER):
             part = short[a: a + TOGETHER]
-            known.update(zip(part, self._viterbi_many(part)))
-        out = [list(chain.from_iterable(map(known.__getitem__, own))) for own in words]
-        if len(known) > REMEMBERED:
-            self.older, self.known = known, {}
+            for i, ids in zip(part, self._viterbi_many([words[i] for i in part])):
+                out[i] = ids
+        for i, w in enumerate(words):
+            if len(w) > LONG_WORD or LITERAL in w:
+                out[i] = np.array(self._viterbi(w), "<i4").tobytes()
         return out
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.words.encode(pa.array([text]))[0].tolist()
 
 
 # a private-use stand-in would clash with itself in a text; a lone surrogate cannot occur in one
@@ -249,6 +245,11 @@ LITERAL = "\udc81"
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def _cut(text: str) -> list[str]:
+    """Words of any text, each with the markers before it."""
+    return _WORDS.findall(MARK + text.replace(MARK, LITERAL).replace(" ", MARK)) if text else []
+
+
 def piece_bytes(vocabulary: Vocabulary) -> list[bytes]:
     """What each id stands for when decoded."""
     out = [t.replace(MARK, " ").encode() for t in vocabulary.texts]
@@ -257,8 +258,40 @@ def piece_bytes(vocabulary: Vocabulary) -> list[bytes]:
     return out
 
 
-def decode_ids(ids, table: list[bytes]) -> str:
-    return b"".join(map(table.__getitem__, ids)).decode("utf-8", "replace")[1:]
+class Decoder:
+    """Ids to texts, by one gather over the bytes of all pieces."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.table = piece_bytes(vocabulary)
+        self.length = np.array([len(b) for b in self.table], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(self.table), np.uint8)
+
+    def decode(self, lists: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.table)):
+            raise IndexError("id outside of the vocabulary")
+        start, size = self.start[ids], self.length[ids]
+        first = (np.cumsum(n) - n)[n > 0]
+        plain = size[first] > 0
+        plain[plain] = self.bytes[start[first[plain]]] < 128
+        if plain.all():  # the first character, a marker in all encoded texts, is one byte
+            start[first] += 1
+            size[first] -= 1
+            sums = np.concatenate(([0], np.cumsum(size)))
+            ends = sums[np.cumsum(n)]
+            data = self.bytes[ragged(start, size)]
+            whole = pa.Array.from_buffers(pa.binary(), len(n), [
+                None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(data)])
+            try:
+                return pc.if_else(lists.is_valid(), whole.cast(pa.string()), None)
+            except pa.ArrowInvalid:  # bytes that are no text
+                pass
+        flat, ends = ids.tolist(), np.cumsum(n).tolist()
+        return pa.array([
+            b"".join(map(self.table.__getitem__, flat[b - k: b])).decode("utf-8", "replace")[1:] if ok else None
+            for b, k, ok in zip(ends, n.tolist(), lists.is_valid().to_pylist())], pa.string())
 
 
 _workers: dict[str, object] = {}
@@ -267,7 +300,8 @@ _workers: dict[str, object] = {}
 def _tool(name: str, shared, make):
     """One encoder or table per Python worker and vocabulary."""
     if name not in _workers:
-        _workers.clear()
+        while len(_workers) > 1:  # an encoder and a decoder
+            _workers.pop(next(iter(_workers)))
         _workers[name] = make(Vocabulary(*shared.value))
     return _workers[name]
 
@@ -278,29 +312,17 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.record_batch(columns)
 
 
-def _parts(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges whose sizes add up to about `most`, so that few Python objects live at a time."""
-    first, total = 0, 0
-    for i, n in enumerate(sizes):
-        total += n
-        if total >= most:
-            yield first, i + 1
-            first, total = i + 1, 0
-    if first < len(sizes):
-        yield first, len(sizes)
-
-
 def _mapped(docs: DataFrame, vocabulary: Vocabulary, source: str, name: str, kind: T.DataType, make, fill) -> DataFrame:
     """`docs` with column `name` made by fill(values, make(vocabulary)) from a part of the Arrow column `source`."""
-    parts = (vocabulary.texts, vocabulary.scores, vocabulary.usable, vocabulary.byte_ids)
-    shared, key = docs.sparkSession.sparkContext.broadcast(parts), uuid.uuid4().hex
+    fields = (vocabulary.texts, vocabulary.scores, vocabulary.usable, vocabulary.byte_ids)
+    shared, key = docs.sparkSession.sparkContext.broadcast(fields), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(source)
             lists = pa.types.is_list(column.type)
             length = pc.list_value_length(column) if lists else pc.binary_length(column)
-            for a, b in _parts(pc.fill_null(length, 0).to_pylist()):
+            for a, b in parts(pc.fill_null(length, 0).to_numpy(zero_copy_only=False), 1 << 22):
                 values = fill(column.slice(a, b - a), _tool(key, shared, make))
                 yield _with_column(batch.slice(a, b - a), name, values)
 
@@ -316,12 +338,9 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: st
     """Adds the piece ids of `text`."""
 
     def fill(column: pa.Array, encoder: Encoder) -> pa.Array:
-        texts = column.to_pylist()
-        lists = [np.array(x, np.int32) for x in encoder.encode_all(texts)]
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
-        flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))
-        missing = pa.array([t is None for t in texts], pa.bool_())
-        return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=missing)
+        found, counts = encoder.words.encode(column)
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.astype(np.int32)), mask=column.is_null())
 
     return _mapped(docs, vocabulary, text, ids, T.ArrayType(T.IntegerType()), Encoder, fill)
 
@@ -329,12 +348,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: st
 def decoded(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text that the piece ids stand for."""
 
-    def fill(column: pa.Array, table: list[bytes]) -> pa.Array:
-        flat = column.flatten().to_pylist()
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
-        valid = column.is_valid().to_pylist()
-        starts = [0, *ends[:-1]]
-        return pa.array([
-            decode_ids(flat[a:b], table) if ok else None for a, b, ok in zip(starts, ends, valid)], pa.string())
+    def fill(column: pa.Array, decoder: Decoder) -> pa.Array:
+        return decoder.decode(column)
 
-    return _mapped(docs, vocabulary, ids, text, T.StringType(), piece_bytes, fill)
+    return _mapped(docs, vocabulary, ids, text, T.StringType(), Decoder, fill)

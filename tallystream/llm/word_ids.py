@@ -17,10 +17,12 @@ import pyarrow.compute as pc
 REMEMBERED = 300_000  # words after which a worker begins a new generation; it keeps two
 LONGEST_KEPT = 200  # longer words are solved each time, so that the memory of a generation has a bound
 
-_SPACES = "\\t\\x0b-\\x0d\\x1c-\\x1f\\x85\\xa0 ᠎ -‏ -  ⁠　﻿"
+# characters without width that some rules take for white space
+HIDDEN = "\u180e\u200b-\u200f\u2060\ufeff"
+_SPACES = "\t\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + HIDDEN
 # texts that Arrow must not cut at every blank, or that hold one of the marks used here
-_UNEVEN = f"^$|^ | $|  | \\n|\\n |[\\x00▁{_SPACES.replace('x85', 'x{85}').replace('xa0', 'x{a0}')}]"
-_CUT = re.compile(f"(?<=[^ \\n{_SPACES}])(?= [^ \\n{_SPACES}])")
+_UNEVEN = f"^$|^ | $|  | \n|\n |[\\x00\u2581{_SPACES}]"
+_CUT = re.compile(f"(?<=[^ \n{_SPACES}])(?= [^ \n{_SPACES}])")
 
 
 def cut_words(text: str) -> list[str]:
@@ -55,17 +57,15 @@ class WordIds:
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words."""
-        known, older, new = self.known, self.older, []
-        for w in words:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        long = {}
-        for w, ids in zip(new, self.solve(new) if new else []):
-            (known if len(w) <= LONGEST_KEPT else long)[w] = ids
-        out = [known[w] if w in known else long[w] for w in words]
+        known = self.known
+        new = [w for w in words if w not in known]
+        known.update({w: self.older[w] for w in new if w in self.older})
+        new = [w for w in new if w not in known]
+        if new:
+            known.update(zip(new, self.solve(new)))
+        out = list(map(known.__getitem__, words))
+        for w in [w for w in new if len(w) > LONGEST_KEPT]:
+            known.pop(w, None)
         if len(known) > REMEMBERED:
             self.older, self.known = known, {}
         return out
@@ -81,9 +81,12 @@ class WordIds:
         n = np.zeros(len(texts), np.int64)
         n[~uneven] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         if uneven.any():  # their words are numbered in Python and put in where they belong
+            cut = [self.cut(t) for t in texts.filter(pa.array(uneven)).to_pylist()]
             at = {w: i for i, w in enumerate(words)}
-            own = [[at.setdefault(w, len(at)) for w in self.cut(t)] for t in texts.filter(pa.array(uneven)).to_pylist()]
-            words = list(at)
+            more = [w for w in dict.fromkeys(w for x in cut for w in x) if w not in at]
+            at.update(zip(more, range(len(words), len(words) + len(more))))
+            words += more
+            own = [[at[w] for w in x] for x in cut]
             n[uneven] = [len(x) for x in own]
             from_ = np.repeat(uneven, n)
             both = np.empty(len(from_), np.int64)
