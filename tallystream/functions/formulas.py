@@ -56,6 +56,13 @@ def cms_from_error(epsilon: float, delta: float) -> tuple[int, int]:
     return max(1, math.ceil(math.e / epsilon)), max(1, math.ceil(math.log(1 / delta)))
 
 
+def cms_size_for(epsilon: Column, delta: Column) -> tuple[Column, Column]:
+    """`cms_from_error` as columns, for targets that are rows of a table."""
+    width = F.greatest(F.ceil(F.lit(math.e) / epsilon), F.lit(1)).cast("int")
+    depth = F.greatest(F.ceil(F.log(F.lit(1.0) / delta)), F.lit(1)).cast("int")
+    return width, depth
+
+
 def hll_alpha(p: int) -> float:
     """Bias constants of the published estimator."""
     small = {16: 0.673, 32: 0.697, 64: 0.709}

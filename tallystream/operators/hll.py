@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallystream.functions.formulas import (
     check_hll, hll_alpha, hll_estimate_of, hll_memory_bytes, hll_relative_error,
 )
 from tallystream.functions.hashing import hll_idx, hll_rest, hll_rho, spread_down, with_bits
+from tallystream.functions.numbers import epoch_micros, interval_seconds
 from tallystream.operators.keys import keyed
+from tallystream.operators.ordered import running
 
 
 @dataclass(frozen=True)
@@ -116,31 +119,28 @@ def hll_estimate(sketch: HyperLogLog) -> DataFrame:
 
 
 def hll_running(df: DataFrame, key: str, bucket: str, p: int, by: Sequence[str] = (),
-                hash_mode: str = "md5") -> DataFrame:
-    """(by..., bucket, estimate): distinct keys since the start, at the end of each bucket.
+                hash_mode: str = "md5", chunk: str = "64 days") -> DataFrame:
+    """(by..., bucket, estimate): distinct keys since the start, at the end of each bucket (a time, or a number).
 
     Per register the running maximum over buckets is turned into increments of the inverse sum and of the used
-    count; these add up per bucket, so no dense bucket x register grid is built.
+    count; these add up per bucket, so no dense bucket x register grid is built. Both runs are scans by chunks of time.
     """
-    per_bucket = hll_build(df, key, p, [*by, bucket], hash_mode).registers
-    path = Window.partitionBy(*by, "idx").orderBy(bucket)
-    before = F.max("rho").over(path.rowsBetween(Window.unboundedPreceding, -1))
+    number = isinstance(df.schema[bucket].dataType, T.IntegralType)
+    length = 64 if number else interval_seconds(chunk) * 1_000_000
+    at = F.col(bucket).cast("bigint") if number else epoch_micros(F.col(bucket))
+    per_bucket = hll_build(df, key, p, [*by, bucket], hash_mode).registers.withColumn("_at", at)
+    grown = running(per_bucket, [*by, "idx"], "_at", largest={"_before": "rho"}, chunk=length, before=True)
     old = F.coalesce(F.col("_before"), F.lit(0))
-    grown = F.greatest(F.col("rho"), old)
+    new = F.greatest(F.col("rho"), old)
     power = lambda r: F.pow(F.lit(2.0), -r)
-    steps = (
-        per_bucket.withColumn("_before", before)
-        .groupBy(*by, bucket)
-        .agg(
-            F.sum(power(grown) - power(old)).alias("_inverse_step"),
-            F.sum(F.when(F.col("_before").isNull(), 1).otherwise(0)).alias("_used_step"),
-        )
+    steps = grown.groupBy(*by, bucket, "_at").agg(
+        F.sum(power(new) - power(old)).alias("_inverse_step"),
+        F.sum(F.when(F.col("_before").isNull(), 1).otherwise(0)).alias("_used_step"),
     )
-    line = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
     m = float(1 << p)
     return (
-        steps.withColumn("_inverse", F.lit(m) + F.sum("_inverse_step").over(line))
-        .withColumn("_zeros", F.lit(m) - F.sum("_used_step").over(line))
+        running(steps, by, "_at", sums={"_inverse": "_inverse_step", "_used": "_used_step"}, chunk=length)
+        .withColumns({"_inverse": F.lit(m) + F.col("_inverse"), "_zeros": F.lit(m) - F.col("_used")})
         .select(
             *by, bucket,
             hll_estimate_of(F.col("_inverse"), F.col("_zeros"), F.lit(m), F.lit(hll_alpha(p)))

@@ -222,15 +222,15 @@ def _carried(placed: DataFrame, by: Sequence[str], carry: Column) -> DataFrame:
 
 
 def previous_row(
-    df: DataFrame, by: Sequence[str], ts: str, columns: dict[str, str], chunk: str = "1 day"
+    df: DataFrame, by: Sequence[str], ts: str, columns: dict[str, str], chunk: str = "1 day", tie: Sequence[str] = ()
 ) -> DataFrame:
-    """Adds, per group in ts order, the previous row's columns under the given new names.
+    """Adds, per group in order of (ts, tie), the previous row's columns under the given new names.
 
     Each (group, chunk of time) is a window of its own; the last row of the chunk before is carried
     in, so the widest window is one chunk, and the carries are one row per chunk.
     """
     packed = F.struct(*[F.col(c).alias(name) for c, name in columns.items()])
-    local = Window.partitionBy(*by, "_chunk").orderBy(ts)
+    local = Window.partitionBy(*by, "_chunk").orderBy(ts, *tie)
     placed = (
         _chunked(df, ts, chunk)
         .withColumn("_local", F.lag(packed).over(local))
@@ -246,11 +246,11 @@ def previous_row(
 
 
 def last_known(
-    df: DataFrame, by: Sequence[str], ts: str, column: str, alias: str, chunk: str = "1 day"
+    df: DataFrame, by: Sequence[str], ts: str, column: str, alias: str, chunk: str = "1 day", tie: Sequence[str] = ()
 ) -> DataFrame:
-    """Adds the latest non-null value of `column` at or before each row of the group, chunk by chunk
+    """Adds the latest non-null value of `column` at or before each row of the group in order of (ts, tie), chunk by chunk
     like `previous_row`."""
-    local = Window.partitionBy(*by, "_chunk").orderBy(ts)
+    local = Window.partitionBy(*by, "_chunk").orderBy(ts, *tie)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         _chunked(df, ts, chunk)

@@ -92,7 +92,7 @@ def throughput(metrics: DataFrame, chunk: str = "1 day") -> DataFrame:
     worker's first report and after a reset (the total drops)."""
     rows = previous_row(
         metrics.select("worker_id", "ts", "cms_total_count"), ["worker_id"], "ts",
-        {"ts": "_ts", "cms_total_count": "_total"}, chunk,
+        {"ts": "_ts", "cms_total_count": "_total"}, chunk, tie=["cms_total_count"],
     )
     gained = F.col("cms_total_count") - F.col("_total")
     seconds = (epoch_micros(F.col("ts")) - epoch_micros(F.col("_ts"))) / F.lit(1e6)

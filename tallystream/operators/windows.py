@@ -15,7 +15,7 @@ from tallystream.functions.formulas import check_mg
 from tallystream.functions.numbers import epoch_micros, interval_seconds, time_bucket
 from tallystream.operators.heavy_hitters import mg_summary, mg_truncate
 from tallystream.operators.keys import key_counts, keyed
-from tallystream.operators.ordered import join_on, last_n, last_n_per_group
+from tallystream.operators.ordered import join_on, last_n, last_n_per_group, running
 
 
 def _ratio(window: str, bucket: str) -> int:
@@ -67,6 +67,59 @@ def _bucket_floors(buckets: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
     )
 
 
+# Length of a chunk of a key's history, in windows.
+CHUNK_WINDOWS = 8
+
+
+def _micros(ts: str) -> Column:
+    return epoch_micros(F.col(ts)).alias("_at")
+
+
+def _rising(buckets: DataFrame, floors: DataFrame, span: int, by: Sequence[str], chunk: int) -> DataFrame:
+    """(by..., key, _at, n): bucket rows whose key has more than the bucket's floor in the buckets within `span` around.
+
+    A key's history is cut into chunks of time; rows within `span` of a border are also sent to the neighbouring chunk, where
+    they only add to the others' sums.
+    """
+    placed = join_on(buckets, floors, [*by, "bucket"]).select(*by, "key", _micros("bucket"), "n", "floor")
+    own = F.floor(F.col("_at") / chunk)
+    reached = F.array_distinct(F.array(own, F.floor((F.col("_at") - span) / chunk), F.floor((F.col("_at") + span) / chunk)))
+    around = Window.partitionBy(*by, "key", "_chunk").orderBy("_at").rangeBetween(-span, span)
+    sums = placed.withColumn("_chunk", F.explode(reached)).withColumn("_around", F.sum("n").over(around))
+    return sums.where((F.col("_chunk") == own) & (F.col("_around") > F.col("floor"))).select(*by, "key", "_at", "n")
+
+
+def _window_counts(rows: DataFrame, width: int, step: int, by: Sequence[str], chunk: int) -> DataFrame:
+    """(by..., window_start, window_end, key, n) of bucket rows (by..., key, _at, n).
+
+    A bucket enters the windows that end from its own end on and leaves them a window later, so a key's count is a running
+    sum over these two kinds of events, constant in between. Rows are multiplied only when such a stretch is written out
+    as its windows, once for each window with a positive count.
+    """
+    signed = F.explode(F.array(
+        F.struct((F.col("_at") + step).alias("_end"), F.col("n").alias("_change")),
+        F.struct((F.col("_at") + step + width).alias("_end"), (-F.col("n")).alias("_change"))))
+    changes = rows.select(*by, "key", signed.alias("_e")).select(*by, "key", "_e.*").groupBy(*by, "key", "_end").agg(
+        F.sum("_change").alias("_change"))
+    counts = running(changes, [*by, "key"], "_end", sums={"n": "_change"}, chunk=chunk)
+    # a chunk is longer than a window: a count that goes on into the next chunk changes there, and is begun there anew
+    own = F.floor(F.col("_end") / chunk)
+    line = Window.partitionBy(*by, "key", "_chunk").orderBy("_end")
+    placed = counts.withColumn("_chunk", own).withColumn("_until", F.lead("_end").over(line))
+    last = placed.where(F.col("_until").isNull() & (F.col("n") > 0))
+    border = (F.col("_chunk") + 1) * chunk
+    after = last.select(*by, "key", border.cast("bigint").alias("_end"), "n", (F.col("_chunk") + 1).alias("_chunk"))
+    heads = placed.groupBy(*by, "key", "_chunk").agg(F.min("_end").alias("_until"))
+    begun = join_on(after, heads, [*by, "key", "_chunk"], "left").where(F.col("_until") > F.col("_end"))
+    stretches = placed.where(F.col("n") > 0).withColumn("_until", F.coalesce("_until", border)).select(
+        *by, "key", "_end", "_until", "n").unionByName(begun.select(*by, "key", "_end", "_until", "n"))
+    first = F.ceil(F.col("_end") / step) * step
+    ends = F.when(first < F.col("_until"), F.sequence(first, F.col("_until") - 1, F.lit(step).cast("bigint")))
+    end = F.timestamp_micros("_window")
+    return stretches.withColumn("_window", F.explode(ends)).select(
+        *by, F.timestamp_micros(F.col("_window") - width).alias("window_start"), end.alias("window_end"), "key", "n")
+
+
 def sliding_heavy_hitters(
     buckets: DataFrame, k: int, window: str = "60 seconds", bucket: str = "5 seconds",
     by: Sequence[str] = (),
@@ -76,25 +129,17 @@ def sliding_heavy_hitters(
     The k-th count of a window is at least the k-th count of each of its buckets. A key whose
     counts around a bucket add up to no more than that cannot rise above it in any window with the
     bucket, so its row is left out before rows are multiplied: long tails of rare keys stay out
-    of the windows, and results stay exact.
+    of the windows, and results stay exact. Tasks work on chunks of time of a key, never on its whole history.
     """
     check_mg(k)
     _ratio(window, bucket)
     floors = _bucket_floors(buckets, k, by)
-    span = interval_seconds(window) - interval_seconds(bucket)
-    around = (
-        Window.partitionBy(*by, "key")
-        .orderBy(F.floor(epoch_micros(F.col("bucket")) / 1_000_000))
-        .rangeBetween(-span, span)
-    )
-    placed = join_on(buckets, floors, [*by, "bucket"]).repartition(*by, "key")
-    rising = (
-        placed.withColumn("_around", F.sum("n").over(around))
-        .where(F.col("_around") > F.col("floor"))
-        .select(*by, "bucket", "key", "n")
-    )
+    width, step = (interval_seconds(x) * 1_000_000 for x in (window, bucket))
+    chunk = CHUNK_WINDOWS * width
     windows = [*by, "window_start", "window_end"]
-    counts = slide(rising, window, bucket).groupBy(*windows, "key").agg(F.sum("n").alias("n"))
+    counts = _window_counts(_rising(buckets, floors, width - step, by, chunk), width, step, by, chunk)
+    kind = buckets.schema["bucket"].dataType
+    counts = counts.withColumns({c: F.col(c).cast(kind) for c in ("window_start", "window_end")})
     window_floors = slide(floors, window, bucket).groupBy(*windows).agg(F.max("floor").alias("floor"))
     return mg_truncate(counts, k, windows, floors=window_floors)
 
@@ -139,8 +184,13 @@ def running_total(df: DataFrame, key: str, ts: str, bucket: str, by: Sequence[st
         .groupBy(*by, "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    line = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return per_bucket.withColumn("total_count", F.sum("n").over(line))
+    placed = per_bucket.withColumn("_at", _micros("bucket"))
+    chunk = CHUNK_TICKS * interval_seconds(bucket) * 1_000_000
+    return running(placed, by, "_at", sums={"total_count": "n"}, chunk=chunk).drop("_at")
+
+
+# Length of a chunk of a running report, in buckets.
+CHUNK_TICKS = 4096
 
 
 def tumbling_report(df: DataFrame, key: str, ts: str, tick: str) -> DataFrame:
@@ -149,18 +199,23 @@ def tumbling_report(df: DataFrame, key: str, ts: str, tick: str) -> DataFrame:
     counts = bucket_counts(df, key, ts, tick)
     leader = F.min_by(F.struct("key", "n"), F.struct(-F.col("n"), F.col("key")))
     busy = counts.groupBy("bucket").agg(F.sum("n").alias("n"), leader.alias("_top"))
-    ends = busy.agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
-    step = _seconds(F.lit(interval_seconds(tick)))
-    ticks = ends.select(F.explode(F.sequence("first", "last", step)).alias("bucket"))
-    line = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        ticks.join(busy, "bucket", "left")
-        .select(
-            F.col("bucket").alias("tick"),
-            F.coalesce("n", F.lit(0)).alias("n"),
-            F.col("_top.key").alias("top_key"),
-            F.col("_top.n").alias("top_count"),
-            F.sum(F.coalesce("n", F.lit(0))).over(line).alias("total_count"),
-        )
-    )
-
+    step = interval_seconds(tick) * 1_000_000
+    chunk = CHUNK_TICKS * step
+    # the chunks from the first tick to the last are dealt to tasks, which write out their own ticks
+    ends = busy.agg(F.min(_micros("bucket")).alias("first"), F.max(_micros("bucket")).alias("last"))
+    chunks = ends.select(
+        "first", "last", F.explode(F.sequence(F.floor(F.col("first") / chunk), F.floor(F.col("last") / chunk))).alias("part"))
+    own = F.sequence(
+        F.greatest("first", _next_tick(F.col("part") * chunk, F.col("first"), step)),
+        F.least("last", _next_tick((F.col("part") + 1) * chunk, F.col("first"), step) - step), F.lit(step).cast("bigint"))
+    ticks = chunks.repartition("part").select(F.explode(own).alias("_at"))
+    every = ticks.join(busy.withColumn("_at", _micros("bucket")), "_at", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    totals = running(every, (), "_at", sums={"total_count": "n"}, chunk=chunk)
+    return totals.select(
+        F.timestamp_micros("_at").cast(busy.schema["bucket"].dataType).alias("tick"), "n",
+        F.col("_top.key").alias("top_key"), F.col("_top.n").alias("top_count"), "total_count")
+
+
+def _next_tick(at: Column, first: Column, step: int) -> Column:
+    """The first tick, counted from `first`, at or after `at`."""
+    return (first + F.ceil((at - first) / step) * step).cast("bigint")

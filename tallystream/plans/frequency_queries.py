@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallystream.functions.formulas import cms_delta, cms_epsilon, cms_memory_bytes, cms_size_for
+from tallystream.functions.numbers import round_half_up
 from tallystream.operators.cms import (
     CountMin, cms_accuracy, cms_build, cms_cells, cms_fold, cms_lookup, cms_merge, cms_native, cms_query,
 )
@@ -94,7 +96,31 @@ def cms_native_query(spark: SparkSession, directory: str) -> DataFrame:
     return built.select("l_returnflag", F.octet_length("sketch").alias("sketch_bytes"))
 
 
+def cms_native_check(spark: SparkSession, directory: str) -> DataFrame:
+    """Size and total that Spark's own sketches say they have; the header of the value is big-endian."""
+    built = cms_native(part_lines(spark, directory), "key", MEDIUM.cms_width, MEDIUM.cms_depth, by=["l_returnflag"])
+    number = lambda at, size: F.conv(F.hex(F.substring("sketch", at, size)), 16, 10).cast("bigint")
+    cells = F.octet_length("sketch") - 20 - 8 * number(13, 4)
+    return built.select(
+        "l_returnflag", number(5, 8).alias("total_count"), number(13, 4).alias("depth"), number(17, 4).alias("width"),
+        (cells == 8 * number(13, 4) * number(17, 4)).cast("int").alias("whole"))
+
+
+def cms_sizes(spark: SparkSession, directory: str) -> DataFrame:
+    """The smallest tables that keep targets of error and failure, one for each pair of tax and discount."""
+    targets = read_table(spark, directory, "lineitem").select(
+        ((F.col("l_tax") + 0.005) / 10).alias("epsilon"), (F.col("l_discount") + 0.005).alias("delta")).distinct()
+    width, depth = cms_size_for(F.col("epsilon"), F.col("delta"))
+    sized = targets.withColumns({"width": width, "depth": depth})
+    kept = (cms_epsilon(F.col("width")) <= F.col("epsilon")) & (cms_delta(F.col("depth")) <= F.col("delta"))
+    return sized.select(
+        round_half_up(F.col("epsilon"), 6).alias("epsilon"), round_half_up(F.col("delta"), 6).alias("delta"), "width", "depth",
+        kept.cast("int").alias("kept"), cms_memory_bytes(F.col("width"), F.col("depth")).alias("memory_bytes"))
+
+
 QUERIES = {
+    "cms_native_check": cms_native_check,
+    "cms_sizes": cms_sizes,
     "cms_hash_cells": cms_hash_cells,
     "cms_hash_cells_any_width": cms_hash_cells_any_width,
     "cms_table": cms_table,
@@ -132,6 +158,16 @@ _BY_TABLE = {
 _ALL_CELLS = "select row_id, col_id, cnt from cells"
 
 ORACLES = {
+    "cms_native_check": (
+        f"select l_returnflag, count(*) as total_count, {_D}::bigint as depth, {_W}::bigint as width, 1 as whole "
+        "from lineitem group by 1"
+    ),
+    "cms_sizes": (
+        "with targets as (select distinct (l_tax + 0.005::double) / 10 as epsilon, l_discount + 0.005::double as delta from lineitem), "
+        f"sized as (select *, greatest(ceil({sql.E} / epsilon), 1)::int as width, greatest(ceil(ln(1.0::double / delta)), 1)::int as depth "
+        f"from targets) select {sql.rhu('epsilon', 6)} as epsilon, {sql.rhu('delta', 6)} as delta, width, depth, "
+        f"({sql.E} / width <= epsilon and exp(-depth) <= delta)::int as kept, (width * depth * 8)::bigint as memory_bytes from sized"
+    ),
     "cms_hash_cells": _touched(_W, _D),
     "cms_hash_cells_any_width": _touched(1000, 3),
     "cms_table": sql.with_steps(_TABLE, _ALL_CELLS),

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.functions.formulas import mg_error, mg_memory_bytes
 from tallystream.operators import heavy_hitters as hh
 from tallystream.operators import percentiles as pc
 from tallystream.operators import windows as win
-from tallystream.operators.keys import key_counts
+from tallystream.operators.keys import key_counts, keyed
 from tallystream.operators.ordered import TAKE_ORDERED_MAX, last_n_per_group
 from tallystream.plans import sql
 from tallystream.plans.inputs import (
@@ -20,6 +20,7 @@ from tallystream.plans.inputs import (
 from tallystream.session import read_table
 
 K = 200
+TRACKED = 10_000
 WINDOW, BUCKET = "12 hours", "1 hour"
 NARROW = "6 hours"
 
@@ -27,7 +28,7 @@ NARROW = "6 hours"
 def heavy_hitters(spark: SparkSession, directory: str) -> DataFrame:
     """Summary of the part keys, with its error bound and size."""
     lines = part_lines(spark, directory)
-    total = lines.agg(F.count("key")).scalar()
+    total = keyed(lines, "key").agg(F.count(F.lit(1))).scalar()
     return hh.mg_summary(lines, "key", K).select(
         "key", "est", mg_error(total, K).alias("error_bound"), mg_memory_bytes(K).alias("memory_bytes")
     )
@@ -59,7 +60,7 @@ def top_n_per_group(spark: SparkSession, directory: str) -> DataFrame:
 
 def top_share(spark: SparkSession, directory: str) -> DataFrame:
     events = user_events(spark, directory)
-    total = events.agg(F.count("key")).scalar()
+    total = keyed(events, "key").agg(F.count(F.lit(1))).scalar()
     return hh.top_share(hh.mg_summary(events, "key", K), total, 12)
 
 
@@ -71,6 +72,23 @@ def approx_top_k_native(spark: SparkSession, directory: str) -> DataFrame:
     return hh.approx_top_k_native(user_events(spark, directory), "key", 10)
 
 
+def approx_top_k_check(spark: SparkSession, directory: str) -> DataFrame:
+    """Spark's frequent items against exact counts: the promised error broken, or a clearly more frequent key left out?"""
+    events = user_events(spark, directory)
+    exact = key_counts(events, "key")
+    slack = exact.agg(F.sum("n") * 3.5 / TRACKED).scalar()
+    both = exact.join(hh.approx_top_k_native(events, "key", 10, TRACKED), "key", "left").withColumn("slack", slack)
+    return both.agg(
+        F.count("est").alias("items"), F.sum("n").alias("total"),
+        F.count_if(F.abs(F.col("est") - F.col("n")) > F.col("slack")).alias("wrong"),
+        F.greatest(F.count_if(F.col("est").isNull() & (F.col("n") > F.col("slack") + _tenth(exact))), F.lit(0)).alias("missed"))
+
+
+def _tenth(exact: DataFrame) -> Column:
+    """The tenth largest count."""
+    return exact.orderBy(F.col("n").desc()).limit(10).agg(F.min("n")).scalar()
+
+
 def sliding_heavy_hitters(spark: SparkSession, directory: str) -> DataFrame:
     return win.windowed_heavy_hitters(user_events(spark, directory), "key", "ts", 20, WINDOW, BUCKET)
 
@@ -183,6 +201,7 @@ QUERIES = {
     "top_share": top_share,
     "weighted_heavy_hitters": weighted_heavy_hitters,
     "approx_top_k_native": approx_top_k_native,
+    "approx_top_k_check": approx_top_k_check,
     "sliding_heavy_hitters": sliding_heavy_hitters,
     "resize_window": resize_window,
     "last_n_heavy_hitters": last_n_heavy_hitters,
@@ -355,6 +374,9 @@ ORACLES = {
     "rolling_percentiles": sql.with_steps(
         {"src": _recent(500, ["event_type"])}, _percentiles("src", ["event_type"], (50, 95, 99))
     ),
+    "approx_top_k_check": (
+        "select least(count(distinct user_id), 10) as items, count(user_id) as total, 0::bigint as wrong, 0::bigint as missed from events"
+    ),
     "whole_percentiles": _percentiles("events", ["event_type"], (50, 95, 99)),
     "p99_exact": _percentiles("lineitem", [], (99,), "l_extendedprice"),
 }

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallystream.functions.numbers import interval_seconds
 from tallystream.operators.control import COOLDOWN, Thresholds, apply_cooldown, decide
+from tallystream.operators.ordered import join_on
 from tallystream.streaming.sketches import batch_path, start_batches
 
 _LAST = "worker_id string, last timestamp, batch_id bigint"
@@ -49,7 +50,7 @@ def start_decisions(
         before = _last_accepted(spark, state, batch_id)
         candidates = decide(batch, thresholds).withColumn("ts", F.col("ts").cast("timestamp"))
         free = (
-            candidates.join(before, "worker_id", "left")
+            join_on(candidates, before, ["worker_id"], "left")
             .where(F.col("last").isNull() | (F.col("ts") >= F.col("last") + wait))
             .select(*candidates.columns)
         )

@@ -48,9 +48,9 @@ def bucket_counts_stream(events: DataFrame, key: str, ts: str, bucket: str, dela
     return counted.select(F.col("window.start").alias("bucket"), "key", "n")
 
 
-def tick_counts_stream(events: DataFrame, ts: str, tick: str, delay: str) -> DataFrame:
-    """(tick, n) of closed ticks."""
-    timed = with_event_time(events, ts, delay)
+def tick_counts_stream(events: DataFrame, key: str, ts: str, tick: str, delay: str) -> DataFrame:
+    """(tick, n) of closed ticks: events with a key, as its batch twin counts them."""
+    timed = keyed(with_event_time(events, ts, delay), key, ts)
     return timed.groupBy(F.window(ts, tick)).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("window.start").alias("tick"), "n"
     )

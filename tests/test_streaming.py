@@ -70,7 +70,7 @@ def test_buckets_equal_batch_and_feed_sliding_windows(spark, table, folder, tmp_
 
 def test_tick_counts(spark, table, folder, tmp_path):
     events = stream(spark, folder, table.schema)
-    ticks = ss.tick_counts_stream(events, "ts", "6 hours", "0 seconds")
+    ticks = ss.tick_counts_stream(events, "key", "ts", "6 hours", "0 seconds")
     ss.start_table(ticks, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
     want = {r.bucket: r.n for r in windows.running_total(table, "key", "ts", "6 hours").collect()}
     got = {r.tick: r.n for r in ss.read_table(spark, str(tmp_path / "t")).collect()}
