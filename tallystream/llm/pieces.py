@@ -34,6 +34,8 @@ UNKNOWN_PENALTY = 10.0
 WORST = float("-inf")
 LONG_WORD = 48  # characters beyond which a word is solved on its own
 TOGETHER = 512  # words solved at a time
+BYTES_AT_ONCE = 1 << 21  # of text encoded at a time
+IDS_AT_ONCE = 1 << 18  # decoded at a time
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -322,7 +324,7 @@ def _mapped(docs: DataFrame, vocabulary: Vocabulary, source: str, name: str, kin
             column = batch.column(source)
             lists = pa.types.is_list(column.type)
             length = pc.list_value_length(column) if lists else pc.binary_length(column)
-            for a, b in parts(pc.fill_null(length, 0).to_numpy(zero_copy_only=False), 1 << 22):
+            for a, b in parts(pc.fill_null(length, 0).to_numpy(zero_copy_only=False), IDS_AT_ONCE if lists else BYTES_AT_ONCE):
                 values = fill(column.slice(a, b - a), _tool(key, shared, make))
                 yield _with_column(batch.slice(a, b - a), name, values)
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED = 300_000  # words after which a worker begins a new generation; it keeps two
+REMEMBERED = 150_000  # words after which a worker begins a new generation; it keeps two
 LONGEST_KEPT = 200  # longer words are solved each time, so that the memory of a generation has a bound
 
 # characters without width that some rules take for white space
@@ -43,7 +43,9 @@ def parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the runs start .. start + length - 1, one after another."""
     ends = np.cumsum(lengths)
-    return np.repeat(starts - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or starts.max() < 1 << 31) else np.int64
+    return np.repeat((starts - ends + lengths).astype(kind), lengths) + np.arange(total, dtype=kind)
 
 
 class WordIds:
