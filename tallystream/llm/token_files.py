@@ -241,8 +241,15 @@ class TextIds:
         new = [w for w in set(stems).union(ends) if w not in known]
         plain = [w for w in new if w and "\n" not in w]
         alone = [w for w in new if "\n" in w]
-        for i in range(0, len(plain), WORDS_A_LINE):
-            self._solve_line(plain[i: i + WORDS_A_LINE], alone)
+        lines = [self._line(plain[i: i + WORDS_A_LINE], alone) for i in range(0, len(plain), WORDS_A_LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, "<i4")
+            cuts = np.flatnonzero(ids == self.line_feed)
+            if len(cuts) != len(line) - 1:
+                alone += line
+                continue
+            raw = ids.tobytes()
+            known.update(zip(line, map(raw.__getitem__, map(slice, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]))))
         for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
             known[w] = np.array(e.ids, "<i4").tobytes()
         known[""] = b""
@@ -251,20 +258,13 @@ class TextIds:
             self.stems = {}
         return out
 
-    def _solve_line(self, words: list[str], alone: list[str]) -> None:
-        """Ids of words between line feeds, or the words to `alone` where white space in them could join one."""
-        text = "\n".join(words)
-        if _ODD.search(text):
-            alone += [w for w in words if _SPACE.search(w, 1) or w.isspace()]
-            words = [w for w in words if not (_SPACE.search(w, 1) or w.isspace())]
-            text = "\n".join(words)
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4")
-        cuts = np.flatnonzero(ids == self.line_feed)
-        if len(cuts) != len(words) - 1:
-            alone += words
-            return
-        raw = ids.tobytes()
-        self.stems.update(zip(words, map(raw.__getitem__, map(slice, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]))))
+    def _line(self, words: list[str], alone: list[str]) -> list[str]:
+        """The words that can stand between line feeds; those with white space that could join one go to `alone`."""
+        if not _ODD.search("\n".join(words)):
+            return words
+        odd = {w for w in words if _SPACE.search(w, 1) or w.isspace()}
+        alone += odd
+        return [w for w in words if w not in odd]
 
 
 _tools: dict[str, TextIds] = {}
