@@ -3,7 +3,8 @@
 Base kinds are proposed by a pattern, leftmost and without overlap within a kind, and confirmed without retry: `email`;
 `ip` (four parts up to 255); `card` (13 to 19 digits passing Luhn); `phone` (a plus sign, 9 to 15 digits). The
 method adds further kinds: `iban` (letters and digits whose number is 1 modulo 97), `ssn` and `tel` (three digit
-groups). A candidate of these has a score: what its form and checksum are worth, more if a context word stands
+groups), `secret` (a run of letters and digits that is assigned to something; the context word says to what, and length and
+entropy confirm it). A candidate of these has a score: what its form and checksum are worth, more if a context word stands
 within `REACH` characters before it, less if a contrary word does; it counts from `ENOUGH` on. Base spans never need
 context; context raises their score only.
 
@@ -33,6 +34,8 @@ PATTERNS = {
 }
 BYTE_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # Context words that speak for or against a kind, matched without regard to case.
+SECRET = "A-Za-z0-9+/_-"
+RANDOM_BITS = 2.9  # of entropy a character
 FOR_CARD = "card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta"
 FOR_PHONE = "phone|tel|call|mobile|fax|cell|telefon|teléfono|téléphone"
 
@@ -57,6 +60,10 @@ EXTRAS = (
           "ssn|social|security|tax", "order|serial|isbn|part", "[0-9]-[0-9]{2}-[0-9]", "[0-9-]"),
     Extra("tel", r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}", 30,
           FOR_PHONE, "order|serial|isbn|part", r"[0-9]{3}[-.\x20][0-9]{4}", "[0-9+().-]"),
+    # the assignment is part of the pattern, the value its last run
+    Extra("secret", rf"[=:]\x20?[\"']?[{SECRET}]{{16,256}}", 20,
+          "token|secret|passw|api.?key|access.?key|private.?key|auth|credential|bearer|contraseña|mot de passe|schlüssel",
+          "checksum|digest|commit|isbn|serial", rf"[=:]\x20?[\"']?[{SECRET}]{{16}}", rf"[{SECRET}]"),
 )
 KINDS = (*PATTERNS, *[e.kind for e in EXTRAS])
 
@@ -124,10 +131,27 @@ def _score(extra: Extra, text: Column, match: Column) -> Column:
     beside = F.concat(
         F.substring(text, match["start"], F.lit(1)), F.lit(" "), F.substring(text, match["end"] + 1, F.lit(1)))
     alone = F.when((match["start"] > 0) & beside.rlike(f"^{extra.apart}") | beside.rlike(f"{extra.apart}$"), -100).otherwise(0)
+    if extra.kind == "secret":  # begins with its assignment, so only its end can be cut off
+        checked = F.when(_looks_random(match["text"]), 0).otherwise(-100)
+        alone = F.when(beside.rlike(f"{extra.apart}$"), -100).otherwise(0)
     return (F.lit(extra.base) + checked + alone + F.when(_context(text, match, extra.words), 30).otherwise(0)
             - F.when(_context(text, match, extra.against), 30).otherwise(0))
 
 
+def _looks_random(text: Column) -> Column:
+    """Letters and digits of at least `RANDOM_BITS` each, by the entropy of the characters of the assigned value."""
+    value = F.regexp_extract(text, f"[{SECRET}]+$", 0)
+    each = F.filter(F.split(value, ""), lambda c: c != "")
+    n = F.size(each)
+    # n log2(n) less the sum of c log2(c) over distinct characters is n times the entropy
+    alike = F.aggregate(F.array_distinct(each), F.lit(0.0), lambda total, c: total + _c_log_c(F.size(F.filter(each, lambda x: x == c))))
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.log2(n.cast("double")) * n - alike >= RANDOM_BITS * n)
+
+
+def _c_log_c(n: Column) -> Column:
+    return n * F.log2(n.cast("double"))
+
+
 def _base_score(kind: str, text: Column, match: Column) -> Column:
     words = {"card": FOR_CARD, "phone": FOR_PHONE}.get(kind)
     return F.lit(80) + (F.when(_context(text, match, words), 20).otherwise(0) if words else F.lit(0))
@@ -149,6 +173,11 @@ def private_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def spans(kind: str, keep, score) -> Column:
         kept = F.filter(f"_{kind}", keep)
+        if kind == "secret":  # the assignment and its quote are not part of the secret
+            size = lambda m: F.length(F.regexp_extract(m["text"], f"[{SECRET}]+$", 0))
+            return F.coalesce(F.transform(kept, lambda m: F.struct(
+                F.lit(kind).alias("kind"), (m["end"] - size(m)).alias("start"), m["end"].alias("end"), score(m).cast("int").alias("score"))),
+                F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:int>>)"))
         return F.coalesce(F.transform(kept, lambda m: F.struct(
             F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), score(m).cast("int").alias("score"))),
             F.expr("cast(array() as array<struct<kind:string,start:int,end:int,score:int>>)"))

@@ -28,7 +28,8 @@ def op2_private(spark: SparkSession, directory: str) -> DataFrame:
     base = private.written(F.filter("private", lambda s: s["kind"].isin(*private.PATTERNS)))
     return found.select(
         "doc_id", *[f"n_{k}" for k in private.PATTERNS], F.sha2(base, 256).alias("base_sha256"),
-        private.written(F.col("private")).alias("spans"))
+        private.written(F.col("private")).alias("spans"),
+        F.size(F.filter("private", lambda s: ~s["kind"].isin(*private.PATTERNS))).cast("long").alias("n_added"))
 
 
 def op3_toxicity(spark: SparkSession, directory: str) -> DataFrame:

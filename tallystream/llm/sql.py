@@ -114,7 +114,7 @@ MIXING_SQL = f"""with {mixing_steps('documents')}
 select doc_id, size, source_size, target, copies * size as taken, copies, position from mix"""
 
 
-def _spans_sql(kind: str, pattern: str, keep: str) -> str:
+def _spans_sql(kind: str, pattern: str, keep: str, begin: str = "start") -> str:
     """List of (kind, start, end) of the matches of a pattern that pass a test on `hit` and `before`."""
     return rf"""
 {kind}_raw as (select rid, t, regexp_extract_all(t, '{pattern}') as hits from numbered),
@@ -128,7 +128,7 @@ def _spans_sql(kind: str, pattern: str, keep: str) -> str:
     lower(substr(t, (greatest(start - 40, 0) + 1)::bigint, least(start, 40)::bigint)) as before,
     case when start > 0 then substr(t, start::bigint, 1) else '' end as left_char,
     substr(t, (start + length(hits[i]) + 1)::bigint, 1) as right_char from {kind}_walk),
-{kind}_spans as (select rid, list('{kind}:' || start || ':' || stop order by start) as spans, count(*)::bigint as n
+{kind}_spans as (select rid, list('{kind}:' || {begin} || ':' || stop order by start) as spans, count(*)::bigint as n
     from {kind}_at where {keep} group by rid)"""
 
 
@@ -150,6 +150,14 @@ def _worth(base: str, words: str, against: str, apart: str) -> str:
     - case when regexp_matches(left_char, '{apart}') or regexp_matches(right_char, '{apart}') then 100 else 0 end >= 50"""
 
 
+_VALUE = "regexp_extract(hit, '[A-Za-z0-9+/_-]+$')"
+_SECRET_KEEP = rf"""regexp_matches({_VALUE}, '[0-9]') and regexp_matches({_VALUE}, '[A-Za-z]')
+    and length({_VALUE}) * log2(length({_VALUE})::double) - list_sum([k * log2(k::double) for k in
+    map_values(list_histogram(string_split({_VALUE}, '')))]) >= 2.9 * length({_VALUE}) and not regexp_matches(right_char, '[A-Za-z0-9+/_-]')
+    and regexp_matches(before, 'token|secret|passw|api.?key|access.?key|private.?key|auth|credential|bearer|contraseña|mot de passe|schlüssel')
+    and not regexp_matches(before, 'checksum|digest|commit|isbn|serial')"""
+
+
 def private_sql() -> str:
     """All kinds by their plain patterns; positions by looking for each match behind the previous one.
 
@@ -171,9 +179,10 @@ def private_sql() -> str:
             "30", "ssn|social|security|tax", "order|serial|isbn|part", "[0-9-]")),
         "tel": (r"(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}", _worth(
             "30", phone, "order|serial|isbn|part", "[0-9+().-]")),
+        "secret": (r"""[=:]\x20?["'']?[A-Za-z0-9+/_-]{16,256}""", _SECRET_KEEP),
     }
     base = list(kinds)[:4]
-    steps = ",".join(_spans_sql(k, p, keep) for k, (p, keep) in kinds.items())
+    steps = ",".join(_spans_sql(k, p, keep, f"(stop - length({_VALUE}))" if k == "secret" else "start") for k, (p, keep) in kinds.items())
     joins = " ".join(f"left join {k}_spans {k} using (rid)" for k in kinds)
 
     def listed(names: list[str]) -> str:
@@ -182,6 +191,7 @@ def private_sql() -> str:
     return f"""with recursive
 numbered as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),{steps}
 select doc_id, {', '.join(f'coalesce({k}.n, 0)::bigint as n_{k}' for k in base)},
+    ({' + '.join(f'coalesce({k}.n, 0)' for k in list(kinds)[4:])})::bigint as n_added,
     sha256({listed(base)}) as base_sha256, {listed(list(kinds))} as spans
 from numbered {joins}"""
 

@@ -206,6 +206,10 @@ def test_private(odd, none, spark):
         "iban GB82 WEST 1234 5698 7654 32 GB83WEST12345698765432": "iban:5:32",
         "ssn 078-05-1120 part 078-05-1121": "ssn:4:15",
         "tel (030) 555-1234 x 555-123-4567": "tel:4:18,tel:21:33",
+        'my token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ok': "secret:12:52",
+        "API_KEY=sk9Zk3mQ0x7Lp2Vw8RtB, passwort: aaaaaaaaaaaaaaaa1": "secret:8:28",
+        "commit token: 04dbebab91ab85687d33eeaaf9ac699e1188f962 color: 04dbebab91ab85687d33eeaaf9ac699e": "",
+        "token: internationalization": "",
     }
     found = private.private_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(
         "doc_id", "text", "private", private.written(F.col("private")).alias("spans")).collect()
