@@ -41,6 +41,7 @@ SEGMENTS = 4
 PATH_ONLY = 8
 EVIDENCE = 20
 CONSTANT_PERCENT = 60
+SALTS = 8
 
 _U = np.uint64
 _VARIABLE = _U(0x2545F4914F6CDD1D)
@@ -120,6 +121,13 @@ def _shared(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).filter("_lo < _hi").select(*keys)
 
 
+def _met(rows: DataFrame, small: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys are in `small`, with its other columns; a key with very many rows is dealt out by a salt."""
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("id", "line"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def _templates() -> Column:
     """constant and template of a line for each choice of its shared segments s0, s1, ... that is long enough.
 
@@ -144,13 +152,13 @@ def dropped_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -
         _line_rows, "id long, mark long, line int, n int, exact boolean, path long, lead int, segments array<long>, tokens array<int>"),
         "lines")
     own = ["id", "mark", "line", "n", "exact", "path", "lead"]
-    open_lines = staged(lines.join(_shared(lines, "path"), "path").select(*own, "segments", "tokens"), "open-lines")
+    open_lines = staged(_met(lines, _shared(lines, "path"), "path").select(*own, "segments", "tokens"), "open-lines")
 
     parts = open_lines.filter(F.col("n") >= PATH_ONLY).select(
         *own, "tokens", F.posexplode("segments").alias("j", "segment")).withColumn(
         "tokens", F.get("tokens", F.col("j"))).filter("tokens > 0")  # a segment of variable fields adds nothing
     constant = _shared(parts, "path", "j", "segment")
-    shared = parts.join(constant, ["path", "j", "segment"]).groupBy(*own).agg(
+    shared = _met(parts, constant, "path", "j", "segment").groupBy(*own).agg(
         *[F.max(F.when(F.col("j") == j, F.struct("segment", "tokens"))).alias(f"s{j}") for j in range(SEGMENTS)])
     templates = shared.select(*own, F.explode(_templates()).alias("one")).select(*own, "one.constant", "one.template")
     whole = open_lines.filter(F.col("n") < PATH_ONLY).select(
@@ -160,7 +168,7 @@ def dropped_lines(docs: DataFrame, row_id: str = "doc_id", text: str = "text") -
     recurring = both.groupBy("template", "id").agg(F.max("constant").alias("constant")).groupBy("template").agg(
         F.count(F.lit(1)).alias("documents"), F.min("id").alias("first"), F.max("constant").alias("constant"),
     ).filter(F.col("constant") * (F.col("documents") - 1) >= EVIDENCE).select("template", "first")
-    gone = both.join(recurring, "template").filter("id > first")
+    gone = _met(both, recurring, "template").filter("id > first")
     return gone.groupBy("id", "mark").agg(F.collect_set("line").alias("drops"))
 
 

@@ -167,8 +167,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         word_count(F.col("text")).alias("_size"))
     same = rows["_id"].eqNullSafe(taken["_p_id"]) & rows["_source"].eqNullSafe(taken["_p_source"]) & (
         rows["_size"] == taken["_p_size"])
-    # rows that repeat an id share its places one by one; an id has one row as a rule
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    # rows that repeat an id share its places one by one, in an order that does not change from run to run
+    comparable = [F.col("_row")[f.name] for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*comparable)))
     placed = rows.join(taken, same).withColumn("_at", F.get("_places", turn - 1))
     copies = placed.select("_row", F.explode("_at").alias("_position"))
     return copies.repartitionByRange("_position").sortWithinPartitions("_position").select("_row.*")

@@ -1,13 +1,13 @@
-"""Text expressions, scratch tables and small helpers that several operators use."""
+"""Text expressions and small helpers that several operators use."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tallystream.staging import drop_staged, scratch_root, staged
+
+__all__ = ["drop_staged", "remainder", "scratch_root", "staged", "word_count", "words_of"]
 
 # The six white-space characters that end a word.
 BLANKS = " \t\n\x0b\f\r"
@@ -28,37 +28,3 @@ def word_count(text: Column) -> Column:
 def remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id written as text, modulo `divisor`; null for a null id."""
     return F.crc32(doc_id.cast("string")) % F.lit(divisor)
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary folder only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tallystream-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as Parquet below the shared folder and reads it back.
-
-    Cuts the lineage: what is read survives the loss of any executor, and costly columns are computed once.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tallystream/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(_nullable(df.schema)).parquet(path)
-
-
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-
-
-def drop_staged(df: DataFrame) -> None:
-    """Deletes the folders of a staged table that is no longer read."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tallystream/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
