@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallystream.functions.numbers import interval_seconds
 from tallystream.operators.control import COOLDOWN, Thresholds, apply_cooldown, decide
 from tallystream.operators.ordered import join_on
-from tallystream.streaming.sketches import batch_path, start_batches
+from tallystream.staging import drop_staged, staged
+from tallystream.streaming.sketches import start_batches
+from tallystream.streaming.versions import append_run, read_version, write_version
 
-_LAST = "worker_id string, last timestamp, batch_id bigint"
-
-
-def _last_accepted(spark: SparkSession, state: str, batch_id: int) -> DataFrame:
-    """(worker_id, last) after the newest batch before `batch_id`."""
-    try:
-        every = spark.read.schema(_LAST).option("basePath", state).parquet(state)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "worker_id string, last timestamp")
-    earlier = every.where(F.col("batch_id") < batch_id)
-    newest = earlier.select(F.max("batch_id")).scalar()
-    return earlier.where(F.col("batch_id") == newest).select("worker_id", "last")
+_LAST = "worker_id string, last timestamp"
 
 
 def start_decisions(
@@ -38,27 +26,27 @@ def start_decisions(
 ) -> StreamingQuery:
     """Write the accepted decisions of a metrics stream to `path` (`read_table`).
 
-    Carried between micro-batches is one time per worker, its last accepted decision, in a table beside the
-    output. Within a batch the distributed `apply_cooldown` runs, so that a worker with most of the rows does not
-    end up in one task. Output and carried times are one folder per batch; a retry overwrites both.
+    Carried between micro-batches is one time per worker, its last accepted decision, in a table beside the output, of
+    which a batch reads the newest only. Within a batch the distributed `apply_cooldown` runs, so that a worker with most of
+    the rows does not end up in one task. Candidates that come after a later one was accepted go to `<path>_late`.
     """
     state = f"{path}_last"
     wait = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(interval_seconds(cooldown)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _last_accepted(spark, state, batch_id)
+        before = read_version(spark, state, before=batch_id, schema=_LAST)
         candidates = decide(batch, thresholds).withColumn("ts", F.col("ts").cast("timestamp"))
-        free = (
-            join_on(candidates, before, ["worker_id"], "left")
-            .where(F.col("last").isNull() | (F.col("ts") >= F.col("last") + wait))
-            .select(*candidates.columns)
-        )
-        apply_cooldown(free, cooldown).write.mode("overwrite").parquet(batch_path(path, batch_id))
-        accepted = spark.read.parquet(batch_path(path, batch_id))
+        known = join_on(candidates, before, ["worker_id"], "left")
+        # older than an accepted one: cannot be put in any more, and is kept beside with its reason
+        late = F.coalesce(F.col("ts") < F.col("last"), F.lit(False))
+        append_run(known.where(late).select(*candidates.columns, F.lit("late").alias("reason")), f"{path}_late", batch_id)
+        waited = F.col("last").isNull() | F.col("ts").isNull() | (F.col("ts") >= F.col("last") + wait)
+        free = known.where(waited).select(*candidates.columns)
+        accepted = staged(apply_cooldown(free, cooldown), "accepted")
+        append_run(accepted, path, batch_id)
         after = before.unionByName(accepted.select("worker_id", F.col("ts").alias("last")))
-        after.groupBy("worker_id").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(
-            batch_path(state, batch_id)
-        )
+        write_version(after.groupBy("worker_id").agg(F.max("last").alias("last")), state, batch_id)
+        drop_staged(accepted)
 
     return start_batches(metrics, write, path, checkpoint, trigger=trigger)

@@ -2,7 +2,7 @@
 
 Running sketches are plain streaming aggregations whose state is the sketch itself: width * depth cells,
 2^p registers. Windows keep counts per (bucket, key) until the watermark closes the bucket.
-Sinks write one folder per micro-batch and overwrite it on a retry, so a restart from the
+Sinks write in the layout of `versions`: a retry overwrites its own folder, so a restart from the
 checkpoint neither loses nor doubles rows.
 """
 
@@ -19,6 +19,7 @@ from tallystream.operators.epochs import SketchParts, place_parts, sketch_parts
 from tallystream.operators.hll import HyperLogLog, hll_build
 from tallystream.operators.keys import keyed
 from tallystream.session import stream_state_dir
+from tallystream.streaming.versions import append_run, read_runs, read_version, write_version
 
 
 def running_cms(events: DataFrame, key: str, width: int, depth: int, by: Sequence[str] = (),
@@ -56,11 +57,6 @@ def tick_counts_stream(events: DataFrame, key: str, ts: str, tick: str, delay: s
     )
 
 
-def batch_path(path: str, batch_id: int) -> str:
-    """The folder of one micro-batch."""
-    return f"{path}/batch_id={batch_id}"
-
-
 def start_batches(
     rows: DataFrame,
     write: Callable[[DataFrame, int], None],
@@ -85,27 +81,25 @@ def start_table(
     rows: DataFrame, path: str, checkpoint: str | None = None, mode: str = "append",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Write a stream as a parquet table with one folder per micro-batch.
+    """Write a stream as a table in the layout of `versions`.
 
-    `complete` mode gives one full state per batch (`read_state`), `append` a growing table
-    (`read_table`).
+    `complete` mode gives a full state per batch (`read_state`), of which the newest are kept; `append` a growing table
+    (`read_table`), whose runs are merged.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_path(path, batch_id))
+        (write_version if mode == "complete" else append_run)(batch, path, batch_id)
 
     return start_batches(rows, write, path, checkpoint, mode, trigger)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).drop("batch_id")
+    return read_runs(spark, path)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The state after the newest micro-batch; older states are pruned by folder."""
-    every = spark.read.option("basePath", path).parquet(path)
-    newest = every.select(F.max("batch_id")).scalar()
-    return every.where(F.col("batch_id") == newest).drop("batch_id")
+    """The state after the newest micro-batch; no other state is opened."""
+    return read_version(spark, path)
 
 
 def start_snapshots(
@@ -139,7 +133,7 @@ def start_epoch_sketches(
         batch = batch.select(worker, ts, key).persist()
         parts = sketch_parts(batch, key, worker, ts, grain)
         for name in PARTS:
-            getattr(parts, name).write.mode("overwrite").parquet(batch_path(f"{path}/{name}", batch_id))
+            append_run(getattr(parts, name), f"{path}/{name}", batch_id)
         batch.unpersist()
 
     return start_batches(events, write, path, checkpoint, trigger=trigger)

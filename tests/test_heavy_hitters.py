@@ -102,9 +102,11 @@ def timed(spark, n, step_seconds, distinct):
     )
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 8])
 @pytest.mark.parametrize("k,window,bucket", [(3, "60 seconds", "5 seconds"), (10, "20 seconds", "20 seconds")])
-def test_sliding_windows_equal_brute_force(spark, k, window, bucket):
-    df = timed(spark, 400, 1, 13)
+def test_sliding_windows_equal_brute_force(spark, monkeypatch, k, window, bucket, chunk):
+    monkeypatch.setattr(win, "CHUNK_WINDOWS", chunk)
+    df = timed(spark, 400, 1, 13).where("id < 180 or id > 330")
     events = [(r.ts.timestamp(), r.key) for r in df.collect()]
     b, w = int(bucket.split()[0]), int(window.split()[0])
     got = {}

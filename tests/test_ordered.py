@@ -118,3 +118,34 @@ def test_throughput_skips_resets(spark):
     df = spark.createDataFrame(rows, "worker_id string, s bigint, cms_total_count bigint")
     got = throughput(df.withColumn("ts", F.timestamp_seconds("s")), "1 minute").orderBy("ts").collect()
     assert [r.events_per_sec for r in got] == [None, 10.0, None, 10.0]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1_000_000])
+def test_distributed_scans_equal_loops(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(60) if i % 11 else None, rng.randrange(9), rng.choice([None, None, i])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, id long, at long, v long, known long")
+    got = {r.id: r for r in ordered.running(
+        df, ["g"], "at", sums={"total": "v"}, largest={"top": "v"}, latest={"last": "known"}, chunk=chunk, tie=["id"]).collect()}
+    before = {r.id: r.b for r in ordered.running(df, ["g"], "at", largest={"b": "v"}, chunk=chunk, before=True, tie=["id"]).collect()}
+    for g in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+        total, top, last = 0, None, None
+        for _, i, _, v, known in own:
+            assert before[i] == top
+            total, top, last = total + v, max(v, top or 0), known if known is not None else last
+            assert (got[i].total, got[i].top, got[i].last) == (total, top, last)
+    assert len(got) == len(before) == len(rows)
+
+
+@pytest.mark.parametrize("chunk", [1, 8, 1_000_000])
+def test_nearest_known_value_on_either_side(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(rng.choice(["a", None]), i, rng.randrange(200), i if rng.random() < 0.2 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, id long, at long, known long")
+    near = {after: {r.id: r.found for r in ordered.nearest(df, ["g"], "at", "known", "found", chunk, after).collect()} for after in (False, True)}
+    at = {r[1]: r[2] for r in rows}
+    for g, i, t, _ in rows:
+        own = [r for r in rows if r[0] == g and r[3] is not None]
+        earlier, later = [r[2] for r in own if r[2] <= t], [r[2] for r in own if r[2] >= t]
+        assert (at.get(near[False][i]), at.get(near[True][i])) == (max(earlier, default=None), min(later, default=None))
