@@ -1,6 +1,7 @@
-"""Ties of many distinct vectors go to the smaller ids."""
+"""Ties of many distinct vectors go to the smaller ids; recall and work of the search where it leaves points out."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallystream.llm import neighbours
@@ -35,9 +36,44 @@ def test_ties_at_the_cut_do_not_depend_on_rounding():
     x = rng.choice([0.1, 0.2, 0.3], size=(3000, 4))
     x = np.concatenate((x, np.eye(4).repeat(2, axis=0)))
     ids = rng.permutation(len(x))
-    space = neighbours.Space(np.random.default_rng(3).normal(size=(5, neighbours.AXES)), float((x * x).sum(axis=1).max()))
+    space = neighbours.Space.drawn(3, 4, float((x * x).sum(axis=1).max()))
     asked = np.arange(0, len(x), 97)
     for k in (5, 20, 60):
         found = neighbours.search_block(space, ids, x, ids[asked], x[asked], np.full(len(asked), -np.inf), k)
         for i in asked:
             assert found[found.query_id == ids[i]].vec_id.tolist() == ranked(x, ids, i, k)
+
+
+def clustered(n, length, seed, equal_norms):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(40, length))[rng.integers(40, size=n)] + 0.7 * rng.normal(size=(n, length))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x if equal_norms else x * rng.uniform(0.5, 1.5, size=(n, 1))
+
+
+@pytest.mark.parametrize("equal_norms", [True, False])
+def test_search_leaves_most_of_fifty_thousand_vectors_unverified(equal_norms):
+    x = clustered(50_000, 64, 9, equal_norms)
+    ids, asked, counts, hits = np.arange(len(x)), np.arange(0, len(x), 500), [], 0
+    space = neighbours.Space.drawn(3, 64, float((x * x).sum(axis=1).max()))
+    found = neighbours.search_block(space, ids, x, ids[asked], x[asked], np.full(len(asked), -np.inf), 20, counts)
+    for i in asked:
+        hits += len(set(found[found.query_id == i].vec_id) & set(ranked(x, ids, i, 20)))
+    verified, pairs = counts
+    assert hits / (20 * len(asked)) >= 0.9 and verified / pairs < (0.35 if equal_norms else 0.6)
+
+
+@pytest.mark.parametrize("equal_norms", [True, False])
+def test_recall_over_many_cells_blocks_and_chunks(spark, monkeypatch, equal_norms):
+    for name, value in (("BLOCK_ROWS", 150), ("LEAF_ROWS", 16), ("QUERY_ROWS", 20)):
+        monkeypatch.setattr(neighbours, name, value)
+    x = clustered(2_500, 40, 10, equal_norms)
+    ids = np.arange(len(x))
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(table, F.col("id") % 20 == 0).toPandas()
+    hits = 0
+    for i in ids[::20]:
+        own = rows[rows.query_id == i].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 21)) and i not in set(own.vec_id)
+        hits += len(set(own.vec_id) & set(ranked(x, ids, i, 20)))
+    assert hits / len(rows) >= 0.9
