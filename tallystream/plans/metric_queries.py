@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.functions.numbers import round_half_up
-from tallystream.operators import control, epochs, ranking, reports, snapshots
+from tallystream.operators import control, epochs, ranking, reports, snapshots, stored
 from tallystream.plans import answers, sql
 from tallystream.plans.inputs import (
-    COOLDOWN, EVENTS_SQL, LINES_SQL, METRICS_COLUMNS, THRESHOLDS, TICK, metrics_steps, part_lines,
+    COOLDOWN, DIRTY_SQL, EVENTS_SQL, LINES_SQL, METRICS_COLUMNS, THRESHOLDS, TICK, dirty_events, metrics_steps, part_lines,
     percentile_sql, user_events, worker_metrics,
 )
-from tallystream.staging import staged
+from tallystream.staging import FOLDER, scratch_root, staged
 from tallystream.templates import QUERY_PROFILES, TEMPLATE_NAMES, TEMPLATES
 
 FREQUENCY_KEY = "42"
@@ -142,6 +144,13 @@ def decision_classes(spark: SparkSession, directory: str) -> DataFrame:
     return control.decision_classes(log)
 
 
+def dirty_cooldown(spark: SparkSession, directory: str) -> DataFrame:
+    """Cooldown over events without a worker or time: what is accepted per worker."""
+    events = dirty_events(spark, directory).select(F.col("event_type").alias("worker_id"), "ts", "event_id")
+    return control.apply_cooldown(events, COOLDOWN).groupBy("worker_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.count_if(F.col("ts").isNull()).alias("timeless"))
+
+
 def _orders(spark: SparkSession, directory: str) -> DataFrame:
     """All commands: those of accepted decisions, resizes among them, and valid overrides."""
     metrics = staged(worker_metrics(spark, directory), "metrics")
@@ -217,6 +226,28 @@ def q_heavy_hitters(spark: SparkSession, directory: str) -> DataFrame:
     return answer.select("*", F.inline("heavy_hitters")).drop("heavy_hitters")
 
 
+def _stored_sketches(spark: SparkSession, directory: str) -> answers.SketchSet:
+    """Sketches of two halves of the events, saved, loaded and merged."""
+    events, root = user_events(spark, directory), f"{scratch_root(spark)}/{FOLDER}/sketches-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        stored.save_sketches(events.where(F.col("event_id") % 2 == half), "key", f"{root}/{half}")
+    merged = stored.merge_stored(*[stored.load_sketches(spark, f"{root}/{half}") for half in (0, 1)])
+    return answers.SketchSet(merged.cms, merged.hll, merged.summary, F.lit(merged.total), merged.k, _live(spark, directory))
+
+
+def stored_frequency(spark: SparkSession, directory: str) -> DataFrame:
+    return answers.frequency(_stored_sketches(spark, directory), FREQUENCY_KEY).drop("all_scores")
+
+
+def stored_cardinality(spark: SparkSession, directory: str) -> DataFrame:
+    return answers.cardinality(_stored_sketches(spark, directory))
+
+
+def stored_heavy_hitters(spark: SparkSession, directory: str) -> DataFrame:
+    answer = answers.heavy_hitters(_stored_sketches(spark, directory), 10)
+    return answer.select("*", F.inline("heavy_hitters")).drop("heavy_hitters")
+
+
 def live_answers(spark: SparkSession, directory: str) -> DataFrame:
     return answers.live_answers(_sketches(spark, directory))
 
@@ -238,6 +269,7 @@ QUERIES = {
     "controller_decisions": controller_decisions,
     "controller_cooldown": controller_cooldown,
     "commands": commands,
+    "dirty_cooldown": dirty_cooldown,
     "rejected_overrides": rejected_overrides,
     "template_timeline": template_timeline,
     "decision_classes": decision_classes,
@@ -251,6 +283,9 @@ QUERIES = {
     "q_cardinality": q_cardinality,
     "q_heavy_hitters": q_heavy_hitters,
     "live_answers": live_answers,
+    "stored_frequency": stored_frequency,
+    "stored_cardinality": stored_cardinality,
+    "stored_heavy_hitters": stored_heavy_hitters,
 }
 
 # ---- the same in SQL ------------------------------------------------------------------------
@@ -559,6 +594,23 @@ ORACLES = {
         "as value from sent",
         recursive=True,
     ),
+    "dirty_cooldown": sql.with_steps(
+        {
+            "dirty": f"select event_type as worker_id, ts, min(event_id) as event_id from ({DIRTY_SQL}) where ts is not null group by 1, 2",
+            "taken": (
+                "select worker_id, min(ts) as ts from dirty group by 1 union all "
+                "select t.worker_id, min(d.ts) as ts from taken t join dirty d "
+                "on d.worker_id is not distinct from t.worker_id and d.ts >= t.ts + interval '18 hours' group by t.worker_id"
+            ),
+            "accepted": (
+                "select d.worker_id, d.ts, d.event_id from dirty d join taken t "
+                "on d.worker_id is not distinct from t.worker_id and d.ts = t.ts union all "
+                f"select event_type, ts, event_id from ({DIRTY_SQL}) where ts is null"
+            ),
+        },
+        "select worker_id, count(*) as n, sum(event_id)::bigint as ids, count(*) filter (ts is null) as timeless from accepted group by 1",
+        recursive=True,
+    ),
     "rejected_overrides": sql.with_steps(
         {**_M, "asked": f"select * from ({_OVERRIDES}) where template is not null"},
         "select worker_id, ts, template, 'template must be one of low, medium, high' as reason "
@@ -673,3 +725,24 @@ ORACLES = {
         f"{sql.E} / {_MEDIUM.cms_width} * total as frequency_error_bound from est, whole, lead, answer",
     ),
 }
+
+# the merged halves: exact for cells and registers, two summaries cut once more for heavy hitters
+_HALVES = {k: v for k, v in _SET.items() if k != "mg"}
+for _half in (0, 1):
+    _HALVES[f"kc{_half}"] = sql.counts(f"(select * from ev where event_id % 2 = {_half})")
+    _HALVES[f"mg{_half}"] = sql.summary(f"kc{_half}", _MEDIUM.mg_k)
+_HALVES["kept"] = "select key, sum(est)::bigint as n from (select * from mg0 union all select * from mg1) group by key"
+_HALVES["mg"] = sql.summary("kept", _MEDIUM.mg_k)
+ORACLES |= {
+    "stored_frequency": (
+        "select distinct key, estimate, cms_error_bound, cms_total_count, epsilon, delta, routed_to, router_score "
+        f"from ({ORACLES['q_frequency']})"
+    ),
+    "stored_cardinality": ORACLES["q_cardinality"],
+    "stored_heavy_hitters": sql.with_steps(
+        _HALVES,
+        f"select key as item, est as count, total as window_total, {sql.rhu(f'total / {_MEDIUM.mg_k}', 2)} "
+        f"as error_bound, {_MEDIUM.mg_k} as mg_k, {_ROUTED} from mg, whole, best "
+        "where query_type = 'heavy_hitters' qualify row_number() over (order by est desc, key) <= 10",
+    ),
+}
