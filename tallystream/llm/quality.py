@@ -4,7 +4,8 @@ A logistic classifier on counts of a text gives each document's own evidence; it
 documents. Sites then speak through grouped aggregation: a host's rate of good documents has a Beta prior
 with the global mean, a path's rate one with its host's posterior mean. Prior strengths are estimated by moments from the
 spread between hosts, and between paths of a host, beyond what their sizes explain; a sparse host or path therefore
-stays near its prior. A document's score adds the log-odds of its path, relative to the global rate, to its own.
+stays near its prior. A document's score adds the log-odds of its path, relative to the global rate, to its own. Its path and
+host are judged by their other documents, so that no document counts twice: the only one of its path has its host's rate.
 
 Defined results: a null or empty text has the evidence of zero counts; null hosts and paths are groups of their
 own; without labels of both kinds every document's evidence is the share of good ones (1 without labels); repeated rows
@@ -111,7 +112,8 @@ def _strength(groups: DataFrame, mean: Column) -> float:
 
 
 def site_rates(scored: DataFrame) -> DataFrame:
-    """host, path, n, host_rate, path_rate, global_rate: the posterior means of every path."""
+    """host, path, n, host_rate, path_rate, global_rate: the posterior means of every path; and good, host_n, host_good, and the
+    prior sizes host_prior and path_prior, from which the rates without a document follow."""
     paths = staged(scored.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("n"), F.sum("evidence").alias("good")), "paths")
     hosts = staged(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "hosts")
@@ -119,12 +121,20 @@ def site_rates(scored: DataFrame) -> DataFrame:
     rate = float(whole.good / whole.n) if whole.n else 1.0
     k1 = _strength(hosts, F.lit(rate))
     host_rates = hosts.select(
-        F.col("host").alias("_host"), ((F.col("good") + k1 * rate) / (F.col("n") + k1)).alias("host_rate"))
+        F.col("host").alias("_host"), F.col("n").alias("host_n"), F.col("good").alias("host_good"),
+        ((F.col("good") + k1 * rate) / (F.col("n") + k1)).alias("host_rate"))
     both = paths.join(host_rates, paths["host"].eqNullSafe(host_rates["_host"])).drop("_host")
     k2 = _strength(both, F.col("host_rate"))
     return both.select(
         "host", "path", "n", "host_rate", ((F.col("good") + k2 * F.col("host_rate")) / (F.col("n") + k2)).alias("path_rate"),
-        F.lit(rate).alias("global_rate"))
+        F.lit(rate).alias("global_rate"), "good", "host_n", "host_good", F.lit(k1).alias("host_prior"), F.lit(k2).alias("path_prior"))
+
+
+def rates_of_others(own: Column) -> tuple[Column, Column]:
+    """The rates of host and path without a document whose evidence is `own`, from the columns of `site_rates`."""
+    host = (F.col("host_good") - own + F.col("host_prior") * F.col("global_rate")) / (F.col("host_n") - 1 + F.col("host_prior"))
+    path = (F.col("good") - own + F.col("path_prior") * host) / (F.col("n") - 1 + F.col("path_prior"))
+    return host, path
 
 
 def quality(
@@ -135,11 +145,14 @@ def quality(
         F.col(row_id).alias("id"), F.col(text).alias("text"), host.alias("host"), path.alias("path")))
     scored = staged(own.select("id", "host", "path", evidence(model).alias("evidence")), "evidence")
     rates = site_rates(scored).select(
-        F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate", "path_rate", "global_rate",
+        F.col("host").alias("_host"), F.col("path").alias("_path"), "n", "good", "host_n", "host_good", "host_prior", "path_prior",
+        "global_rate",
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     left = scored.withColumn("_own", F.pmod(F.xxhash64("id", "evidence"), F.lit(SALTS)).cast("int"))
     joined = left.join(rates, left["host"].eqNullSafe(rates["_host"]) & left["path"].eqNullSafe(rates["_path"])
                        & (left["_own"] == rates["_salt"]))
+    host_rate, path_rate = rates_of_others(F.col("evidence"))
+    joined = joined.withColumns({"host_rate": host_rate, "path_rate": path_rate})
     total = _log_odds(F.col("evidence")) + _log_odds(F.col("path_rate")) - _log_odds(F.col("global_rate"))
     score = 1.0 / (1.0 + F.exp(-total))
     return joined.select(
