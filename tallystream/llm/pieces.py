@@ -16,9 +16,9 @@ which replace columns of the same name.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -296,16 +296,18 @@ class Decoder:
             for b, k, ok in zip(ends, n.tolist(), lists.is_valid().to_pylist())], pa.string())
 
 
-_workers: dict[str, object] = {}
+_workers: dict[str, dict[str, object]] = {}
 
 
 def _tool(name: str, shared, make):
-    """One encoder or table per Python worker and vocabulary."""
+    """One encoder and one decoder per Python worker, of the vocabulary used last."""
     if name not in _workers:
-        while len(_workers) > 1:  # an encoder and a decoder
-            _workers.pop(next(iter(_workers)))
-        _workers[name] = make(Vocabulary(*shared.value))
-    return _workers[name]
+        _workers.clear()
+        _workers[name] = {}
+    tools = _workers[name]
+    if make.__name__ not in tools:
+        tools[make.__name__] = make(Vocabulary(*shared.value))
+    return tools[make.__name__]
 
 
 def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -314,43 +316,67 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.record_batch(columns)
 
 
-def _mapped(docs: DataFrame, vocabulary: Vocabulary, source: str, name: str, kind: T.DataType, make, fill) -> DataFrame:
-    """`docs` with column `name` made by fill(values, make(vocabulary)) from a part of the Arrow column `source`."""
+@dataclass(frozen=True)
+class _Step:
+    """A column made from another: by fill(values, tool)."""
+
+    source: str
+    name: str
+    kind: T.DataType
+    make: type
+    fill: Callable
+
+
+def _mapped(docs: DataFrame, vocabulary: Vocabulary, *steps: _Step) -> DataFrame:
+    """`docs` with the columns of `steps`, made one after another in one Python worker, a bounded part of a batch at a time."""
     fields = (vocabulary.texts, vocabulary.scores, vocabulary.usable, vocabulary.byte_ids)
-    shared, key = docs.sparkSession.sparkContext.broadcast(fields), uuid.uuid4().hex
+    shared = docs.sparkSession.sparkContext.broadcast(fields)
+    key = hashlib.md5(repr(fields).encode()).hexdigest()
+    result = docs.schema
+    for step in steps:
+        names = [f.name for f in result.fields]
+        field = T.StructField(step.name, step.kind)
+        result = T.StructType(
+            [field if f.name == step.name else f for f in result.fields] if step.name in names else [*result.fields, field])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(source)
+            column = batch.column(steps[0].source)
             lists = pa.types.is_list(column.type)
             length = pc.list_value_length(column) if lists else pc.binary_length(column)
             for a, b in parts(pc.fill_null(length, 0).to_numpy(zero_copy_only=False), IDS_AT_ONCE if lists else BYTES_AT_ONCE):
-                values = fill(column.slice(a, b - a), _tool(key, shared, make))
-                yield _with_column(batch.slice(a, b - a), name, values)
+                part = batch.slice(a, b - a)
+                for step in steps:
+                    part = _with_column(part, step.name, step.fill(part.column(step.source), _tool(key, shared, step.make)))
+                yield part
 
-    fields = [f for f in docs.schema.fields if f.name != name]
-    order = [f for f in docs.schema.fields if f.name == name]
-    schema = docs.schema if order and order[0].dataType == kind else T.StructType(
-        [T.StructField(f.name, kind) if f.name == name else f for f in docs.schema.fields]
-        if order else [*fields, T.StructField(name, kind)])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, result)
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds the piece ids of `text`."""
+def _encode(column: pa.Array, encoder: Encoder) -> pa.Array:
+    found, counts = encoder.words.encode(column)
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.astype(np.int32)), mask=column.is_null())
 
-    def fill(column: pa.Array, encoder: Encoder) -> pa.Array:
-        found, counts = encoder.words.encode(column)
-        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.astype(np.int32)), mask=column.is_null())
 
-    return _mapped(docs, vocabulary, text, ids, T.ArrayType(T.IntegerType()), Encoder, fill)
+def _encoding(text: str, ids: str) -> _Step:
+    return _Step(text, ids, T.ArrayType(T.IntegerType()), Encoder, _encode)
+
+
+def _decoding(ids: str, text: str) -> _Step:
+    return _Step(ids, text, T.StringType(), Decoder, lambda column, decoder: decoder.decode(column))
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Adds the piece ids of `text`."""
+    return _mapped(docs, vocabulary, _encoding(text, ids))
 
 
 def decoded(docs: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text that the piece ids stand for."""
+    return _mapped(docs, vocabulary, _decoding(ids, text))
 
-    def fill(column: pa.Array, decoder: Decoder) -> pa.Array:
-        return decoder.decode(column)
 
-    return _mapped(docs, vocabulary, ids, text, T.StringType(), Decoder, fill)
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", again: str = "decoded") -> DataFrame:
+    """Both, in one pass: the piece ids of `text`, and the text decoded from them."""
+    return _mapped(docs, vocabulary, _encoding(text, ids), _decoding(ids, again))

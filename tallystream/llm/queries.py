@@ -54,7 +54,7 @@ def op5_sentencepiece(spark: SparkSession, directory: str) -> DataFrame:
     """Piece ids of every document, and whether decoding gives the text back."""
     docs = read_table(spark, directory, "documents").select("doc_id", "text")
     vocabulary = pieces.read_vocabulary(pieces.MODEL)
-    both = pieces.decoded(pieces.encoded(docs, vocabulary), vocabulary)
+    both = pieces.round_trip(docs, vocabulary)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"),
         "ids")
