@@ -31,8 +31,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the piece ids and the text decoded from them."""
-    vocabulary = pieces.read_vocabulary(pieces.MODEL)
-    return pieces.decoded(pieces.encoded(docs, vocabulary), vocabulary)
+    return pieces.round_trip(docs, pieces.read_vocabulary(pieces.MODEL))
 
 
 STAGES = [
