@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystream.functions.formulas import cms_delta, cms_epsilon, cms_memory_bytes, cms_size_for
-from tallystream.functions.numbers import round_half_up
+from tallystream.functions.numbers import round_half_up, time_bucket
 from tallystream.operators.cms import (
     CountMin, cms_accuracy, cms_build, cms_cells, cms_fold, cms_lookup, cms_merge, cms_native, cms_query,
 )
+from tallystream.operators.derived import drift, dyadic_nodes, inner_product, range_build, range_counts
 from tallystream.plans import sql
 from tallystream.plans.inputs import EVENTS_SQL, LINES_SQL, part_lines, user_events
 from tallystream.session import read_table
@@ -17,6 +18,7 @@ from tallystream.templates import template
 
 LOW, MEDIUM = template("low"), template("medium")
 POINT_KEY = "42"
+DRIFT_BELOW = 0.7
 RARE_KEY = "7"
 
 
@@ -118,7 +120,32 @@ def cms_sizes(spark: SparkSession, directory: str) -> DataFrame:
         kept.cast("int").alias("kept"), cms_memory_bytes(F.col("width"), F.col("depth")).alias("memory_bytes"))
 
 
+RANGES = [(0, 9), (10, 99), (3, 57), (42, 42), (64, 127), (200, 300)]
+
+
+def cms_range(spark: SparkSession, directory: str) -> DataFrame:
+    """Counts of ranges of the property `k` of the events."""
+    return range_counts(range_build(user_events(spark, directory), "k", 7, LOW.cms_width, LOW.cms_depth), RANGES)
+
+
+def cms_inner_product(spark: SparkSession, directory: str) -> DataFrame:
+    """How often a returned line and another line have the same part, by the sketches of both."""
+    lines = part_lines(spark, directory)
+    returned = F.col("l_returnflag") == "R"
+    return inner_product(_medium(lines.where(returned)), _medium(lines.where(~returned)))
+
+
+def drift_alert(spark: SparkSession, directory: str) -> DataFrame:
+    """Days whose users differ from those of the day before."""
+    daily = user_events(spark, directory).withColumn("day", time_bucket(F.col("ts"), "1 day"))
+    found = drift(cms_build(daily, "key", LOW.cms_width, LOW.cms_depth, ["day"]), "day", "1 day", DRIFT_BELOW)
+    return found.withColumn("similarity", round_half_up(F.col("similarity"), 9))
+
+
 QUERIES = {
+    "cms_range": cms_range,
+    "cms_inner_product": cms_inner_product,
+    "drift_alert": drift_alert,
     "cms_native_check": cms_native_check,
     "cms_sizes": cms_sizes,
     "cms_hash_cells": cms_hash_cells,
@@ -157,7 +184,57 @@ _BY_TABLE = {
 }
 _ALL_CELLS = "select row_id, col_id, cnt from cells"
 
+def _range_sql() -> str:
+    """The nodes of each range looked up in the cells of their levels."""
+    nodes = ", ".join(f"({a}, {b}, {level}, '{node}')" for a, b in RANGES for level, node in dyadic_nodes(a, b, 7))
+    every = ", ".join(f"({a}, {b})" for a, b in RANGES)
+    steps = {
+        "nodes": (
+            "select l::int as level, (k >> l)::varchar as key, count(*) as n "
+            f"from ({EVENTS_SQL}), range(8) t(l) where k between 0 and 127 group by all"
+        ),
+        "cells": sql.cells("nodes", LOW.cms_width, LOW.cms_depth, ["level"]),
+        "asked": f"select * from (values {nodes}) v(low, high, level, key)",
+        "found": (
+            "select low, high, a.level, a.key, min(coalesce(cnt, 0)) as least from (select *, r::int as row_id, "
+            f"(md5_number_upper(key || ':' || r) % {LOW.cms_width})::int as col_id from asked, range({LOW.cms_depth}) t(r)) a "
+            "left join cells c on c.level = a.level and c.row_id = a.row_id and c.col_id = a.col_id group by 1, 2, 3, 4"
+        ),
+        "every": f"select * from (values {every}) v(low, high)",
+    }
+    return sql.with_steps(
+        steps, "select e.low::bigint as low, e.high::bigint as high, coalesce(sum(least), 0)::bigint as estimate "
+        "from every e left join found f on f.low = e.low and f.high = e.high group by 1, 2")
+
+
+_DAILY = {
+    "daily": f"select date_trunc('day', ts)::timestamp as day, key, count(*) as n from ({EVENTS_SQL}) group by all",
+    "cells": sql.cells("daily", LOW.cms_width, LOW.cms_depth, ["day"]),
+    "norms": "select day, row_id, sum(cnt * cnt)::bigint as norm from cells group by all",
+    "dots": (
+        "select a.day, a.row_id, sum(a.cnt * b.cnt)::bigint as dot from cells a join cells b on b.day = a.day - interval '1 day' "
+        "and b.row_id = a.row_id and b.col_id = a.col_id group by all"
+    ),
+    "pairs": (
+        "select a.day, b.day as previous, min(coalesce(dot, 0) / sqrt(a.norm::double * b.norm::double)) as s from norms a "
+        "join norms b on b.day = a.day - interval '1 day' and b.row_id = a.row_id "
+        "left join dots d on d.day = a.day and d.row_id = a.row_id group by all"
+    ),
+}
+
 ORACLES = {
+    "cms_range": _range_sql(),
+    "cms_inner_product": sql.with_steps(
+        {
+            "kc": f"select key, l_returnflag = 'R' as back, count(*) as n from ({LINES_SQL}) group by all",
+            "a": sql.cells("(select key, n from kc where back)", _W, _D),
+            "b": sql.cells("(select key, n from kc where not back)", _W, _D),
+            "products": "select row_id, sum(a.cnt * b.cnt)::bigint as p from a join b using (row_id, col_id) group by 1",
+        },
+        f"select case when count(*) = {_D} then min(p) else 0 end as estimate from products",
+    ),
+    "drift_alert": sql.with_steps(
+        _DAILY, f"select day, previous, {sql.rhu('s', 9)} as similarity, (s < {DRIFT_BELOW}::double)::int as alert from pairs"),
     "cms_native_check": (
         f"select l_returnflag, count(*) as total_count, {_D}::bigint as depth, {_W}::bigint as width, 1 as whole "
         "from lineitem group by 1"
