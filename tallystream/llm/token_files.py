@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystream.llm.shared import scratch_root, staged
-from tallystream.llm.word_ids import HIDDEN, REMEMBERED, WordIds, cut_words, parts
+from tallystream.llm.word_ids import HIDDEN, WordIds, cut_words, parts
 
 MAGIC = b"TOKDAC01"
 CHUNK_BITS = 8
@@ -47,6 +47,7 @@ RANK_BITS = 512
 FILE_TOKENS = 1 << 21
 TEXTS_AT_ONCE = 1 << 23  # bytes of text tokenized at a time
 WORDS_A_LINE = 400
+KEPT_WORDS = 300_000  # and as many stems; one worker a task has the room
 STOPS = ".,;:!?"
 MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 END_ID = 2
@@ -215,7 +216,7 @@ class TextIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.words = WordIds(self.solve, cut_words, "", " ")
+        self.words = WordIds(self.solve, cut_words, "", " ", KEPT_WORDS)
         self.stems: dict[str, bytes] = {}
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
 
@@ -254,7 +255,7 @@ class TextIds:
             known[w] = np.array(e.ids, "<i4").tobytes()
         known[""] = b""
         out = [known[x] + known[y] for x, y in zip(stems, ends)]
-        if len(known) > REMEMBERED:
+        if len(known) > KEPT_WORDS:
             self.stems = {}
         return out
 

@@ -52,8 +52,9 @@ class WordIds:
     """Encodes texts through their words. `solve` gives the ids of words as little-endian int32 bytes; `cut` cuts texts that are not
     plain; `first` and `later` are put before the first word and before each other one."""
 
-    def __init__(self, solve: Callable[[list[str]], list[bytes]], cut: Callable[[str], list[str]], first: str, later: str):
-        self.solve, self.cut, self.first, self.later = solve, cut, first, later
+    def __init__(self, solve: Callable[[list[str]], list[bytes]], cut: Callable[[str], list[str]], first: str, later: str,
+                 remembered: int = REMEMBERED):
+        self.solve, self.cut, self.first, self.later, self.remembered = solve, cut, first, later, remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -68,7 +69,7 @@ class WordIds:
         out = list(map(known.__getitem__, words))
         for w in [w for w in new if len(w) > LONGEST_KEPT]:
             known.pop(w, None)
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             self.older, self.known = known, {}
         return out
 
