@@ -178,3 +178,22 @@ def test_left_out_tails_do_not_change_windows(spark, k, seed):
         inside = Counter(key for s, key in rows if end - 60 <= s // 10 * 10 < end)
         kth = sorted(inside.values(), reverse=True)[k - 1] if len(inside) >= k else 0
         assert got.get(end, {}) == {key: n - kth for key, n in inside.items() if n > kth}
+
+
+def test_approx_top_k_check_on_flat_counts(spark, tmp_path):
+    """Spark's approx_top_k returns nothing when no key stands above its error; the check still has its 10."""
+    from tallystream.plans import hitter_queries as hq
+
+    events = spark.range(60_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 30_000).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert hq.approx_top_k_check(spark, str(tmp_path)).collect()[0].asDict() == {
+        "items": 10, "total": 60_000, "wrong": 0, "missed": 0}
+
+
+def test_approx_top_k_filled_from_exact(keys):
+    counts = {f"k{i:03d}": 2 for i in range(300)} | {"top": 3}
+    events = keys(counts)
+    found = hh.approx_top_k_native(events, "key", 10, 16, hh.key_counts(events, "key"))
+    assert as_dict(found) == {"top": 3, **{f"k{i:03d}": 2 for i in range(9)}}
