@@ -79,7 +79,8 @@ class WordIds:
         uneven = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.binary_join_element_wise("\0", texts.filter(pa.array(~uneven)), ""), " ")
         coded = lists.flatten().dictionary_encode()
-        words = [self.first + w[1:] if w[:1] == "\0" else self.later + w for w in coded.dictionary.to_pylist()]
+        # through numpy: to_pylist makes an Arrow scalar of each string first, and is about ten times dearer
+        words = [self.first + w[1:] if w[:1] == "\0" else self.later + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         codes = coded.indices.to_numpy(zero_copy_only=False)
         n = np.zeros(len(texts), np.int64)
         n[~uneven] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
