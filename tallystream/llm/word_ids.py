@@ -2,7 +2,8 @@
 
 A text is cut before every single blank between two characters that are no white space; the caller's `solve` must give the same ids
 for a text and for its parts one after another. Arrow cuts and counts the words of a batch, so Python sees each distinct word once, and
-a worker keeps the ids of the words it has met, as bytes, in two generations of bounded size.
+a worker keeps the words it has met in Arrow arrays and their ids in numpy, in two generations of bounded size, so that known
+words are found and gathered in bulk.
 """
 
 from __future__ import annotations
@@ -48,6 +49,30 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat((starts - ends + lengths).astype(kind), lengths) + np.arange(total, dtype=kind)
 
 
+class _Generation:
+    """Words as an Arrow array and their ids, one flat run each, so that a batch's words are looked up and gathered in bulk."""
+
+    def __init__(self, words: pa.Array | None = None, flat: np.ndarray | None = None, length: np.ndarray | None = None):
+        self.words = pa.array([], pa.string()) if words is None else words
+        self.flat = np.zeros(0, "<i4") if flat is None else flat
+        self.length = np.zeros(0, np.int64) if length is None else length
+        self.start = np.cumsum(self.length) - self.length
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Place of each word, -1 for those not here."""
+        if not len(self.words):
+            return np.full(len(words), -1, np.int64)
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at those places, one after another, and how many each has."""
+        return self.flat[ragged(self.start[at], self.length[at])], self.length[at]
+
+    def plus(self, words: pa.Array, flat: np.ndarray, length: np.ndarray) -> _Generation:
+        return _Generation(
+            pa.concat_arrays([self.words, words]), np.concatenate([self.flat, flat]), np.concatenate([self.length, length]))
+
+
 class WordIds:
     """Encodes texts through their words. `solve` gives the ids of words as little-endian int32 bytes; `cut` cuts texts that are not
     plain; `first` and `later` are put before the first word and before each other one."""
@@ -55,23 +80,36 @@ class WordIds:
     def __init__(self, solve: Callable[[list[str]], list[bytes]], cut: Callable[[str], list[str]], first: str, later: str,
                  remembered: int = REMEMBERED):
         self.solve, self.cut, self.first, self.later, self.remembered = solve, cut, first, later, remembered
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        known.update({w: self.older[w] for w in new if w in self.older})
-        new = [w for w in new if w not in known]
-        if new:
-            known.update(zip(new, self.solve(new)))
-        out = list(map(known.__getitem__, words))
-        for w in [w for w in new if len(w) > LONGEST_KEPT]:
-            known.pop(w, None)
-        if len(known) > self.remembered:
-            self.older, self.known = known, {}
-        return out
+        self.known = _Generation()
+        self.older = _Generation()
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one run after another, and how many each has. Arrow finds the known ones; Python sees the new."""
+        at = self.known.find(words)
+        miss = np.flatnonzero(at < 0)
+        rest = words.take(pa.array(miss))
+        old = self.older.find(rest)
+        back = old >= 0
+        back_flat, back_length = self.older.runs(old[back])
+        new = rest.filter(pa.array(~back))
+        solved = self.solve(new.to_numpy(zero_copy_only=False).tolist()) if len(new) else []
+        new_length = np.array([len(b) for b in solved], np.int64) // 4
+        new_flat = np.frombuffer(b"".join(solved), "<i4")
+        pool = np.concatenate([self.known.flat, back_flat, new_flat])
+        start, length = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        hit = at >= 0
+        start[hit], length[hit] = self.known.start[at[hit]], self.known.length[at[hit]]
+        for rows, base, lengths in ((miss[back], len(self.known.flat), back_length),
+                                    (miss[~back], len(self.known.flat) + len(back_flat), new_length)):
+            start[rows], length[rows] = base + np.cumsum(lengths) - lengths, lengths
+        out = pool[ragged(start, length)]
+        kept = pc.utf8_length(new).to_numpy(zero_copy_only=False) <= LONGEST_KEPT
+        self.known = self.known.plus(
+            pa.concat_arrays([rest.filter(pa.array(back)), new.filter(pa.array(kept))]),
+            np.concatenate([back_flat, new_flat[np.repeat(kept, new_length)]]), np.concatenate([back_length, new_length[kept]]))
+        if len(self.known.words) > self.remembered:
+            self.older, self.known = self.known, _Generation()
+        return out, length
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has; a null has none."""
@@ -79,17 +117,20 @@ class WordIds:
         uneven = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.binary_join_element_wise("\0", texts.filter(pa.array(~uneven)), ""), " ")
         coded = lists.flatten().dictionary_encode()
-        # through numpy: to_pylist makes an Arrow scalar of each string first, and is about ten times dearer
-        words = [self.first + w[1:] if w[:1] == "\0" else self.later + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
-        codes = coded.indices.to_numpy(zero_copy_only=False)
+        # the first word of a text is marked by the NUL put before it; Arrow puts `first` or `later` in front
+        dictionary = coded.dictionary.cast(pa.string())
+        opening = pc.starts_with(dictionary, "\0")
+        words = pc.if_else(
+            opening, pc.utf8_replace_slice(dictionary, 0, 1, self.first), pc.utf8_replace_slice(dictionary, 0, 0, self.later))
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         n = np.zeros(len(texts), np.int64)
         n[~uneven] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        if uneven.any():  # their words are numbered in Python and put in where they belong
+        more: list[str] = []
+        if uneven.any():  # their words are numbered in Python and put in where they belong; they may hold what Arrow cannot
             cut = [self.cut(t) for t in texts.filter(pa.array(uneven)).to_pylist()]
-            at = {w: i for i, w in enumerate(words)}
+            at = {w: i for i, w in enumerate(words.to_numpy(zero_copy_only=False).tolist())}
             more = [w for w in dict.fromkeys(w for x in cut for w in x) if w not in at]
             at.update(zip(more, range(len(words), len(words) + len(more))))
-            words += more
             own = [[at[w] for w in x] for x in cut]
             n[uneven] = [len(x) for x in own]
             from_ = np.repeat(uneven, n)
@@ -97,10 +138,12 @@ class WordIds:
             both[~from_] = codes
             both[from_] = [c for x in own for c in x]
             codes = both
-        ids = self._ids(words)
-        length = np.array([len(b) for b in ids], np.int64) // 4
+        flat, length = self._ids(words)
+        if more:  # solved each time they come
+            solved = self.solve(more)
+            flat = np.concatenate([flat, np.frombuffer(b"".join(solved), "<i4")])
+            length = np.concatenate([length, np.array([len(b) for b in solved], np.int64) // 4])
         start = np.cumsum(length) - length
-        flat = np.frombuffer(b"".join(ids), "<i4")
         per_word = length[codes]
         out = flat[ragged(start[codes], per_word)]
         sums = np.concatenate(([0], np.cumsum(per_word)))
