@@ -197,3 +197,30 @@ def test_approx_top_k_filled_from_exact(keys):
     events = keys(counts)
     found = hh.approx_top_k_native(events, "key", 10, 16, hh.key_counts(events, "key"))
     assert as_dict(found) == {"top": 3, **{f"k{i:03d}": 2 for i in range(9)}}
+
+
+def test_approx_top_k_is_whole_without_exact_counts(keys):
+    """More keys than one sketch holds, counts flat: the items are Spark's own, also without exact counts."""
+    events = keys({f"k{i:03d}": 2 for i in range(300)} | {"top": 3})
+    assert as_dict(hh.approx_top_k_native(events, "key", 10, 16)) == {"top": 3, **{f"k{i:03d}": 2 for i in range(9)}}
+
+
+def test_exact_counts_are_no_answer_of_approx_top_k(spark, keys):
+    """Counts that are wrong do not come back as what Spark found."""
+    events = keys({f"k{i:03d}": 2 for i in range(300)})
+    wrong = spark.createDataFrame([(f"x{i}", 50) for i in range(300)], "key string, n long")
+    assert as_dict(hh.approx_top_k_native(events, "key", 10, 16, wrong)) == {f"k{i:03d}": 2 for i in range(10)}
+
+
+def test_approx_top_k_check_shows_a_failure(spark, tmp_path, monkeypatch):
+    """A sketch that has to drop keys finds fewer than ten items, and the check says so."""
+    from tallystream.plans import hitter_queries as hq
+
+    spark.range(60_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), (F.col("id") % 30_000).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"),
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    native = hh.approx_top_k_native
+    few = spark.createDataFrame([("5", 2)], "key string, n long")  # one sketch for all keys
+    monkeypatch.setattr(hh, "approx_top_k_native", lambda df, key, n, most, exact: native(df, key, n, most, few))
+    assert hq.approx_top_k_check(spark, str(tmp_path)).collect()[0]["items"] == 0
